@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contestlake.functions import odds, probability as prob
+from contestlake.functions.plan import once
 from contestlake.operators import order
 
 START = 1000.0
@@ -38,23 +39,21 @@ def bets(rows: DataFrame) -> DataFrame:
     """One unit bet per priced contest on the side with the larger edge."""
     r = orient(rows).filter("odds_a IS NOT NULL AND odds_b IS NOT NULL")
     ia, ib = odds.american_to_implied(F.col("odds_a")), odds.american_to_implied(F.col("odds_b"))
-    r = r.withColumns({"_fa": odds.fair_share(ia, ib), "_fb": odds.fair_share(ib, ia)})
+    r = once(r, {"_fa": odds.fair_share(ia, ib), "_fb": odds.fair_share(ib, ia)})
     on_a = (F.col("p") - F.col("_fa")) >= ((1.0 - F.col("p")) - F.col("_fb"))
-    r = r.withColumns({
+    r = once(r, {
         "side": F.when(on_a, "A").otherwise("B"), "our_prob": F.when(on_a, F.col("p")).otherwise(1.0 - F.col("p")),
         "fair": F.when(on_a, F.col("_fa")).otherwise(F.col("_fb")),
         "price": odds.american_to_decimal(F.when(on_a, F.col("odds_a")).otherwise(F.col("odds_b"))),
         "won": F.when(on_a, F.col("label")).otherwise(1 - F.col("label"))})
-    return r.select("contest_id", "dt", "side", "our_prob", "fair", (F.col("our_prob") - F.col("fair")).alias("edge"), "price", "won",
-                    F.when(F.col("won") == 1, F.col("price") - 1).otherwise(F.lit(-1.0)).alias("pnl"))
+    return once(r, {"edge": F.col("our_prob") - F.col("fair"), "pnl": F.when(F.col("won") == 1, F.col("price") - 1).otherwise(F.lit(-1.0))},
+                keep=["contest_id", "dt", "side", "our_prob", "fair", "price", "won"])
 
 
 def bucket_of(edge: Column, buckets=BUCKETS) -> Column:
-    """Index of the half-open bucket, NULL outside all of them."""
-    out = F.lit(None).cast("int")
-    for i, (lo, hi) in reversed(list(enumerate(buckets))):
-        out = F.when((edge >= lo) & (edge < hi), i).otherwise(out)
-    return out
+    """Index of the half-open bucket, NULL outside all of them; buckets touch each other."""
+    starts = F.array(*[F.lit(lo) for lo, _ in buckets])
+    return F.nullif(F.size(F.filter(F.filter(starts, lambda s: edge < buckets[-1][1]), lambda s: s <= edge)), F.lit(0)) - 1
 
 
 def bucket_stats(rows: DataFrame, groups: list[str], keep_empty: bool, buckets=BUCKETS) -> DataFrame:
@@ -95,13 +94,13 @@ def bankroll_history(rows: DataFrame) -> DataFrame:
     r = orient(rows).filter("odds_a IS NOT NULL").withColumn("_da", odds.american_to_decimal(F.col("odds_a")))
     implied = F.lit(1.0) / F.col("_da")
     on_a = F.col("p") > implied
-    r = r.withColumns({
+    r = once(r, {
         "side": F.when(on_a, "A").otherwise("B"), "our_prob": F.when(on_a, F.col("p")).otherwise(1.0 - F.col("p")),
         "implied": F.when(on_a, implied).otherwise(1.0 - implied),
         "price": F.when(on_a, F.col("_da")).otherwise(F.col("_da") / (F.col("_da") - 1.0)),
         "won": F.when(on_a, F.col("label")).otherwise(1 - F.col("label"))})
     r = r.withColumn("share", odds.kelly_stake(F.col("our_prob"), F.col("price")))
-    r = r.withColumn("growth", 1.0 + F.col("share") * F.when(F.col("won") == 1, F.col("price") - 1).otherwise(F.lit(-1.0)))
+    r = once(r, {"growth": 1.0 + F.col("share") * F.when(F.col("won") == 1, F.col("price") - 1).otherwise(F.lit(-1.0))})
     r = r.withColumn("_g", F.log("growth"))
     placed = order.running(order.by_day(r, "contest_id"), [], ["dt", "id_bin"], ["contest_id"], {"log_before": "_g"})
     before = F.exp(F.col("log_before")) * START

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contestlake.functions import names, odds
+from contestlake.functions.plan import once
 from contestlake.operators import order
 
 # fixed values: method words of the quote labels
@@ -39,11 +40,11 @@ def classify(quotes: DataFrame) -> DataFrame:
         F.concat(who(F.coalesce(_grab("_l", inside), _grab("_l", outside))), F.lit("_inside_distance")),
         F.concat(who(_grab("_l", rnd)), F.lit("_wins_round_"), _grab("_l", rnd, 2)))
     side = F.coalesce(_grab("_l", total), F.when(F.col("_l").rlike(r"^not\s|doesn't|won't"), "no").otherwise("yes"))
-    q = q.withColumn("_m", market)
+    q = once(q, {"_m": market, "_s": side})
     q = order.carry_last(q, ["contest_id"], "seq", "_m", "_before")
     other = F.col("_l") == "any other result"
     return q.withColumns({"market": F.when(other, F.col("_before")).otherwise(F.col("_m")),
-                          "side": F.when(other & F.col("_before").isNotNull(), "no").when(F.col("_m").isNotNull(), side)}).drop("_l", "_m", "_before")
+                          "side": F.when(other & F.col("_before").isNotNull(), "no").when(F.col("_m").isNotNull(), F.col("_s"))}).drop("_l", "_m", "_s", "_before")
 
 
 def market_class(market: Column) -> Column:
@@ -62,8 +63,8 @@ def _parts(df: DataFrame, compat: bool) -> DataFrame:
     """Market class, its number, the method word and whether the red or blue letter means A."""
     number = F.element_at(F.split("market", "_"), -1).try_cast("double")
     is_a = (F.substring("market", 1, 1) == "r") == (F.col("a_is_red") == 1)
-    return df.withColumns({"market_class": market_class(F.col("market")), "_num": number, "_under": line_round(number, compat),
-                           "_word": F.element_at(F.split("market", "_method_"), -1), "_a": is_a})
+    return once(df, {"market_class": market_class(F.col("market")), "_num": number, "_under": line_round(number, compat),
+                     "_word": F.element_at(F.split("market", "_method_"), -1), "_a": is_a})
 
 
 def _pick(a: Column, b: Column) -> Column:
@@ -76,7 +77,7 @@ def price(quotes: DataFrame, classes: DataFrame, compat: bool = True, rounds_giv
     ``rounds_given_finish`` multiplies round shares by the finish probability where
     the market speaks of whole contests.
     """
-    q = _parts(quotes.join(classes, "contest_id"), compat)
+    q = _parts(quotes.select("contest_id", "seq", "market", "side", "american").join(classes, "contest_id"), compat)
     rounds = [F.col(c) for c in ROUND_COLS]
     finish = F.col("pa_ko") + F.col("pa_sub") + F.col("pb_ko") + F.col("pb_sub")
     scale = finish if rounds_given_finish else F.lit(1.0)
@@ -112,8 +113,8 @@ def price(quotes: DataFrame, classes: DataFrame, compat: bool = True, rounds_giv
            .when((cls == "method") & kind.isin("KO_TKO", "SUB", "DEC"), F.col("method_true") == F.concat_ws("_", letter, kind))
            .when(cls == "inside_distance", finished)
            .when(cls == "wins_round", F.coalesce(ended == n, F.lit(False)) & finished))
-    return q.withColumns({"our_prob": F.when(positive, yes).otherwise(no),
-                          "won": F.when(positive, hit).otherwise(~hit).cast("int")}).drop("_num", "_under", "_word", "_a")
+    return once(q, {"our_prob": F.when(positive, yes).otherwise(no),
+                    "won": F.when(positive, hit).otherwise(~hit).cast("int")}).drop("_num", "_under", "_word", "_a")
 
 
 def edges(priced: DataFrame) -> DataFrame:
@@ -123,5 +124,5 @@ def edges(priced: DataFrame) -> DataFrame:
     q = q.join(pair, ["contest_id", "market"]).filter("our_prob IS NOT NULL AND won IS NOT NULL")
     q = q.withColumns({"price": odds.american_to_decimal(F.col("american")),
                        "fair": F.when(F.col("_n") >= 2, F.col("_i") / F.col("_s"))})
-    return q.withColumns({"edge": F.col("our_prob") - F.coalesce("fair", "_i"), "single": (F.col("_n") < 2).cast("int"),
-                          "pnl": F.when(F.col("won") == 1, F.col("price") - 1).otherwise(F.lit(-1.0))}).drop("_i", "_s", "_n")
+    return once(q, {"edge": F.col("our_prob") - F.coalesce("fair", "_i"), "single": (F.col("_n") < 2).cast("int"),
+                    "pnl": F.when(F.col("won") == 1, F.col("price") - 1).otherwise(F.lit(-1.0))}).drop("_i", "_s", "_n")

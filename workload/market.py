@@ -65,9 +65,8 @@ LABELS = ["'Fight goes to decision'", "'Any other result'", "'Over 2½ rounds'",
           "concat(blue_name, ' wins inside distance')", "concat(blue_name, ' wins in round 2')", "'Fight ends in round 1'", "'Fight doesn''t end in round 1'",
           "concat(red_name, ' wins by unanimous decision')", "'Draw'", "'Any other result'"]
 NAMED = "SELECT contest_id, a_is_red, concat('Ann Lee', lpad(CAST(CASE a_is_red WHEN 1 THEN a_id ELSE b_id END AS STRING), 6, '0')) AS red_name, concat('Bo Roe', lpad(CAST(CASE a_is_red WHEN 1 THEN b_id ELSE a_id END AS STRING), 6, '0')) AS blue_name FROM oof"
-QUOTES = (f"SELECT *, CAST({AMERICAN} AS DOUBLE) AS american FROM (" + " UNION ALL ".join(
-    f"SELECT contest_id, {i} AS seq, red_name, blue_name, {label} AS label FROM n" for i, label in enumerate(LABELS, start=1)) + ") AS u")
-QUOTES = f"WITH n AS ({NAMED}) {QUOTES}"
+QUOTES = (f"WITH n AS ({NAMED}) SELECT *, CAST({AMERICAN} AS DOUBLE) AS american FROM (SELECT contest_id, p.period AS seq, red_name, blue_name, CASE p.period "
+          + " ".join(f"WHEN {i} THEN {label}" for i, label in enumerate(LABELS, start=1)) + f" END AS label FROM n EACH_PERIOD({len(LABELS)})) AS u")
 MARKET = ["'distance'", "'distance'", "'total_rounds_2.5'", "'total_rounds_2.5'", "'r_method_KO_TKO'", "'r_method_KO_TKO'", "'b_method_SUB'", "'starts_round_3'", "'starts_round_3'", "'r_inside_distance'",
           "'b_inside_distance'", "'b_wins_round_2'", "'ends_round_1'", "'ends_round_1'", "'r_method_UD'", "NULL", "'r_method_UD'"]
 SIDE = ["yes", "no", "over", "under", "yes", "no", "yes", "yes", "no", "no", "yes", "yes", "yes", "no", "yes", None, "no"]
