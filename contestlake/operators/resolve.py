@@ -43,11 +43,11 @@ def near_days(left: DataFrame, right: DataFrame, keys: list[str], days: int, lef
     only rows of adjoining buckets ever meet.
     """
     width = days + 1
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_b", F.floor(F.unix_date(f"r_{right_dt}") / width))
-    l = left.withColumn("_b", F.explode(F.array(*[F.floor(F.unix_date(left_dt) / width) + i for i in (-1, 0, 1)])))
-    on = reduce(lambda x, y: x & y, [l[k] == F.col(f"r_{k}") for k in keys], l["_b"] == r["_b"])
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("_bucket", F.floor(F.unix_date(f"r_{right_dt}") / width))
+    l = left.withColumn("_bucket", F.explode(F.array(*[F.floor(F.unix_date(left_dt) / width) + i for i in (-1, 0, 1)])))
+    on = reduce(lambda x, y: x & y, [l[k] == F.col(f"r_{k}") for k in keys], l["_bucket"] == r["_bucket"])
     gap = F.abs(F.date_diff(F.col(left_dt), F.col(f"r_{right_dt}")))
-    return l.join(r, on).drop("_b").withColumn("gap", gap).filter(F.col("gap") <= days)
+    return l.join(r, on).drop("_bucket").withColumn("gap", gap).filter(F.col("gap") <= days)
 
 
 def nearest(pairs: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from workload.registry import REGISTRY
 
-FAMILIES = ["joins", "upserts"]
+FAMILIES = ["quality", "joins"]
 _LATER = [
     "parsing", "windows", "features", "aggregates", "calibration", "market",
     "pricing", "joins", "upserts", "quality", "modelling", "streams",

@@ -110,3 +110,28 @@ query("preview_rows", "contest_id red_country:s blue_country:s red_stance:s stat
 SELECT n.contest_id, r.country AS red_country, b.country AS blue_country, r.stance AS red_stance, CASE WHEN n.contest_id % 13 = 0 THEN 'cancelled' WHEN winner_id IS NOT NULL THEN 'final' ELSE 'scheduled' END AS status
 FROM ({NAMED}) AS n JOIN entity r ON r.entity_id = n.red_id JOIN entity b ON b.entity_id = n.blue_id
 """)(lambda t: resolve.preview(t.sql(NAMED).withColumn("is_cancelled", C("contest_id") % 13 == 0), t.entity, "country", "stance"))
+
+# Approximate matching: names with a dropped, doubled or swapped part.
+from contestlake.operators import fuzzy  # noqa: E402
+from contestlake.functions import similarity  # noqa: E402
+
+NOISY = """SELECT c_custkey AS stub_id, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, 'stomer', 'somer') WHEN 2 THEN concat(c_name, 'x') WHEN 3 THEN upper(replace(c_name, '#', ' ')) ELSE concat('zz ', substr(c_name, 12)) END AS name,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE DATE '1970-01-01' + CAST(c_custkey % 900 AS INT) END AS dob FROM customer"""
+PEOPLE = "SELECT c_custkey AS entity_id, c_name AS full_name, DATE '1970-01-01' + CAST(c_custkey % 900 AS INT) AS dob, c_mktsegment AS pool FROM customer"
+query("stub_matches", "stub_id entity_id score:d")(lambda t: fuzzy.match_stubs(t.sql(NOISY), t.sql(PEOPLE))[0])
+query("resolved_names", "row_id entity_id stage score:d")(lambda t: fuzzy.resolve_names(
+    t.sql(f"SELECT n.stub_id AS row_id, n.name, c_mktsegment AS pool FROM ({NOISY}) AS n JOIN customer ON c_custkey = stub_id"), t.sql(PEOPLE)))
+LEFT = "SELECT contest_id AS left_id, dt, red_name AS a_name, blue_name AS b_name FROM ({n}) AS x WHERE contest_id % 5 = 0"
+RIGHT = "SELECT contest_id AS right_id, CAST(dt AS DATE) + 1 AS dt, CASE WHEN contest_id % 2 = 0 THEN replace(red_name, 'Supp', 'Sup') ELSE blue_name END AS x_name, CASE WHEN contest_id % 2 = 0 THEN blue_name ELSE replace(red_name, 'Supp', 'Sup') END AS y_name FROM ({n}) AS x"
+SPACED = f"SELECT contest_id, dt, winner_id, replace(red_name, '#', ' ') AS red_name, replace(blue_name, '#', ' ') AS blue_name FROM ({NAMED}) AS z"
+query("fuzzy_pairs_in_window", "left_id right_id flipped score:d")(lambda t: fuzzy.match_pairs(t.sql(LEFT.format(n=SPACED)), t.sql(RIGHT.format(n=SPACED)), 72.0, days=3))
+query("best_price_key", "row_id key:s price:d score:d")(lambda t: fuzzy.best_key(t.sql(
+    "SELECT s_suppkey AS row_id, s_name AS target, map(concat('the ', lower(s_name)), 1.5D, 'Nobody', 2.0D, concat(s_name, ' jr'), 3.0D) AS prices FROM supplier")))
+query("label_sides", "contest_id side:s")(lambda t: t.sql(SPACED).select("contest_id", fuzzy.side_of(
+    F.when(C("contest_id") % 2 == 0, F.concat(C("red_name"), F.lit(" by KO"))).otherwise(F.concat(C("blue_name"), F.lit(" wins"))), C("red_name"), C("blue_name")).alias("side")))
+query("schedule_with_predictions", "contest_id scheduled_id a_name:s b_name:s")(lambda t: fuzzy.merge_schedule(
+    t.sql(f"SELECT contest_id AS scheduled_id, blue_name AS a_name, red_name AS b_name FROM ({SPACED}) AS q WHERE contest_id % 50 = 0"),
+    t.sql(f"SELECT contest_id, red_name AS a_name, blue_name AS b_name FROM ({SPACED}) AS q WHERE contest_id % 100 = 0")))
+query("name_scores", "s_suppkey ratio:d partial:d token_sort:d token_set:d")(lambda t: t.supplier.join(t.nation, C("s_nationkey") == C("n_nationkey")).select(
+    "s_suppkey", similarity.ratio("s_name", "n_name").alias("ratio"), similarity.partial_ratio("s_name", "n_name").alias("partial"),
+    similarity.token_sort_ratio("s_name", "n_name").alias("token_sort"), similarity.token_set_ratio("s_name", "n_name").alias("token_set")))
