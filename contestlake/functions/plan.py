@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -16,3 +18,22 @@ def once(df: DataFrame, cols: dict[str, Column], keep: list[str] | None = None,
     made = F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))
     out = df.select(*kept, F.inline(made))
     return out.filter(where) if where is not None else out
+
+
+def checkpoint_folder(spark) -> str:
+    """The shared folder named by the session; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Rows written to the checkpoint folder: later passes reread them and survive lost executors."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()

@@ -6,8 +6,7 @@ import importlib
 
 from workload.registry import REGISTRY
 
-FAMILIES = ["quality", "joins"]
-_LATER = [
+FAMILIES = [
     "parsing", "windows", "features", "aggregates", "calibration", "market",
     "pricing", "joins", "upserts", "quality", "modelling", "streams",
 ]
