@@ -24,8 +24,8 @@ def halfwidth_by_group(df: DataFrame, group: str, alpha: float = 0.10, min_rows:
     """The same per group; small groups take the global value."""
     rows = df.select(group, F.abs(F.col("label") - F.col("p")).alias("score"))
     own = order.quantiles(rows, [group], "score", _level(alpha))
-    return own.withColumn("g", halfwidth(df, alpha).select("halfwidth").scalar()).selectExpr(
-        group, "n", f"CASE WHEN n < {min_rows} THEN g ELSE q END AS halfwidth", f"int(n < {min_rows}) AS fallback")
+    return own.withColumn("_whole", halfwidth(df, alpha).select("halfwidth").scalar()).selectExpr(
+        group, "n", f"CASE WHEN n < {min_rows} THEN _whole ELSE q END AS halfwidth", f"int(n < {min_rows}) AS fallback")
 
 
 def scaled(df: DataFrame, alpha: float = 0.10) -> DataFrame:

@@ -1,0 +1,54 @@
+"""Blocking is complete for its threshold; matching rules hold."""
+
+import datetime as dt
+import random
+
+import pytest
+
+from contestlake.functions import similarity
+from contestlake.operators import fuzzy
+
+
+@pytest.mark.parametrize("threshold", [72.0, 90.0])
+def test_pieces_lose_no_pair(spark, threshold):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))).strip() or "a" for _ in range(40)]
+
+    def noise(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(s))
+            if rng.random() < 0.5 and s:
+                s.pop(min(i, len(s) - 1))
+            else:
+                s.insert(i, rng.choice("abcde"))
+        return "".join(s) or "b"
+
+    left, right = sorted({noise(s) for s in base}), sorted(set(base))
+    want = {(a, b) for a in left for b in right if similarity.plain(a, b) >= threshold}
+    pairs = fuzzy.by_pieces(spark.createDataFrame([(x,) for x in left], "l string"), spark.createDataFrame([(x,) for x in right], "r string"), threshold)
+    assert want <= {tuple(r) for r in pairs.collect()} and want
+
+
+def test_stub_gates(spark):
+    people = spark.createDataFrame([(1, "Anna Leeson", dt.date(1990, 1, 1)), (2, "Bo Roemer", None), (3, "Carl Marx Jr", None), (4, "Carl Marx Jrs", None)],
+                                   "entity_id int, full_name string, dob date")
+    stubs = spark.createDataFrame([(10, "Ana Leeson", dt.date(1990, 1, 2)), (11, "Ana Leeson", dt.date(1991, 1, 1)), (12, "Bo Römer", None), (13, "Carl Marx Jr", None), (14, "Roemer Bo", None)],
+                                  "stub_id int, name string, dob date")
+    matched, review = fuzzy.match_stubs(stubs, people)
+    assert {(r["stub_id"], r["entity_id"]) for r in matched.collect()} == {(10, 1), (12, 2), (14, 2)}
+    assert {r["stub_id"] for r in review.collect()} == {11, 13}
+
+
+def test_pairs_flip(spark):
+    left = spark.createDataFrame([(1, "Ann Lee", "Bo Roe")], "left_id int, a_name string, b_name string")
+    right = spark.createDataFrame([(7, "Bo Roe", "Anne Lee"), (8, "Ann Lee", "Someone Else")], "right_id int, x_name string, y_name string")
+    got = fuzzy.match_pairs(left, right, 72.0).collect()
+    assert [(r["right_id"], r["flipped"]) for r in got] == [(7, 1)]
+
+
+def test_cascade(spark):
+    people = spark.createDataFrame([(1, "José Aldo", "x"), (2, "Max Holloway", "x"), (3, "Max Power Holloway", "y")], "entity_id int, full_name string, pool string")
+    rows = spark.createDataFrame([(1, "JOSÉ ALDO", "x"), (2, "Jose Aldo", "x"), (3, "Holloway Max Jr", "x"), (4, "Nobody", "x")], "row_id int, name string, pool string")
+    got = {r["row_id"]: (r["entity_id"], r["stage"]) for r in fuzzy.resolve_names(rows, people).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3)}
