@@ -222,7 +222,7 @@ def _partner(c: str, have: set[str]) -> str | None:
 
 
 def mirror(rows: DataFrame) -> DataFrame:
-    """Each contest from both points of view: sides swapped, differences negated."""
+    """Each contest from both points of view: sides swapped, differences negated; one pass over the rows."""
     have = set(rows.columns)
 
     def seen(c):
@@ -232,7 +232,8 @@ def mirror(rows: DataFrame) -> DataFrame:
             return (-F.col(c)).alias(c)
         return F.col(_partner(c, have) or c).alias(c)
 
-    return rows.unionByName(rows.select(*[seen(c) for c in rows.columns]))
+    same = F.struct(*[F.col(c).alias(c) for c in rows.columns])
+    return rows.select(F.inline(F.array(same, F.struct(*[seen(c) for c in rows.columns]))))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -66,20 +66,24 @@ def _best(scored: DataFrame, by: list[str], *tie: str) -> DataFrame:
 
 
 def match_stubs(stubs: DataFrame, entities: DataFrame, threshold: float = 90.0) -> tuple[DataFrame, DataFrame]:
-    """Best token-sort match per stub; a known birth day must agree within a day.
+    """Best token-sort name per stub, then the birth-day gate among entities of that name.
 
-    Without a birth day the match is accepted only when a single candidate
-    reaches the threshold.  Returns matches and the stubs left for review.
+    A known birth day must agree within a day with exactly one of them; without one
+    the name must belong to a single entity.  An equal name scores 100 and cannot be
+    beaten, so only the others are blocked and scored.  Returns matches and the
+    stubs left for review.
     """
     s = stubs.withColumn("l", sorted_tokens(names.name_key(F.col("name"))))
     e = entities.select("entity_id", F.col("dob").alias("e_dob"), sorted_tokens(names.name_key(F.col("full_name"))).alias("r"))
-    pairs = by_pieces(s, e, threshold).withColumn("score", similarity.ratio("l", "r")).filter(F.col("score") >= threshold)
-    found = s.select("stub_id", "dob", "l").join(pairs, "l").join(e, "r")
-    counts = found.groupBy("stub_id").agg(F.count("*").alias("n"))
-    close = F.abs(F.date_diff("dob", "e_dob")) <= 1
-    ok = F.when(F.col("dob").isNotNull() & F.col("e_dob").isNotNull(), close).otherwise(F.col("n") == 1)
-    top = _best(found.join(counts, "stub_id").filter(ok), ["stub_id"], "entity_id")
-    matched = top.select("stub_id", "entity_id", "score")
+    known, asked = e.select("r").distinct(), s.select("l").distinct()
+    equal = asked.join(known, F.col("l") == F.col("r")).withColumn("score", F.lit(100.0))
+    rest = asked.join(known, F.col("l") == F.col("r"), "left_anti")
+    near = by_pieces(rest, known, threshold).withColumn("score", similarity.ratio("l", "r")).filter(F.col("score") >= threshold)
+    best = equal.unionByName(_best(near, ["l"], "r"))
+    found = s.join(best, "l").join(e, "r")
+    ok = F.when(F.col("dob").isNotNull(), F.coalesce(F.abs(F.date_diff("dob", "e_dob")) <= 1, F.lit(False))).otherwise(True)
+    gated = found.filter(ok).groupBy("stub_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id"), F.max("score").alias("score"))
+    matched = gated.filter("n = 1").select("stub_id", "entity_id", "score")
     return matched, stubs.join(matched.select("stub_id"), "stub_id", "left_anti")
 
 

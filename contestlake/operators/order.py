@@ -80,7 +80,7 @@ def quantiles(df: DataFrame, groups: list[str], value: str, level: Column, bins:
 
 def carry_last(df: DataFrame, groups: list[str], seq: str, value: str, out: str) -> DataFrame:
     """Newest non-NULL value before each row of the group, by ``seq``; long groups are cut into ranges."""
-    binned = with_bin(df.withColumn("_seq", F.col(seq).cast("double")), "_seq", "_bin")
+    binned = df if "_bin" in df.columns else with_bin(df.withColumn("_seq", F.col(seq).cast("double")), "_seq", "_bin")
     tops = binned.groupBy(*groups, "_bin").agg(
         F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("_seq"))).alias("_top"))
     across = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -61,6 +61,8 @@ def build(bets: DataFrame, strategy: str = "kelly", per_bet: float = PER_BET, pe
     legs = legs.join(sums, ["scope", "contest"]).withColumn("stake", F.col("stake") * F.least(F.lit(1.0), F.lit(per_contest) / F.col("_c")))
     whole = legs.groupBy("scope").agg(F.sum("stake").alias("_t"))
     legs = legs.join(whole, "scope").withColumn("stake", F.col("stake") * F.least(F.lit(1.0), F.lit(in_total) / F.col("_t")))
+    # sums may differ in the last bits between runs; a stake exactly on a limit must not
+    legs = legs.withColumn("stake", F.round("stake", 8))
     return legs.filter(F.col("stake") >= smallest).drop("_c", "_t").withColumns({
         "stake_pct": F.round("stake", 2), "ev_per_unit": F.col("our_prob") * F.col("price") - 1, "payout": F.col("price") - 1}).drop("stake")
 

@@ -22,10 +22,12 @@ def classify(quotes: DataFrame) -> DataFrame:
 
     'Any other result' is the opposite of the contest's previous known label.
     """
-    q = quotes.withColumn("_l", F.lower(F.trim("label")))
+    # ranges of the quote order are found before any label is read
+    q = order.with_bin(quotes.withColumn("_seq", F.col("seq").cast("double")), "_seq", "_bin")
+    q = once(q, {"_l": F.lower(F.trim("label")), "_red": names.last_token(F.col("red_name")), "_blue": names.last_token(F.col("blue_name"))})
 
     def who(part: Column) -> Column:
-        return F.when(part.isNotNull(), F.translate(names.side_by_containment(part, F.col("red_name"), F.col("blue_name")), "12", "rb"))
+        return F.when((F.col("_red") != "") & part.contains(F.col("_red")), "r").when((F.col("_blue") != "") & part.contains(F.col("_blue")), "b")
 
     total, starts, ends = r"^(over|under)\s+([\d½]+)\s+rounds?$", r"^fight (starts|won't start) round (\d)$", r"^fight (ends|doesn't end) in round (\d)$"
     method, rnd = r"^(.+?)\s+wins by (tko/ko|submission|decision|unanimous decision|split/majority decision)$", r"^(.+?)\s+wins in round (\d)$"
@@ -44,7 +46,7 @@ def classify(quotes: DataFrame) -> DataFrame:
     q = order.carry_last(q, ["contest_id"], "seq", "_m", "_before")
     other = F.col("_l") == "any other result"
     return q.withColumns({"market": F.when(other, F.col("_before")).otherwise(F.col("_m")),
-                          "side": F.when(other & F.col("_before").isNotNull(), "no").when(F.col("_m").isNotNull(), F.col("_s"))}).drop("_l", "_m", "_s", "_before")
+                          "side": F.when(other & F.col("_before").isNotNull(), "no").when(F.col("_m").isNotNull(), F.col("_s"))}).drop("_l", "_m", "_s", "_before", "_red", "_blue")
 
 
 def market_class(market: Column) -> Column:

@@ -142,8 +142,8 @@ def built(strategy):
         kept.append(f"k{i - 1} AS (SELECT *, len(list_intersect(o{i - 1}, q{i})) > 0 AS y{i}, CASE WHEN len(list_intersect(o{i - 1}, q{i})) > 0 THEN list_intersect(o{i - 1}, q{i}) ELSE o{i - 1} END AS o{i} FROM k{i - 2})")
     return f"""{LEGS_TWIN}, s0 AS (SELECT *, least({START[strategy]}, 5.0) AS st FROM legs), ranked AS (SELECT *, row_number() OVER (PARTITION BY event, contest ORDER BY st DESC, bet_id) AS r FROM s0 WHERE st > 0),
 {", ".join(kept)}, keep AS (SELECT ranked.* FROM ranked JOIN k3 ON k3.event = ranked.event AND k3.contest = ranked.contest WHERE r = 1 OR (r = 2 AND y2) OR (r = 3 AND y3) OR (r = 4 AND y4)),
-c1 AS (SELECT *, st * least(1, 15 / sum(st) OVER (PARTITION BY event, contest)) AS st2 FROM keep), c2 AS (SELECT *, st2 * least(1, 50 / sum(st2) OVER (PARTITION BY event)) AS st3 FROM c1),
-final AS (SELECT event AS scope, contest, bet_id, outcome_keys, round(st3, 2) AS stake_pct, our_prob * price - 1 AS ev_per_unit, price - 1 AS payout FROM c2 WHERE st3 >= 1)"""
+c1 AS (SELECT *, st * least(1, 15 / sum(st) OVER (PARTITION BY event, contest)) AS st2 FROM keep), c2 AS (SELECT *, round(st2 * least(1, 50 / sum(st2) OVER (PARTITION BY event)), 8) AS st3 FROM c1),
+final AS (SELECT event AS scope, contest, bet_id, outcome_keys, floor(st3 * 100 + 0.50001E0) / 100 AS stake_pct, our_prob * price - 1 AS ev_per_unit, price - 1 AS payout FROM c2 WHERE st3 >= 1)"""
 
 
 query("initial_stakes", "bet_id kelly:d flat:d concentrated:d", f"WITH {LEGS_TWIN} SELECT bet_id, " + ", ".join(f"{v} AS {k}" for k, v in START.items()) + " FROM legs")(
