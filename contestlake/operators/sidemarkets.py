@@ -29,19 +29,23 @@ def classify(quotes: DataFrame) -> DataFrame:
     def who(part: Column) -> Column:
         return F.when((F.col("_red") != "") & part.contains(F.col("_red")), "r").when((F.col("_blue") != "") & part.contains(F.col("_blue")), "b")
 
-    total, starts, ends = r"^(over|under)\s+([\d½]+)\s+rounds?$", r"^fight (starts|won't start) round (\d)$", r"^fight (ends|doesn't end) in round (\d)$"
-    method, rnd = r"^(.+?)\s+wins by (tko/ko|submission|decision|unanimous decision|split/majority decision)$", r"^(.+?)\s+wins in round (\d)$"
-    inside, outside = r"^(.+?)\s+wins inside distance$", r"^not\s+(.+?)\s+inside distance$"
+    l = F.col("_l")
+    last = F.substring_index(l, " ", -1)
+    digit = F.when(last.rlike(r"^\d$"), last)
     words = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
-    line = F.replace(_grab("_l", total, 2), F.lit("½"), F.lit(".5"))
-    market = F.coalesce(
-        F.when(F.col("_l").isin("fight goes to decision", "fight doesn't go to decision"), "distance"),
-        F.concat(F.lit("total_rounds_"), line),
-        F.concat(F.lit("starts_round_"), _grab("_l", starts, 2)), F.concat(F.lit("ends_round_"), _grab("_l", ends, 2)),
-        F.concat(who(_grab("_l", method)), F.lit("_method_"), F.element_at(words, _grab("_l", method, 2))),
-        F.concat(who(F.coalesce(_grab("_l", inside), _grab("_l", outside))), F.lit("_inside_distance")),
-        F.concat(who(_grab("_l", rnd)), F.lit("_wins_round_"), _grab("_l", rnd, 2)))
-    side = F.coalesce(_grab("_l", total), F.when(F.col("_l").rlike(r"^not\s|doesn't|won't"), "no").otherwise("yes"))
+    line = F.replace(_grab("_l", r"^(over|under)\s+([\d½]+)\s+rounds?$", 2), F.lit("½"), F.lit(".5"))
+    is_total = l.startswith("over ") | l.startswith("under ")
+    # plain string tests first: most labels never meet a pattern
+    market = (
+        F.when(l.isin("fight goes to decision", "fight doesn't go to decision"), "distance")
+        .when(is_total, F.concat(F.lit("total_rounds_"), line))
+        .when(l.startswith("fight starts round ") | l.startswith("fight won't start round "), F.concat(F.lit("starts_round_"), digit))
+        .when(l.startswith("fight ends in round ") | l.startswith("fight doesn't end in round "), F.concat(F.lit("ends_round_"), digit))
+        .when(l.contains(" wins by "), F.concat(who(F.substring_index(l, " wins by ", 1)), F.lit("_method_"), words[F.substring_index(l, " wins by ", -1)]))
+        .when(l.endswith(" wins inside distance") | (l.startswith("not ") & l.endswith(" inside distance")), F.concat(who(l), F.lit("_inside_distance")))
+        .when(l.contains(" wins in round "), F.concat(who(F.substring_index(l, " wins in round ", 1)), F.lit("_wins_round_"), digit)))
+    negated = l.startswith("not ") | l.contains("doesn't") | l.contains("won't")
+    side = F.when(is_total, F.substring_index(l, " ", 1)).when(negated, "no").otherwise("yes")
     q = once(q, {"_m": market, "_s": side})
     q = order.carry_last(q, ["contest_id"], "seq", "_m", "_before")
     other = F.col("_l") == "any other result"
