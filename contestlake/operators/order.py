@@ -78,14 +78,19 @@ def quantiles(df: DataFrame, groups: list[str], value: str, level: Column, bins:
     return picked.select(*groups, "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("q"))
 
 
-def carry_last(df: DataFrame, groups: list[str], seq: str, value: str, out: str) -> DataFrame:
-    """Newest non-NULL value before each row of the group, by ``seq``; long groups are cut into ranges."""
-    binned = df if "_bin" in df.columns else with_bin(df.withColumn("_seq", F.col(seq).cast("double")), "_seq", "_bin")
-    tops = binned.groupBy(*groups, "_bin").agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col("_seq"))).alias("_top"))
+def carry_last(df: DataFrame, groups: list[str], seq: str, value: str, out: str, size: int = 1000) -> DataFrame:
+    """Newest non-NULL value before each row of the group, by its position ``seq`` in the group.
+
+    A group is cut into runs of ``size`` positions; only the newest value of each run
+    crosses over to the next ones.
+    """
+    binned = df.withColumn("_bin", F.floor(F.col(seq) / size))
+    tops = binned.filter(F.col(value).isNotNull()).groupBy(*groups, "_bin").agg(F.max_by(value, seq).alias("_top"))
+    # every later run must see it, so runs without any value are listed too
+    runs = binned.select(*groups, "_bin").distinct().join(tops, [*groups, "_bin"], "left")
     across = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = tops.select(*groups, "_bin", F.last("_top", True).over(across).alias("_earlier"))
-    inside = Window.partitionBy(*groups, "_bin").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = runs.select(*groups, "_bin", F.last("_top", True).over(across).alias("_earlier")).filter("_earlier IS NOT NULL")
+    inside = Window.partitionBy(*groups, "_bin").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     here = binned.withColumn("_here", F.last(value, True).over(inside))
-    return (here.join(earlier, [*groups, "_bin"]).withColumn(out, F.coalesce("_here", "_earlier"))
-            .drop("_seq", "_bin", "_here", "_earlier"))
+    return (here.join(earlier, [*groups, "_bin"], "left").withColumn(out, F.coalesce("_here", "_earlier"))
+            .drop("_bin", "_here", "_earlier"))

@@ -22,9 +22,7 @@ def classify(quotes: DataFrame) -> DataFrame:
 
     'Any other result' is the opposite of the contest's previous known label.
     """
-    # ranges of the quote order are found before any label is read
-    q = order.with_bin(quotes.withColumn("_seq", F.col("seq").cast("double")), "_seq", "_bin")
-    q = once(q, {"_l": F.lower(F.trim("label")), "_red": names.last_token(F.col("red_name")), "_blue": names.last_token(F.col("blue_name"))})
+    q = once(quotes, {"_l": F.lower(F.trim("label")), "_red": names.last_token(F.col("red_name")), "_blue": names.last_token(F.col("blue_name"))})
 
     def who(part: Column) -> Column:
         return F.when((F.col("_red") != "") & part.contains(F.col("_red")), "r").when((F.col("_blue") != "") & part.contains(F.col("_blue")), "b")

@@ -51,7 +51,7 @@ def test_auc_counts_pairs(spark):
 
 def test_carry_last_over_a_long_group(spark):
     rows = [(1, i, "v%d" % i if i % 50 == 7 else None) for i in range(500)]
-    got = order.carry_last(spark.createDataFrame(rows, "g int, seq int, v string"), ["g"], "seq", "v", "prev").collect()
+    got = order.carry_last(spark.createDataFrame(rows, "g int, seq int, v string"), ["g"], "seq", "v", "prev", size=30).collect()
     for r in got:
         seen = [x[2] for x in rows if x[1] < r["seq"] and x[2]]
         assert r["prev"] == (seen[-1] if seen else None)
