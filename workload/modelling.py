@@ -65,12 +65,12 @@ def _blend(t):
 
 
 query("blended_predictions", "contest_id p:d blended:d used_blend final:d")(_blend)
-TRUE = F.concat(F.when(C("label") == 1, "A_").otherwise("B_"), F.when(C("method") == "KO/TKO", "KO_TKO").when(C("method") == "SUB", "SUB").otherwise("DEC"))
-ROUND = F.when(~C("method").startswith("Dec"), F.concat(F.lit("R"), C("period_ended").cast("string")))
+TRUE = "concat(CASE label WHEN 1 THEN 'A_' ELSE 'B_' END, CASE method WHEN 'KO/TKO' THEN 'KO_TKO' WHEN 'SUB' THEN 'SUB' ELSE 'DEC' END)"
+ROUND = "CASE WHEN method NOT LIKE 'Dec%' THEN concat('R', period_ended) END"
 query("method_class_predictions", "contest_id fold method_true:s " + " ".join(f"c_{c}:d" for c in CLASSES))(
-    lambda t: training.class_walk_forward(training_rows(t).withColumn("method_true", TRUE), NUMERIC, ["pool"], CLASSES, "method_true", 2000))
+    lambda t: training.class_walk_forward(training_rows(t).withColumn("method_true", F.expr(TRUE)), NUMERIC, ["pool"], CLASSES, "method_true", 2000))
 query("round_class_predictions", "contest_id fold round_true:s c_R1:d c_R2:d c_R3:d c_R4:d c_R5:d")(
-    lambda t: training.class_walk_forward(training_rows(t).withColumn("round_true", ROUND), NUMERIC, ["pool"], [f"R{i}" for i in range(1, 6)], "round_true", 2000))
+    lambda t: training.class_walk_forward(training_rows(t).withColumn("round_true", F.expr(ROUND)), NUMERIC, ["pool"], [f"R{i}" for i in range(1, 6)], "round_true", 2000))
 
 
 def _totals(t):
