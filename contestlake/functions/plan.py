@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -21,12 +19,12 @@ def once(df: DataFrame, cols: dict[str, Column], keep: list[str] | None = None,
 
 
 def checkpoint_folder(spark) -> str:
-    """The shared folder named by the session; a local session without one gets its own."""
+    """The shared folder named by the session; one beside the warehouse where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
