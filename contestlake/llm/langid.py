@@ -198,7 +198,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict(slim, model, keep=["doc_id", "held_out"])
 
 
-def accepted(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows whose language is determined with at least this probability, with the columns of ``docs``."""
     model = fit(docs, common.remainder(F.col(doc_id), 3) != 1, text, lang)
     names = docs.columns
