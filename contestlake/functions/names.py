@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# fixed values: accented letters and their plain forms
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüçñýÿšžčćđłńśźż"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyszccdlnszz"
+def _plain_letters() -> dict[str, str]:
+    """Every lower-case letter that decomposes into a plain one and marks."""
+    out = {}
+    for code in range(0x80, 0x2100):
+        base = unicodedata.normalize("NFKD", chr(code))[0]
+        if chr(code).islower() and base.isascii() and base.isalpha():
+            out[chr(code)] = base.lower()
+    return out
+
+
+ACCENTED, PLAIN = map("".join, zip(*_plain_letters().items()))
+#: The same key as SQL text, for SQL functions; combining marks vanish, other characters separate words.
+KEY_SQL = (rf"trim(regexp_replace(translate(regexp_replace(lower({{0}}), '\\p{{{{M}}}}+', ''), '{ACCENTED}', '{PLAIN}'), '[^a-z0-9]+', ' '))")
 
 
 def name_key(name: Column) -> Column:
-    """Accent-, case- and punctuation-insensitive key."""
-    flat = F.translate(F.lower(name), ACCENTED, PLAIN)
+    """Accent-, case- and punctuation-insensitive key; letters without a plain form (such as ø) separate words."""
+    flat = F.translate(F.regexp_replace(F.lower(name), r"\p{M}+", ""), ACCENTED, PLAIN)
     return F.trim(F.regexp_replace(flat, "[^a-z0-9]+", " "))
 
 

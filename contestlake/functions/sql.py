@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contestlake.functions import names
+
 # Bodies in Spark SQL; they inline into the plan like any expression.
 FUNCTIONS = {
     "american_to_implied(o DOUBLE)": "CASE WHEN o >= 0 THEN 100D / (o + 100D) ELSE -o / (100D - o) END",
@@ -13,7 +15,7 @@ FUNCTIONS = {
     "log_loss(y INT, p DOUBLE)": "-CASE WHEN y = 1 THEN ln(least(greatest(p, 1E-7D), 1D - 1E-7D)) ELSE ln(1D - least(greatest(p, 1E-7D), 1D - 1E-7D)) END",
     "brier(y INT, p DOUBLE)": "(p - y) * (p - y)",
     "elo_expected(diff DOUBLE)": "1D / (1D + pow(10D, -diff / 400D))",
-    "name_key(n STRING)": "trim(regexp_replace(translate(lower(n), 'àáâãäåèéêëìíîïòóôõöùúûüçñýÿšžčćđłńśźż', 'aaaaaaeeeeiiiiooooouuuucnyyszccdlnszz'), '[^a-z0-9]+', ' '))",
+    "name_key(n STRING)": names.KEY_SQL.format("n"),
 }
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from contestlake.operators.history import STATS
 
-TAIL = 150          # 2^-50: contests further back do not move a half-life-3 mean
 HALF_LIFE = 3.0
 BLOCK = 1500        # contests per rescaling block; 2^(1500/3) stays well inside a double
 SUMS = [*STATS, "opp_td_l", "opp_td_a", "opp_sig_l", "opp_sig_a", "won", "ko", "finish",
         "sub_win", "ko_loss", "sub_loss", "finish_loss", "sec"]
+NEWEST = 5           # contests that the recent-form features look back on
 EWMA = {"win_rate": "won", "finish_rate": "finish", "slpm": "slpm", "kd_per_contest": "kd"}
 # measures whose values are present together share one prefix pass
 PASSES = [["win_rate", "finish_rate"], ["slpm"], ["kd_per_contest"]]
@@ -28,20 +28,19 @@ _THRU = "OVER (PARTITION BY entity_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECED
 
 def daily(history: DataFrame) -> DataFrame:
     """One row per (entity, day): sums, the newest contests, decayed sums, day-end runs."""
-    ranked = history.selectExpr(
-        "*", "sig_l / (sec / 60D) AS slpm",
-        "row_number() OVER (PARTITION BY entity_id, dt ORDER BY contest_id DESC) AS rn")
+    newest_first = "OVER (PARTITION BY entity_id, dt ORDER BY contest_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ranked = history.selectExpr("*", "sig_l / (sec / 60D) AS slpm").selectExpr(
+        "*", f"row_number() {newest_first} AS rn",
+        # place among the values present: 1 for the newest, whose weight is 1
+        *[f"count({v}) {newest_first} AS k_{k}" for k, v in EWMA.items()])
+    ratio = repr(2.0 ** (-1.0 / HALF_LIFE)) + "D"
     day = ranked.groupBy("entity_id", "dt").agg(*map(F.expr, [
         "count(*) AS n", *[f"sum({c}) AS {c}" for c in SUMS],
         "min(CASE WHEN won = 0 THEN rn END) AS loss_rn", "min(CASE WHEN won = 1 THEN rn END) AS win_rn",
-        f"array_sort(collect_list(CASE WHEN rn <= {TAIL} THEN struct(rn, {', '.join(_RECENT)}, slpm) END)) AS tail"]))
-    ratio = repr(2.0 ** (-1.0 / HALF_LIFE)) + "D"
-    decayed = [
-        f"aggregate(tail, struct(1D AS w, 0D AS s, 0D AS t, 0L AS k), (a, x) -> CASE WHEN x.{v} IS NULL THEN a ELSE "
-        f"struct(a.w * {ratio} AS w, a.s + a.w * x.{v} AS s, a.t + a.w AS t, a.k + 1L AS k) END) AS e_{k}"
-        for k, v in EWMA.items()]
-    keep = [c for c in day.columns if c != "tail"]
-    return day.selectExpr(*keep, "slice(tail, 1, 5) AS tail", *decayed)
+        *[f"struct(coalesce(sum({v} * pow({ratio}, k_{k} - 1)), 0D) AS s, coalesce(sum(CASE WHEN {v} IS NOT NULL THEN pow({ratio}, k_{k} - 1) END), 0D) AS t, "
+          f"count({v}) AS k) AS e_{k}" for k, v in EWMA.items()],
+        f"array_sort(collect_list(CASE WHEN rn <= {NEWEST} THEN struct(rn, {', '.join(_RECENT)}, slpm) END)) AS tail"]))
+    return day
 
 
 def entity_asof(history: DataFrame, requests: DataFrame) -> DataFrame:
@@ -77,29 +76,30 @@ def entity_asof(history: DataFrame, requests: DataFrame) -> DataFrame:
 def _decay_pass(days: DataFrame, group: list[str]) -> DataFrame:
     """Half-life means from prefix sums, rescaled per block of contests.
 
-    Day d of a block weighs 2^((contests through d - block start) / half-life);
-    the block before it enters once, scaled back, and anything older is below
-    double precision.  Numerator and denominator share the scale, so it cancels.
-    A full tail already pushes older days below double precision, so a day steps
-    by at most twice the tail and no block is skipped.
+    Day d of a block weighs 2^((contests through d - block start) / half-life).  The last block before it that
+    holds contests enters once: scaled back if it is the adjoining one, on its own if the day's block has no
+    earlier day, not at all otherwise, as it is then below double precision.  Numerator and denominator share
+    the scale, so it cancels.  A day steps by its true number of contests, however many blocks that spans.
     """
-    counted = f"coalesce(e_{group[0]}.k, 0)"
-    step = f"CASE WHEN {counted} >= {TAIL} THEN {2 * TAIL} ELSE {counted} END"
     keep = days.columns
-    days = days.selectExpr("*", f"sum({step}) {_THRU} AS _thru")
+    days = days.selectExpr("*", f"sum(coalesce(e_{group[0]}.k, 0)) {_THRU} AS _thru")
     days = days.selectExpr("*", f"floor(_thru / {BLOCK}) AS _blk")
     days = days.selectExpr("*", *[
         f"coalesce(e_{k}.{p} * pow(2D, (_thru - _blk * {BLOCK}) / {HALF_LIFE}D), 0D) AS _{p}_{k}"
         for k in group for p in "st"])
+    parts = [f"_{p}_{k}" for k in group for p in "st"]
+    days = days.selectExpr("*", *[f"sum({c}) OVER (PARTITION BY entity_id, _blk) AS _b{c}" for c in parts])
     back = repr(2.0 ** (-BLOCK / HALF_LIFE)) + "D"
+    days = days.selectExpr(
+        "*", f"last(struct(_blk AS blk, {', '.join(f'_b{c} AS {c}' for c in parts)})) OVER (PARTITION BY entity_id ORDER BY _blk "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _old",
+        *[f"coalesce(sum({c}) OVER (PARTITION BY entity_id, _blk ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS _i{c}" for c in parts])
 
-    def weighted(c):
-        return (f"(coalesce(sum({c}) OVER (PARTITION BY entity_id, _blk ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING "
-                f"AND 1 PRECEDING), 0D) + {back} * coalesce(sum({c}) OVER (PARTITION BY entity_id ORDER BY _blk "
-                f"RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0D))")
+    def weighted(p, k):
+        scale = f"CASE WHEN _i_t_{k} = 0 THEN 1D WHEN _blk - _old.blk = 1 THEN {back} ELSE 0D END"
+        return f"(_i_{p}_{k} + coalesce(_old._{p}_{k}, 0D) * {scale})"
 
-    return days.selectExpr(*keep, *[
-        f"try_divide({weighted(f'_s_{k}')}, {weighted(f'_t_{k}')}) AS ewma_{k}" for k in group])
+    return days.selectExpr(*keep, *[f"try_divide({weighted('s', k)}, {weighted('t', k)}) AS ewma_{k}" for k in group])
 
 
 def _features(d: DataFrame) -> DataFrame:

@@ -66,25 +66,66 @@ def _best(scored: DataFrame, by: list[str], *tie: str) -> DataFrame:
 
 
 def match_stubs(stubs: DataFrame, entities: DataFrame, threshold: float = 90.0) -> tuple[DataFrame, DataFrame]:
-    """Best token-sort name per stub, then the birth-day gate among entities of that name.
+    """Best token-sort stub name per entity, then the birth-day gate among the stubs of that name.
 
-    A known birth day must agree within a day with exactly one of them; without one
-    the name must belong to a single entity.  An equal name scores 100 and cannot be
-    beaten, so only the others are blocked and scored.  Returns matches and the
-    stubs left for review.
+    An entity's known birth day must agree within a day with exactly one of them; without one the name must
+    belong to a single stub.  Several entities may take one stub.  An equal name scores 100 and cannot be
+    beaten, so only the others are blocked and scored.  Returns matches and the entities left for review.
     """
-    s = stubs.withColumn("l", sorted_tokens(names.name_key(F.col("name"))))
-    e = entities.select("entity_id", F.col("dob").alias("e_dob"), sorted_tokens(names.name_key(F.col("full_name"))).alias("r"))
-    known, asked = e.select("r").distinct(), s.select("l").distinct()
+    s = stubs.select("stub_id", F.col("dob").alias("s_dob"), F.lower("name").alias("low"), sorted_tokens(names.name_key(F.col("name"))).alias("l"))
+    e = entities.withColumn("r", sorted_tokens(names.name_key(F.col("full_name"))))
+    known, asked = s.filter("l <> ''").select("l").distinct(), e.filter("r <> ''").select("r").distinct()
     equal = asked.join(known, F.col("l") == F.col("r")).withColumn("score", F.lit(100.0))
     rest = asked.join(known, F.col("l") == F.col("r"), "left_anti")
-    near = by_pieces(rest, known, threshold).withColumn("score", similarity.ratio("l", "r")).filter(F.col("score") >= threshold)
-    best = equal.unionByName(_best(near, ["l"], "r"))
-    found = s.join(best, "l").join(e, "r")
-    ok = F.when(F.col("dob").isNotNull(), F.coalesce(F.abs(F.date_diff("dob", "e_dob")) <= 1, F.lit(False))).otherwise(True)
-    gated = found.filter(ok).groupBy("stub_id").agg(F.count("*").alias("n"), F.min("entity_id").alias("entity_id"), F.max("score").alias("score"))
+    near = by_pieces(known, rest, threshold).withColumn("score", similarity.ratio("l", "r")).filter(F.col("score") >= threshold)
+    top = _best(equal.unionByName(near).join(s.select("l", "low").distinct(), "l"), ["r"], "low").select("r", "low", "score")
+    found = e.join(top, "r").join(s.select("stub_id", "s_dob", "low"), "low")
+    ok = F.when(F.col("dob").isNotNull(), F.coalesce(F.abs(F.date_diff("dob", "s_dob")) <= 1, F.lit(False))).otherwise(True)
+    gated = found.filter(ok).groupBy("entity_id").agg(F.count("*").alias("n"), F.min("stub_id").alias("stub_id"), F.max("score").alias("score"))
     matched = gated.filter("n = 1").select("stub_id", "entity_id", "score")
-    return matched, stubs.join(matched.select("stub_id"), "stub_id", "left_anti")
+    return matched, entities.join(matched.select("entity_id"), "entity_id", "left_anti")
+
+
+def by_sorted_pieces(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (l, r) whose sorted tokens can reach ``threshold``."""
+    a = left.select("l", sorted_tokens(F.col("l")).alias("_l")).distinct()
+    b = right.select("r", sorted_tokens(F.col("r")).alias("_r")).distinct()
+    near = by_pieces(a.select(F.col("_l").alias("l")), b.select(F.col("_r").alias("r")), threshold).withColumnsRenamed({"l": "_l", "r": "_r"})
+    return near.join(a, "_l").join(b, "_r").select("l", "r").distinct()
+
+
+def by_last_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (l, r) in which the last token of l can reach ``threshold`` against some token of r."""
+    a = left.select("l", F.element_at(F.split("l", " "), -1).alias("_l")).distinct()
+    b = right.select("r", F.explode(F.split("r", " ")).alias("_r")).distinct()
+    near = by_pieces(a.select(F.col("_l").alias("l")), b.select(F.col("_r").alias("r")), threshold).withColumnsRenamed({"l": "_l", "r": "_r"})
+    near = near.filter(similarity.ratio("_l", "_r") >= threshold)
+    return near.join(a, "_l").join(b, "_r").select("l", "r").distinct()
+
+
+def flipped(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("r").alias("l"), F.col("l").alias("r"))
+
+
+def name_pairs(left: DataFrame, right: DataFrame, threshold: float, scorer: str) -> DataFrame:
+    """Pairs (l, r, score) of distinct names that reach ``threshold``.
+
+    ``ratio`` and ``sort`` (token-sort) compare whole names; ``set`` is the best of token-set and of either
+    last token against the other name, ``set_left`` leaves out the last token of the right name.  Blocks:
+    pieces for whole names; for token sets, names without a common token score by their sorted tokens, so
+    common tokens and pieces of sorted tokens are complete.  A last token is looked for among whole tokens only:
+    a pair that reaches the threshold merely by a window across or inside other tokens is not found.
+    """
+    if scorer in ("ratio", "sort"):
+        near, score = (by_pieces, similarity.ratio("l", "r")) if scorer == "ratio" else (by_sorted_pieces, similarity.token_sort_ratio("l", "r"))
+        return near(left, right, threshold).withColumn("score", score).filter(F.col("score") >= threshold)
+    near = by_tokens(left, right).unionByName(by_sorted_pieces(left, right, threshold)).unionByName(by_last_tokens(left, right, threshold))
+    terms = [similarity.token_set_ratio("l", "r"), similarity.partial_ratio(names.last_token(F.col("l")), F.col("r"))]
+    if scorer == "set":
+        turned = by_last_tokens(right.withColumnRenamed("r", "l"), left.withColumnRenamed("l", "r"), threshold)
+        near = near.unionByName(flipped(turned))
+        terms.append(similarity.partial_ratio(F.col("l"), names.last_token(F.col("r"))))
+    return near.distinct().withColumn("score", F.greatest(*terms)).filter(F.col("score") >= threshold)
 
 
 def resolve_names(rows: DataFrame, entities: DataFrame, threshold: float = 88.0) -> DataFrame:
@@ -97,15 +138,18 @@ def resolve_names(rows: DataFrame, entities: DataFrame, threshold: float = 88.0)
     done = exact.filter("entity_id IS NOT NULL").select("row_id", "entity_id", F.when(F.col("_e1").isNotNull(), 1).otherwise(2).alias("stage"), F.lit(100.0).alias("score"))
     rest = exact.filter("entity_id IS NULL").select("row_id", "pool", F.col("_key").alias("l"))
     dims = e.select("entity_id", "pool", F.col("_key").alias("r"))
-    pairs = by_tokens(rest, dims, ["pool"]).withColumn("score", similarity.token_set_ratio("l", "r")).filter(F.col("score") >= threshold)
+    # names without a common token score by their sorted tokens, so the two blocks lose no pair
+    pieces = by_sorted_pieces(rest.filter("l <> ''"), dims.filter("r <> ''"), threshold).join(rest.select("l", "pool").distinct(), "l").join(dims.select("r", "pool").distinct(), ["r", "pool"])
+    pairs = by_tokens(rest, dims, ["pool"]).unionByName(pieces.select("l", "r", "pool")).distinct()
+    pairs = pairs.withColumn("score", similarity.token_set_ratio("l", "r")).filter(F.col("score") >= threshold)
     fuzzy = _best(rest.join(pairs, ["l", "pool"]).join(dims, ["r", "pool"]), ["row_id"], "entity_id")
     return done.unionByName(fuzzy.select("row_id", "entity_id", F.lit(3).alias("stage"), "score"))
 
 
-def match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int | None = None) -> DataFrame:
+def match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int | None = None, scorer: str = "set") -> DataFrame:
     """Best right contest per left contest: max(min(straight), min(crossed)) of the two name scores.
 
-    Blocks: distinct names that share a token, and the day window when given.
+    ``scorer`` as in ``name_pairs``; blocks are its blocks over distinct names, and the day window when given.
     Left needs left_id, a_name, b_name (, dt); right needs right_id, x_name, y_name (, dt).
     """
     l = left.withColumns({"_a": names.name_key(F.col("a_name")), "_b": names.name_key(F.col("b_name"))})
@@ -113,7 +157,7 @@ def match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int |
     ln = l.select(F.explode(F.array("_a", "_b")).alias("l")).filter("l <> ''").distinct()
     rn = r.select(F.explode(F.array("_x", "_y")).alias("r")).filter("r <> ''").distinct()
     # names are scored once; both members of a match must reach the threshold
-    score = by_tokens(ln, rn).withColumn("score", similarity.token_sort_ratio("l", "r")).filter(F.col("score") >= threshold)
+    score = name_pairs(ln, rn, threshold, scorer)
     cols = ["right_id", "_x", "_y"] + (["dt"] if days is not None else [])
     via = l.join(score.withColumnsRenamed({"l": "_a", "r": "_p", "score": "_s1"}), "_a")
     straight = r.select(*cols).withColumns({"_p": F.col("_x"), "_q": F.col("_y"), "flipped": F.lit(0)})
@@ -131,7 +175,8 @@ def match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int |
 def best_key(rows: DataFrame, threshold: float = 60.0) -> DataFrame:
     """Best key of each row's price map for the target name."""
     long = rows.select("row_id", "target", F.explode("prices").alias("key", "price"))
-    scored = long.withColumn("score", similarity.token_set_ratio(names.name_key(F.col("target")), names.name_key(F.col("key"))))
+    a, b = names.name_key(F.col("target")), names.name_key(F.col("key"))
+    scored = long.withColumn("score", F.greatest(similarity.token_set_ratio(a, b), similarity.partial_ratio(names.last_token(a), b), similarity.partial_ratio(a, names.last_token(b))))
     return _best(scored.filter(F.col("score") >= threshold), ["row_id"], "key")
 
 
@@ -147,7 +192,16 @@ def side_of(text: Column, a: Column, b: Column, threshold: float = 65.0) -> Colu
 
 
 def merge_schedule(schedule: DataFrame, predictions: DataFrame, threshold: float = 88.0) -> DataFrame:
-    """Predictions plus the schedule entries that none of them matches in either order."""
-    hit = match_pairs(schedule.selectExpr("scheduled_id AS left_id", "a_name", "b_name"), predictions.selectExpr("contest_id AS right_id", "a_name AS x_name", "b_name AS y_name"), threshold)
-    open_rows = schedule.join(hit.select(F.col("left_id").alias("scheduled_id")), "scheduled_id", "left_anti")
+    """Predictions plus the schedule entries that none of them matches in either order.
+
+    An entry whose pair of name keys is among the predictions scores 100 and needs no search; only the
+    others are compared approximately.
+    """
+    def keys(df):
+        a, b = names.name_key(F.col("a_name")), names.name_key(F.col("b_name"))
+        return df.withColumn("_pair", F.when((a != "") & (b != ""), resolve.pair_key(a, b)))
+
+    rest = keys(schedule).join(keys(predictions).select("_pair").distinct(), "_pair", "left_anti").drop("_pair")
+    hit = match_pairs(rest.selectExpr("scheduled_id AS left_id", "a_name", "b_name"), predictions.selectExpr("contest_id AS right_id", "a_name AS x_name", "b_name AS y_name"), threshold, scorer="ratio")
+    open_rows = rest.join(hit.select(F.col("left_id").alias("scheduled_id")), "scheduled_id", "left_anti")
     return predictions.unionByName(open_rows, allowMissingColumns=True)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contestlake.functions import names
+from contestlake.operators import upsert
 
 
 def by_name(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:
@@ -27,7 +28,7 @@ def missing(fresh: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
 
 def load_steps(fresh: list[DataFrame], stored: list[DataFrame], keys: list[list[str]]) -> list[DataFrame]:
     """Tables of one load in dependency order: stored rows plus the new ones, so a rerun adds nothing."""
-    return [s.unionByName(missing(f.dropDuplicates(k), s, *k)) for f, s, k in zip(fresh, stored, keys)]
+    return [s.unionByName(missing(upsert.one_each(f, k), s, *k)) for f, s, k in zip(fresh, stored, keys)]
 
 
 def pair_key(a: Column, b: Column) -> Column:
@@ -123,7 +124,7 @@ def merge_duplicates(rows: DataFrame, key: Column, columns: list[str], tie: str)
 
 def fallback(rows: DataFrame, schedule: DataFrame, columns: list[str]) -> DataFrame:
     """Blank columns from the schedule entry of the same unordered pair."""
-    s = schedule.select("pair", *[F.col(c).alias(f"_s_{c}") for c in columns]).dropDuplicates(["pair"])
+    s = upsert.one_each(schedule.select("pair", *[F.col(c).alias(f"_s_{c}") for c in columns]), ["pair"])
     return rows.join(s, "pair", "left").withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_s_{c}")) for c in columns}).drop(
         *[f"_s_{c}" for c in columns])
 
@@ -141,7 +142,7 @@ def preview(schedule: DataFrame, entities: DataFrame, *attributes: str) -> DataF
     """Schedule entries with attributes of both sides and a status."""
     out = schedule
     for s in ("red", "blue"):
-        e = entities.select(names.name_key(F.col("full_name")).alias("_k"), *[F.col(a).alias(f"{s}_{a}") for a in attributes]).dropDuplicates(["_k"])
+        e = upsert.one_each(entities.select(names.name_key(F.col("full_name")).alias("_k"), *[F.col(a).alias(f"{s}_{a}") for a in attributes]), ["_k"])
         out = out.withColumn("_k", names.name_key(F.col(f"{s}_name"))).join(e, "_k", "left").drop("_k")
     status = F.when(F.col("is_cancelled"), "cancelled").when(F.col("winner_id").isNotNull(), "final").otherwise("scheduled")
     return out.withColumn("status", status)

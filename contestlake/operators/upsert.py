@@ -11,6 +11,11 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the smallest by the other columns, so that reruns agree."""
+    return newest(rows, keys, [F.col(f"`{c}`").asc_nulls_last() for c in rows.columns if c not in keys] or [F.lit(1)])
+
+
 def replace(stored: DataFrame, fresh: DataFrame, keys: list[str], stamp: str) -> DataFrame:
     """Insert-or-replace: fresh rows beat stored ones, later stamps beat earlier ones."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))

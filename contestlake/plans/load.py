@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from contestlake.functions import parse
-from contestlake.operators import cards
+from contestlake.operators import cards, upsert
 
 PAIRS = {"sig": "SIG.STR.", "total": "TOTAL STR.", "td": "TD", "head": "HEAD", "body": "BODY", "leg": "LEG", "dist": "DISTANCE", "clinch": "CLINCH", "ground": "GROUND"}
 COUNTERS = ["kd", *[f"{p}_{x}" for p in PAIRS for x in ("l", "a")], "sub_att", "rev", "ctrl"]
@@ -21,13 +21,13 @@ def entities(raw: dict[str, DataFrame]) -> DataFrame:
                                         F.col("NICKNAME").alias("nickname")).filter("entity_id IS NOT NULL AND full_name IS NOT NULL")
     size = raw["fighter_tott"].select(parse.url_id(F.col("URL")).alias("entity_id"), parse.feet_inches_cm(F.col("HEIGHT")).alias("height_cm"),
                                       parse.inches_cm(F.col("REACH")).alias("reach_cm"), F.nullif("STANCE", F.lit("--")).alias("stance"), parse.any_date(F.col("DOB")).alias("dob"))
-    return who.dropDuplicates(["entity_id"]).join(size.dropDuplicates(["entity_id"]), "entity_id", "left")
+    return upsert.one_each(who, ["entity_id"]).join(upsert.one_each(size, ["entity_id"]), "entity_id", "left")
 
 
 def events(raw: dict[str, DataFrame]) -> DataFrame:
-    return raw["event_details"].select(parse.url_id(F.col("URL")).alias("event_id"), F.trim("EVENT").alias("event_name"), parse.any_date(F.col("DATE")).alias("dt"),
+    return upsert.one_each(raw["event_details"].select(parse.url_id(F.col("URL")).alias("event_id"), F.trim("EVENT").alias("event_name"), parse.any_date(F.col("DATE")).alias("dt"),
                                        F.col("LOCATION").alias("location"), parse.last_part(F.col("LOCATION")).alias("country")).filter(
-        "event_id IS NOT NULL AND dt IS NOT NULL").dropDuplicates(["event_id"])
+        "event_id IS NOT NULL AND dt IS NOT NULL"), ["event_id"])
 
 
 def contests(raw: dict[str, DataFrame], people: DataFrame, days: DataFrame) -> DataFrame:
@@ -37,11 +37,11 @@ def contests(raw: dict[str, DataFrame], people: DataFrame, days: DataFrame) -> D
     r = r.withColumns({"_l": parse.squeeze(F.col("x.left")), "_r": parse.squeeze(F.col("x.right"))})
     r = r.join(dims.withColumnsRenamed({"k": "_l", "id": "red_id"}), "_l").join(dims.withColumnsRenamed({"k": "_r", "id": "blue_id"}), "_r")
     r = r.withColumn("event_name", F.trim("EVENT")).join(days.select("event_name", "event_id", "dt"), "event_name")
-    return r.select(parse.url_id(F.col("URL")).alias("contest_id"), "event_id", "dt", "red_id", "blue_id", F.trim("WEIGHTCLASS").alias("pool"),
+    return upsert.one_each(r.select(parse.url_id(F.col("URL")).alias("contest_id"), "event_id", "dt", "red_id", "blue_id", F.trim("WEIGHTCLASS").alias("pool"),
                     parse.winner_of(F.col("OUTCOME"), F.col("red_id"), F.col("blue_id")).alias("winner_id"), parse.outcome_method(F.col("METHOD")).alias("method"),
                     parse.first_int(F.col("ROUND")).alias("period_ended"), parse.clock_seconds(F.col("TIME")).alias("time_ended_sec"),
                     parse.is_title(F.col("WEIGHTCLASS")).alias("is_title"), parse.is_long_format(_q("TIME FORMAT")).alias("is_long"),
-                    parse.squeeze(F.col("EVENT")).alias("event_key"), parse.squeeze(F.col("BOUT")).alias("bout_key")).filter("contest_id IS NOT NULL").dropDuplicates(["contest_id"])
+                    parse.squeeze(F.col("EVENT")).alias("event_key"), parse.squeeze(F.col("BOUT")).alias("bout_key")).filter("contest_id IS NOT NULL"), ["contest_id"])
 
 
 def period_stats(raw: dict[str, DataFrame], fights: DataFrame, people: DataFrame) -> DataFrame:

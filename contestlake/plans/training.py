@@ -16,7 +16,6 @@ from contestlake.functions.plan import durable
 from contestlake.operators import folds, totals
 
 MIN_TRAIN, MIN_VAL, MIN_CALIB = 100, 10, 50
-CURVE = 10_000          # resolution of a calibration curve: at most CURVE + 1 rows reach its fit
 
 
 def prepare(rows: DataFrame, numeric: list[str], categories: list[str]) -> tuple[DataFrame, list, list[str]]:
@@ -47,9 +46,8 @@ def raw_probability(model: PipelineModel, rows: DataFrame, out: str = "raw") ->
 
 
 def fit_isotonic(rows: DataFrame, p: str, label: str):
-    """Monotone calibration curve on weighted means of narrow probability bins."""
-    slot = F.round(F.col(p) * CURVE) / CURVE
-    points = rows.groupBy(slot.alias("x")).agg(F.avg(label).alias("label"), F.count("*").cast("double").alias("weight"))
+    """Monotone calibration curve; rows of equal probability are merged first, which does not change it."""
+    points = rows.groupBy(F.col(p).alias("x")).agg(F.avg(label).alias("label"), F.count("*").cast("double").alias("weight"))
     return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(points)
 
 

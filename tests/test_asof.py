@@ -74,6 +74,17 @@ def test_long_career_uses_blocks(spark):
         assert r["ewma_win_rate"] == pytest.approx(expected(rows, 0, r["dt"])["ewma_win_rate"], rel=1e-9)
 
 
+def test_days_of_many_contests(spark):
+    """A day counts with all its contests, also if it spans several blocks."""
+    per_day = [3, 400, 2, 4000, 1, 1, 160, 2]
+    flat = [d for d, n in enumerate(per_day) for _ in range(n)]
+    rows = [(i, 0, D0 + dt.timedelta(days=d), "p", i % 4, 5, 9, 0, 0, 0, 0, 0, 0, 0, 0, int(i * 7919 % 10 < 5), 0, 0, 0, 0, 0, 0, 60) for i, d in enumerate(flat)]
+    asked = spark.createDataFrame([(0, D0 + dt.timedelta(days=k)) for k in range(9)], "entity_id bigint, dt date")
+    for r in asof.entity_asof(spark.createDataFrame(rows, SCHEMA), asked).collect():
+        want = expected(rows, 0, r["dt"])["ewma_win_rate"]
+        assert r["ewma_win_rate"] == (pytest.approx(want, rel=1e-9) if want is not None else None), r["dt"]
+
+
 def test_schedule_strength_matches_loop(spark):
     rng = random.Random(3)
     rows = sorted({(e, D0 + dt.timedelta(days=rng.randint(0, 12)), c, 1400.0 + rng.randint(0, 300), rng.randint(0, 1)) for c, e in enumerate([0] * 40 + [1] * 9)})

@@ -132,8 +132,8 @@ SELECT count(*) AS n, count(*) FILTER (dt < top) AS out_of_order FROM (SELECT dt
 """)(lambda t: metrics.out_of_order(t.contest.selectExpr("contest_id AS seq", "dt")))
 
 query("walk_forward_folds", "fold n_train n_calib n_val", """
-SELECT y AS fold, count(*) FILTER (yr < y - 1) AS n_train, count(*) FILTER (yr = y - 1) AS n_calib, count(*) FILTER (yr = y) AS n_val FROM oof, (SELECT DISTINCT yr AS y FROM oof WHERE yr >= 1998) AS f GROUP BY y
-""")(lambda t: folds.fold_sizes(t.oof, 1998))
+SELECT y AS fold, count(*) FILTER (yr < y - 1) AS n_train, count(*) FILTER (yr = y - 1) AS n_calib, count(*) FILTER (yr = y) AS n_val FROM oof, (SELECT DISTINCT yr AS y FROM oof) AS f GROUP BY y
+""")(lambda t: folds.fold_sizes(t.oof, 0))
 query("chronological_split", "contest_id part:s", """
 SELECT contest_id, CASE WHEN k <= floor(n * 0.70) THEN 'train' WHEN k <= floor(n * 0.85) THEN 'calibrate' ELSE 'test' END AS part FROM (
   SELECT contest_id, row_number() OVER (ORDER BY dt, contest_id) AS k, count(*) OVER () AS n FROM oof) AS x

@@ -168,14 +168,14 @@ FROM (SELECT DISTINCT red_id AS entity_id, pool, dt FROM contest) AS w LEFT JOIN
 """)(lambda t: ratings.lookup(t.contest.selectExpr("red_id AS entity_id", "pool", "dt").distinct(), t.sql(RATED)))
 
 # Scheduled contests: features as of the day after the last result of the year.
-ASKED = """SELECT DISTINCT entity_id, CAST(dt + INTERVAL 1 DAY AS DATE) AS dt FROM (SELECT red_id AS entity_id, dt FROM contest WHERE yr = 2001
-  UNION ALL SELECT blue_id, dt FROM contest WHERE yr = 2001) AS u"""
+ASKED = """SELECT DISTINCT entity_id, CAST(dt + INTERVAL 1 DAY AS DATE) AS dt FROM (SELECT red_id AS entity_id, dt FROM contest
+  UNION ALL SELECT blue_id, dt FROM contest) AS u"""
 query("scheduled_features", "contest_id as_of:s a_n_contests b_n_contests diff_win_rate:d diff_l3_win_rate:d diff_l5_slpm:d diff_ewma_win_rate:d diff_td_def:d diff_win_streak",
       feature_ctes(ASKED) + """SELECT c.contest_id, a.dt AS as_of, a.n_contests AS a_n_contests, b.n_contests AS b_n_contests, a.win_rate - b.win_rate AS diff_win_rate,
   a.l3_win_rate - b.l3_win_rate AS diff_l3_win_rate, a.l5_slpm - b.l5_slpm AS diff_l5_slpm, a.ewma_win_rate - b.ewma_win_rate AS diff_ewma_win_rate,
   a.td_def - b.td_def AS diff_td_def, a.win_streak - b.win_streak AS diff_win_streak
-FROM contest c JOIN feat a ON a.entity_id = c.red_id AND a.dt = c.dt + INTERVAL 1 DAY JOIN feat b ON b.entity_id = c.blue_id AND b.dt = c.dt + INTERVAL 1 DAY WHERE c.yr = 2001
-""")(lambda t: plan.scheduled_features(t.contest.filter("yr = 2001").selectExpr("contest_id", "date_add(dt, 1) AS dt", "pool", "red_id AS a_id", "blue_id AS b_id"),
+FROM contest c JOIN feat a ON a.entity_id = c.red_id AND a.dt = c.dt + INTERVAL 1 DAY JOIN feat b ON b.entity_id = c.blue_id AND b.dt = c.dt + INTERVAL 1 DAY
+""")(lambda t: plan.scheduled_features(t.contest.selectExpr("contest_id", "date_add(dt, 1) AS dt", "pool", "red_id AS a_id", "blue_id AS b_id"),
                                        t.contest, t.totals).select(
     "contest_id", C("dt").alias("as_of"), C("fa.n_contests").alias("a_n_contests"), C("fb.n_contests").alias("b_n_contests"),
     *[cross.difference(c) for c in ("win_rate", "l3_win_rate", "l5_slpm", "ewma_win_rate", "td_def", "win_streak")]))

@@ -44,7 +44,7 @@ SELECT c.contest_id, t.entity_id, t.sig_l FROM totals t JOIN contest c ON CAST(c
      .join(t.contest.selectExpr("contest_id", "string(dt) AS event", "string(contest_id) AS bout"), ["event", "bout"]))
 
 QUOTED = """SELECT c.contest_id AS quote_id, CAST(c.dt AS DATE) + CAST(c.contest_id % 6 - 2 AS INT) AS dt, CASE WHEN c.contest_id % 2 = 0 THEN r.s_name ELSE lower(b.s_name) END AS name1, CASE WHEN c.contest_id % 2 = 0 THEN b.s_name ELSE upper(r.s_name) END AS name2,
-  CASE WHEN c.contest_id % 2 = 0 THEN c.odds_red ELSE c.odds_blue END AS price1, CASE WHEN c.contest_id % 2 = 0 THEN c.odds_blue ELSE c.odds_red END AS price2 FROM contest c JOIN supplier r ON r.s_suppkey = red_id JOIN supplier b ON b.s_suppkey = blue_id WHERE c.contest_id % 3 = 0"""
+  CASE WHEN c.contest_id % 2 = 0 THEN c.odds_red ELSE c.odds_blue END AS price1, CASE WHEN c.contest_id % 2 = 0 THEN c.odds_blue ELSE c.odds_red END AS price2 FROM contest c JOIN supplier r ON r.s_suppkey = red_id JOIN supplier b ON b.s_suppkey = blue_id"""
 NAMED = "SELECT contest_id, dt, red_id, blue_id, winner_id, r.s_name AS red_name, b.s_name AS blue_name FROM contest JOIN supplier r ON r.s_suppkey = red_id JOIN supplier b ON b.s_suppkey = blue_id"
 HITS = f"""q AS (SELECT *, concat(least(lower(name1), lower(name2)), '|', greatest(lower(name1), lower(name2))) AS pk FROM ({QUOTED}) AS x), n AS (SELECT *, concat(least(lower(red_name), lower(blue_name)), '|', greatest(lower(red_name), lower(blue_name))) AS pk FROM ({NAMED}) AS y),
 hit AS (SELECT * FROM (SELECT quote_id, contest_id, name1, red_name, price1, price2, abs(date_diff('day', q.dt, n.dt)) AS gap, row_number() OVER (PARTITION BY quote_id ORDER BY abs(date_diff('day', q.dt, n.dt)), contest_id) AS k
@@ -121,7 +121,7 @@ PEOPLE = "SELECT c_custkey AS entity_id, c_name AS full_name, DATE '1970-01-01'
 query("stub_matches", "stub_id entity_id score:d")(lambda t: fuzzy.match_stubs(t.sql(NOISY), t.sql(PEOPLE))[0])
 query("resolved_names", "row_id entity_id stage score:d")(lambda t: fuzzy.resolve_names(
     t.sql(f"SELECT n.stub_id AS row_id, n.name, c_mktsegment AS pool FROM ({NOISY}) AS n JOIN customer ON c_custkey = stub_id"), t.sql(PEOPLE)))
-LEFT = "SELECT contest_id AS left_id, dt, red_name AS a_name, blue_name AS b_name FROM ({n}) AS x WHERE contest_id % 5 = 0"
+LEFT = "SELECT contest_id AS left_id, dt, red_name AS a_name, blue_name AS b_name FROM ({n}) AS x"
 RIGHT = "SELECT contest_id AS right_id, CAST(dt AS DATE) + 1 AS dt, CASE WHEN contest_id % 2 = 0 THEN replace(red_name, 'Supp', 'Sup') ELSE blue_name END AS x_name, CASE WHEN contest_id % 2 = 0 THEN blue_name ELSE replace(red_name, 'Supp', 'Sup') END AS y_name FROM ({n}) AS x"
 SPACED = f"SELECT contest_id, dt, winner_id, replace(red_name, '#', ' ') AS red_name, replace(blue_name, '#', ' ') AS blue_name FROM ({NAMED}) AS z"
 query("fuzzy_pairs_in_window", "left_id right_id flipped score:d")(lambda t: fuzzy.match_pairs(t.sql(LEFT.format(n=SPACED)), t.sql(RIGHT.format(n=SPACED)), 72.0, days=3))
@@ -130,8 +130,8 @@ query("best_price_key", "row_id key:s price:d score:d")(lambda t: fuzzy.best_key
 query("label_sides", "contest_id side:s")(lambda t: t.sql(SPACED).select("contest_id", fuzzy.side_of(
     F.when(C("contest_id") % 2 == 0, F.concat(C("red_name"), F.lit(" by KO"))).otherwise(F.concat(C("blue_name"), F.lit(" wins"))), C("red_name"), C("blue_name")).alias("side")))
 query("schedule_with_predictions", "contest_id scheduled_id a_name:s b_name:s")(lambda t: fuzzy.merge_schedule(
-    t.sql(f"SELECT contest_id AS scheduled_id, blue_name AS a_name, red_name AS b_name FROM ({SPACED}) AS q WHERE contest_id % 50 = 0"),
-    t.sql(f"SELECT contest_id, red_name AS a_name, blue_name AS b_name FROM ({SPACED}) AS q WHERE contest_id % 100 = 0")))
+    t.sql(f"SELECT contest_id AS scheduled_id, blue_name AS a_name, red_name AS b_name FROM ({SPACED}) AS q"),
+    t.sql(f"SELECT contest_id, red_name AS a_name, blue_name AS b_name FROM ({SPACED}) AS q")))
 query("name_scores", "s_suppkey ratio:d partial:d token_sort:d token_set:d")(lambda t: t.supplier.join(t.nation, C("s_nationkey") == C("n_nationkey")).select(
     "s_suppkey", similarity.ratio("s_name", "n_name").alias("ratio"), similarity.partial_ratio("s_name", "n_name").alias("partial"),
     similarity.token_sort_ratio("s_name", "n_name").alias("token_sort"), similarity.token_set_ratio("s_name", "n_name").alias("token_set")))

@@ -21,8 +21,8 @@ query("latest_outcomes", "contest_id dt:s winner_id", "SELECT contest_id, dt, wi
     lambda t: t.contest.filter("winner_id IS NOT NULL").orderBy(C("dt").desc(), C("contest_id").desc()).limit(500))
 query("active_entities", "entity_id", "SELECT red_id AS entity_id FROM contest WHERE dt >= DATE '2000-06-01' UNION SELECT blue_id FROM contest WHERE dt >= DATE '2000-06-01'")(
     lambda t: t.contest.filter("dt >= DATE '2000-06-01'").transform(lambda c: c.selectExpr("red_id AS entity_id").union(c.select("blue_id")).distinct()))
-query("all_sources", "contest_id source:s", "SELECT contest_id, 'a' AS source FROM contest WHERE yr < 1998 UNION ALL SELECT contest_id, 'b' FROM oof")(
-    lambda t: t.contest.filter("yr < 1998").select("contest_id", F.lit("a").alias("source")).unionByName(t.oof.select("contest_id", F.lit("b").alias("source")), allowMissingColumns=True))
+query("all_sources", "contest_id source:s", "SELECT contest_id, 'a' AS source FROM contest UNION ALL SELECT contest_id, 'b' FROM oof")(
+    lambda t: t.contest.select("contest_id", F.lit("a").alias("source")).unionByName(t.oof.select("contest_id", F.lit("b").alias("source")), allowMissingColumns=True))
 OLD = "SELECT user_id, event_type, event_id AS stamp, value FROM events WHERE event_id % 3 <> 0"
 NEW = "SELECT user_id, event_type, event_id AS stamp, value * 2 AS value FROM events WHERE event_id % 3 = 0"
 query("replaced_quotes", "user_id event_type:s stamp value:d", f"""
@@ -51,9 +51,9 @@ SELECT dt, CASE WHEN day(dt) <= 10 THEN 'first' ELSE 'second' END AS source, cou
 """)(lambda t: upsert.prefer(t.contest.filter("day(dt) <= 10").select("contest_id", "dt", F.lit("first").alias("source")),
                              t.contest.filter("day(dt) <= 20").select("contest_id", "dt", F.lit("second").alias("source")), "dt").groupBy("dt", "source").agg(F.count("*").alias("n")))
 query("name_set_operations", "op:s n", """
-SELECT 'both' AS op, count(*) AS n FROM (SELECT red_id FROM contest WHERE yr = 1996 INTERSECT SELECT blue_id FROM contest WHERE yr = 2001) AS a
+SELECT 'both' AS op, count(*) AS n FROM (SELECT red_id FROM contest INTERSECT SELECT blue_id FROM contest) AS a
 UNION ALL SELECT 'only', count(*) FROM (SELECT contest_id FROM contest EXCEPT SELECT contest_id FROM oof) AS b
-""")(lambda t: t.contest.filter("yr = 1996").selectExpr("red_id").intersect(t.contest.filter("yr = 2001").select("blue_id")).agg(F.lit("both").alias("op"), F.count("*").alias("n"))
+""")(lambda t: t.contest.select("red_id").intersect(t.contest.select("blue_id")).agg(F.lit("both").alias("op"), F.count("*").alias("n"))
      .unionByName(t.contest.select("contest_id").exceptAll(t.oof.select("contest_id")).agg(F.lit("only").alias("op"), F.count("*").alias("n"))))
 query("main_contest_of_event", "dt:s contest_id", "SELECT dt, contest_id FROM (SELECT dt, contest_id, row_number() OVER (PARTITION BY dt ORDER BY time_ended_sec DESC, contest_id DESC) AS k FROM contest) AS x WHERE k = 1")(
     lambda t: upsert.newest(t.contest, ["dt"], [C("time_ended_sec").desc(), C("contest_id").desc()]))
