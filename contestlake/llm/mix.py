@@ -8,7 +8,7 @@ from contestlake.functions.plan import durable
 from contestlake.llm.common import SPACE
 
 #: Rows of a (source, bin); rows are ordered in one such bin of each source only.
-BIN_ROWS = 20_000
+BIN_ROWS = 5_000
 #: Weights of the sources in the order of their code points, repeating; most copies of a document.
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Sources up to which their table is sent to every task; a row of it has nine numbers and a name.
