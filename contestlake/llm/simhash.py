@@ -22,24 +22,57 @@ UNIT_ROWS = 4_000
 #: Trie levels that one split goes down.
 SPLIT_BITS = 5
 #: Shingles whose bits are counted at a time.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
+#: Similarity: words of 64 bits of a long fingerprint, and how many of them decide.  Two texts are compared if they are
+#: within KEY_BUDGET bits on a key of KEY_BITS; the keys start at KEY_STARTS of each word.  They are similar if the deciding
+#: words differ in at most as many bits as texts of the wanted similarity do on average, plus MARGIN standard deviations.
+WORDS, DECIDING, KEY_BITS, KEY_BUDGET, KEY_STARTS, MARGIN = 8, 4, 24, 1, (0, 20, 40), 1.25
+#: The same bounds as above for units of keys; KEY_SPLIT divides what a band leaves of a key.
+KEY_UNIT_ROWS, KEY_SPLIT = 16_000, 6
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits; a bit is set if over half of the shingles' hashes have it.  No words: zero."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    width = min(width, len(words))
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+def fingerprints(text: str | None, width: int = 3, words: int = 1) -> list[int]:
+    """``words`` x 64 bits; a bit is set if over half of the shingles' hashes have it.  No words: zero.
+
+    The first 64 bits are those of the hash itself, the others those of the hash mixed anew.
+    """
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return [0] * words
+    width = min(width, len(parts))
+    line = b" ".join(parts)
+    ends = np.cumsum([len(w) + 1 for w in parts]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends[width - 1:].tolist()
-    total, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    total, digest = np.zeros(64 * words, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(stops), CHUNK):
-        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[at:at + CHUNK], stops[at:at + CHUNK])], dtype=">u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(stops)).tobytes(), "big")
+        hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[at:at + CHUNK], stops[at:at + CHUNK])], np.uint64)
+        total += ones(np.concatenate([hashes[:, None], mixed(hashes, words - 1)], axis=1) if words > 1 else hashes[:, None])
+    return np.packbits(total * 2 > len(stops)).view(">u8").tolist()
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The first 64 bits of the fingerprint."""
+    return fingerprints(text, width)[0]
+
+
+def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """``n`` further hashes of each: the hash and a salt, through the finaliser of SplitMix64."""
+    x = hashes[:, None] ^ (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def ones(rows: np.ndarray) -> np.ndarray:
+    """How many rows have each bit, most significant first."""
+    bits = np.unpackbits(rows.astype(">u8").view(np.uint8), axis=1)
+    whole = len(bits) // 255 * 255  # so many ones fit a byte: eight columns are added at once
+    total = bits[whole:].sum(axis=0, dtype=np.int64)
+    if whole:
+        eights = bits[:whole].view(np.uint64).reshape(-1, 255, bits.shape[1] // 8).sum(axis=1)
+        total += eights.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return total
 
 
 def signed(value: int) -> int:
@@ -54,12 +87,22 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     return common.append(docs, [text], f"{out} long", make, keep)
 
 
-def close_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, within: int):
+def with_words(docs: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
+    """The kept columns, the fingerprint and the long fingerprint that starts with it."""
+    def make(batch):
+        found = [[signed(w) for w in fingerprints(t, width, WORDS)] for t in batch.column(0).to_pylist()]
+        return [pa.array([f[0] for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+
+    return common.append(docs, [text], "fingerprint_bits long, words array<long>", make, keep)
+
+
+def close_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, within: int, depth: int = 8):
     """Index pairs of rows of one unit whose bits differ in at most ``within`` places.
 
     The rows are a forest with one trie per (unit, side).  Pairs of nodes go down together, eight
     levels at a time; a pair of nodes is dropped as soon as its differing bits exceed the budget.
-    Side 0 meets side 1 in a unit that has both, else side 0 meets itself.
+    Side 0 meets side 1 in a unit that has both, else side 0 meets itself.  Only the first ``depth`` bytes
+    of the bits count; rows that have them in common are a leaf.
     Yields arrays (i, j), in pieces of bounded size.
     """
     order = np.lexsort((bits, side, unit))
@@ -81,9 +124,9 @@ def close_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, within: in
         a0, a1, b0, b1, left, level = pairs.pop()
         if not len(a0):
             continue
-        if level == 8:  # a leaf is one fingerprint; rows are distinct within a unit and side
-            keep = a0 != b0
-            yield order[a0[keep]], order[b0[keep]]
+        if level == depth:
+            for i, j in crossed(a0, a1, b0, b1):
+                yield order[i], order[j]
             continue
         if len(a0) > 50_000:
             half = len(a0) // 2
@@ -120,6 +163,19 @@ def close_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, within: in
             pairs.append((ca[i], ea[i], cb[j], eb[j], rest, level + 1))
 
 
+def crossed(a0, a1, b0, b1, most: int = 500_000):
+    """Pairs of places from each pair of ranges, a range that meets itself giving each pair once."""
+    wide = b1 - b0
+    end = np.cumsum((a1 - a0) * wide)
+    for at in range(0, int(end[-1]) if len(end) else 0, most):
+        flat = np.arange(at, min(at + most, int(end[-1])))
+        pair = np.searchsorted(end, flat, "right")
+        flat -= (end - (a1 - a0) * wide)[pair]
+        i, j = a0[pair] + flat // wide[pair], b0[pair] + flat % wide[pair]
+        keep = (a0[pair] != b0[pair]) | (i < j)
+        yield i[keep], j[keep]
+
+
 def smallest_reach(n: int, pairs) -> np.ndarray:
     """Smallest index that each index reaches over the pairs."""
     label = np.arange(n)
@@ -167,7 +223,7 @@ def links(classes: DataFrame, bits: str, rep: str, within: int = 2) -> DataFrame
         large = size.filter(F.col("n") > UNIT_ROWS).select("unit")
         if not large.take(1):
             break
-        units = durable(split(units.join(large, "unit")))
+        units = durable(split(units.join(large, "unit"), SPLIT_BITS, ["bits", "rep"]))
     ready = ready.select("unit", "side", "bits", "rep")
     n_tasks = max(1, math.ceil(ready.count() / (UNIT_ROWS * 4)))
     dealt = ready.withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(n_tasks)))
@@ -184,29 +240,103 @@ def links(classes: DataFrame, bits: str, rep: str, within: int = 2) -> DataFrame
     return dealt.groupBy("task").applyInPandas(join, "a long, b long")
 
 
-def split(units: DataFrame) -> DataFrame:
-    """Rows of the units of node pairs SPLIT_BITS levels down; pairs beyond the budget never come to be."""
-    masks = [F.struct(F.lit(m).alias("m"), F.lit(bin(m).count("1")).alias("cost")) for m in range(1 << SPLIT_BITS)]
-    made = units.withColumn("digit", F.expr(f"CAST(shiftrightunsigned(turned, 64 - used - {SPLIT_BITS}) & {(1 << SPLIT_BITS) - 1} AS INT)")).select(
+def split(units: DataFrame, n_bits: int, keep: list[str]) -> DataFrame:
+    """Rows of the units of node pairs ``n_bits`` levels down; pairs beyond the budget never come to be."""
+    masks = [F.struct(F.lit(m).alias("m"), F.lit(bin(m).count("1")).alias("cost")) for m in range(1 << n_bits)]
+    made = units.withColumn("digit", F.expr(f"CAST(shiftrightunsigned(turned, 64 - used - {n_bits}) & {(1 << n_bits) - 1} AS INT)")).select(
         "*", F.explode(F.filter(F.array(*masks), lambda x: x["cost"] <= F.col("budget"))).alias("x"))
     other = F.col("digit").bitwiseXOR(F.col("x.m"))
     first = F.when(F.col("crossing"), F.col("side") == 0).otherwise(F.col("digit") <= other)
     low, high = F.when(first, F.col("digit")).otherwise(other), F.when(first, other).otherwise(F.col("digit"))
-    return made.select("bits", "rep", F.xxhash64("unit", low, high).alias("unit"), "turned", (F.col("used") + SPLIT_BITS).alias("used"),
+    return made.select(*keep, F.xxhash64("unit", low, high).alias("unit"), "turned", (F.col("used") + n_bits).alias("used"),
                        F.when(first, 0).otherwise(1).alias("side"), (F.col("crossing") | (F.col("x.m") > 0)).alias("crossing"),
                        (F.col("budget") - F.col("x.cost")).alias("budget"))
 
 
-def classes_of(prints: DataFrame, bits: str = "fingerprint_bits", doc_id: str = "doc_id", within: int = 2) -> DataFrame:
+def most_differing(similarity: float) -> int:
+    """Bits of the deciding words in which texts of this Jaccard similarity differ, with the margin."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * DECIDING
+    return math.floor(n * share + MARGIN * math.sqrt(n * share * (1 - share)))
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), a > b, whose components are those of the pairs of classes found similar.
+
+    ``classes`` has distinct ``bits`` and ``words``, the long fingerprint that starts with them.  Texts of a lower
+    similarity differ in more bits than a trie of whole fingerprints can allow for.  So the tries hold short keys from
+    many places of the long fingerprint; two texts within the budget of any key meet and are decided by what they
+    differ in on the deciding words.  Keys of a band in common are a unit, as in ``links``; a unit of too many rows is
+    split down the key and then down the bits that follow it, where any difference may occur.
+    """
+    half = KEY_BITS // (KEY_BUDGET + 1)
+    limit, names = most_differing(similarity), [f"w{k}" for k in range(DECIDING)]
+    top = F.lit(signed(((1 << KEY_BITS) - 1) << (64 - KEY_BITS)))
+
+    def rolled(value, by):
+        return F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, 64 - by)) if by else value
+
+    def band(k, start, i):
+        word = rolled(F.get("words", F.lit(k)), start)
+        key, rest, by = word.bitwiseAND(top), word.bitwiseAND(F.bitwise_not(top)), i * half
+        # the band leads its key, so that a split always meets new bits
+        led = F.shiftleft(key, by).bitwiseOR(F.shiftrightunsigned(key, KEY_BITS - by)).bitwiseAND(top) if by else key
+        return F.struct(F.xxhash64(F.lit(k), F.lit(start), F.lit(i), F.shiftrightunsigned(led, 64 - half)).alias("unit"), led.bitwiseOR(rest).alias("turned"))
+
+    bands = [band(k, start, i) for k in range(WORDS) for start in KEY_STARTS for i in range(KEY_BUDGET + 1)]
+    rows = classes.select(*[F.get("words", F.lit(k)).alias(n) for k, n in enumerate(names)], F.inline(F.array(*bands)))
+    units = rows.withColumns({"used": F.lit(half), "side": F.lit(0), "crossing": F.lit(False), "budget": F.lit(KEY_BUDGET)})
+    ready, n_rows = None, 0
+    while True:
+        size = durable(units.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("n0"), F.max("crossing").alias("x"), F.max("used").alias("u"))
+                       .filter("IF(x, n0 > 0 AND n0 < n, n > 1)"))
+        too_large = (F.col("n") > KEY_UNIT_ROWS) & (F.col("u") + KEY_SPLIT <= 64)
+        large = size.filter(too_large).select("unit")
+        n_rows += size.filter(~too_large).agg(F.sum("n")).first()[0] or 0
+        more = bool(large.take(1))
+        # units of one row do no harm; they are left out only where the units are joined anyway
+        fits = units.join(size.filter(~too_large).select("unit"), "unit") if more or ready is not None else units
+        ready = fits if ready is None else ready.unionByName(fits)
+        if not more:
+            break
+        free = F.when(F.col("used") >= KEY_BITS, 64).otherwise(F.col("budget"))
+        units = durable(split(units.join(large, "unit").withColumn("budget", free), KEY_SPLIT, names))
+    n_tasks = max(1, math.ceil(n_rows / KEY_UNIT_ROWS))
+    dealt = ready.select("unit", "side", "turned", *names).withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(n_tasks)))
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(names[0], kind="stable", ignore_index=True)
+        node = frame[names[0]].to_numpy()
+        words = frame[names].to_numpy().view(np.uint64)
+        _, unit = np.unique(frame["unit"].to_numpy(), return_inverse=True)
+
+        def similar():
+            for i, j in close_pairs(unit, frame["side"].to_numpy(), frame["turned"].to_numpy().view(np.uint64), KEY_BUDGET, KEY_BITS // 8):
+                fine = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= limit
+                yield i[fine], j[fine]
+
+        low = smallest_reach(len(node), similar())
+        out = pd.DataFrame({"a": node, "b": node[low]})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    return dealt.groupBy("task").applyInPandas(join, "a long, b long")
+
+
+def classes_of(prints: DataFrame, bits: str = "fingerprint_bits", doc_id: str = "doc_id", within: int = 2, similarity: float | None = None) -> DataFrame:
     """One row per distinct fingerprint: bits, rep (smallest id that has it), component_id (smallest id reachable).
 
     Ids may repeat or be missing; a fingerprint without any id has neither rep nor component unless it is linked
-    to one that has.
+    to one that has.  With a ``similarity`` the links are those of ``similar_links``, and ``prints`` has ``words``:
+    of equal fingerprints the long one of the smallest id counts.
     """
-    found = durable(prints.groupBy(F.col(bits).alias("bits")).agg(F.min(doc_id).alias("rep")))
     # links run between fingerprints: unlike ids, they cannot repeat or be missing
-    keyed = found.select("bits", F.col("bits").alias("node"))
-    pairs = links(keyed, "bits", "node", within)
+    if similarity is None:
+        found = durable(prints.groupBy(F.col(bits).alias("bits")).agg(F.min(doc_id).alias("rep")))
+        pairs = links(found.select("bits", F.col("bits").alias("node")), "bits", "node", within)
+    else:
+        lowest = F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("rep"), "words"))
+        found = durable(prints.groupBy(F.col(bits).alias("bits")).agg(lowest.alias("low")).select("bits", "low.rep", "low.words"))
+        pairs = similar_links(found, similarity)
     roots = components.smallest_member(pairs)
     rooted = found.join(roots.withColumnsRenamed({"node": "bits", "root": "r"}), "bits", "left").withColumn("r", F.coalesce("r", "bits"))
     low = rooted.groupBy("r").agg(F.min("rep").alias("component_id"))
@@ -227,17 +357,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", within: int = 2, width: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", within: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
     """One whole row of each group of near-duplicates, with the columns of ``docs``: the row of smallest id.
 
+    Near-duplicates have fingerprints within ``within`` bits or, if a ``similarity`` is given, long fingerprints that
+    differ no more than those of texts of this similarity.  A null text counts as empty; rows without id come last.
     Rows of equal fingerprint are reduced to one in every task before they are shuffled.
     """
     names = docs.columns
     packed = docs.select(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).alias("packed"),
                          F.col(text).alias("text"))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = durable(with_fingerprint(slim, "text", "fingerprint_bits", ["doc_id"], width))
-    found = classes_of(prints, within=within)
+    prints = durable(with_fingerprint(slim, "text", "fingerprint_bits", ["doc_id"], width) if similarity is None else with_words(slim, "text", ["doc_id"], width))
+    found = classes_of(prints, within=within, similarity=similarity)
     stays = found.groupBy("component_bits").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "bits")).alias("best")).select(F.col("best.bits").alias("bits"))
     rows = with_fingerprint(packed, "text", "fingerprint_bits", ["packed"], width)
     single = rows.groupBy(F.col("fingerprint_bits").alias("bits")).agg(F.min("packed").alias("packed"))

@@ -133,6 +133,79 @@ def test_trie_join_loses_no_link(spark, monkeypatch, unit_rows):
     assert got == {(simhash.signed(int(h, 16)), low) for _, h, low in reach(prints)}
 
 
+@pytest.mark.parametrize("unit_rows", [16_000, 12])
+def test_similarity_join_is_its_rule(spark, monkeypatch, unit_rows):
+    """Against all pairs; with small units every unit is split down its key and the bits behind it."""
+    monkeypatch.setattr(simhash, "KEY_UNIT_ROWS", unit_rows)
+    rng = random.Random(9)
+    found = {}
+    for size in (1, 1, 30, 30):
+        centre = [rng.getrandbits(64) for _ in range(simhash.WORDS)]
+        for _ in range(size):
+            share = rng.choice([0.0, 0.02, 0.1, 0.15, 0.25])
+            words = [w ^ sum(1 << b for b in range(64) if rng.random() < share) for w in centre]
+            found[words[0]] = words
+    rows = [(simhash.signed(w[0]), [simhash.signed(x) for x in w]) for w in found.values()]
+    links = simhash.similar_links(spark.createDataFrame(rows, "bits long, words array<long>"), 0.8)
+    got = {(r["node"], r["root"]) for r in components.smallest_member(links).collect()}
+    limit, mask = simhash.most_differing(0.8), (1 << simhash.KEY_BITS) - 1
+
+    def similar(a, b):
+        near = any(((x ^ y) >> (64 - start - simhash.KEY_BITS) & mask).bit_count() <= simhash.KEY_BUDGET for x, y in zip(a, b) for start in simhash.KEY_STARTS)
+        return near and sum((x ^ y).bit_count() for x, y in list(zip(a, b))[:simhash.DECIDING]) <= limit
+
+    root = {simhash.signed(k): simhash.signed(k) for k in found}
+    for _ in range(len(found)):
+        before = dict(root)
+        for a in found.values():
+            for b in found.values():
+                if a is not b and similar(a, b):
+                    low = min(root[simhash.signed(a[0])], root[simhash.signed(b[0])])
+                    root[simhash.signed(a[0])] = root[simhash.signed(b[0])] = low
+        if before == root:
+            break
+    linked = {(k, r) for k, r in root.items() if k != r}
+    assert got == linked and len(linked) > 20
+
+
+def test_similar_texts_go_and_others_stay(spark):
+    """Whole documents against exact Jaccard similarities of five-word shingles."""
+    rows = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] for r in rows.select("doc_id", "text").collect()}
+    stays = {r["doc_id"] for r in simhash.one_of_each(rows, width=5, similarity=0.8).collect()}
+    shingles = {}
+    for k, t in texts.items():
+        w = (t or "").encode().lower().split()
+        n = min(5, len(w))
+        shingles[k] = {b" ".join(w[i:i + n]) for i in range(len(w) - n + 1)} if w else {b""}
+    holders = {}
+    for k, s in shingles.items():
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    best, pairs = {}, []
+    for k, s in shingles.items():
+        for other in {o for x in s for o in holders[x] if o > k}:
+            j = len(s & shingles[other]) / len(s | shingles[other])
+            best[k], best[other] = max(best.get(k, 0), j), max(best.get(other, 0), j)
+            pairs.append((j, k, other))
+    assert {k for k in texts if best.get(k, 0) < 0.5} <= stays
+    wanted = [(a, b) for j, a, b in pairs if j >= 0.8]
+    assert len(wanted) > 50 and sum(a not in stays or b not in stays for a, b in wanted) >= 0.97 * len(wanted)
+
+
+def test_similar_texts_of_odd_rows(docs):
+    out = simhash.one_of_each(docs, width=3, similarity=0.8)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4, 5, 6, 7]
+    assert simhash.one_of_each(docs.limit(0), similarity=0.8).count() == 0
+
+
+def test_long_fingerprint_starts_with_the_short_one():
+    for text in (None, "", "a b", LONG):
+        found = simhash.fingerprints(text, 3, simhash.WORDS)
+        assert found[0] == simhash.fingerprint(text, 3) == print_of(text, 3) and len(found) == simhash.WORDS
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.smallest_member(pairs).collect()}
