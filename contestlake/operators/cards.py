@@ -68,7 +68,7 @@ def nested(rows: DataFrame, event: str, fields: list[str], size: int = 500) -> D
 
     An event of any size becomes as many pages as it needs, so no task holds it whole.
     """
-    binned = order.with_bin(rows.withColumns({"_id": F.col("contest_id").cast("double"), "_one": F.lit(1).cast("bigint")}), "_id")
+    binned = order.with_bin(rows.withColumns({"_id": order.sortable(rows, "contest_id"), "_one": F.lit(1).cast("bigint")}), "_id")
     placed = order.running(binned, [event], ["bin"], ["contest_id"], {"pos": "_one"})
     return placed.groupBy(event, F.floor(F.col("pos") / size).alias("page")).agg(
         F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("contest_id", *fields))).alias("contests"))

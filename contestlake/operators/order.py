@@ -8,12 +8,24 @@ the results are exact for any edges.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BINS = 64
 
 
+def sortable(df: DataFrame, key: str) -> Column:
+    """A number that ascends with the key: numbers themselves, text by the six bytes that follow what all values share."""
+    if dict(df.dtypes)[key] != "string":
+        return F.col(key).cast("double")
+    ends = df.agg(F.min(key), F.max(key)).first()
+    shared = len(os.path.commonprefix([(e or "").encode() for e in ends]))
+    digits = F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), shared + 1, 6)), 12, "0")
+    return F.conv(digits, 16, 10).cast("double")
+
+
 def with_bin(df: DataFrame, key: str, out: str = "bin", bins: int = BINS) -> DataFrame:
     """Range bin of a numeric key, roughly equal in rows."""
     probs = [i / bins for i in range(1, bins)]
@@ -46,7 +58,7 @@ def running(df: DataFrame, groups: list[str], bin_cols: list[str], order: list[s
 
 def by_day(df: DataFrame, id_col: str, bins: int = 8) -> DataFrame:
     """Bins for the order (dt, id): the day, split further by ranges of the id."""
-    return with_bin(df.withColumn("_id", F.col(id_col).cast("double")), "_id", "id_bin", bins).drop("_id")
+    return with_bin(df.withColumn("_id", sortable(df, id_col)), "_id", "id_bin", bins).drop("_id")
 
 
 def position(df: DataFrame, id_col: str, bins: int = 8) -> DataFrame:

@@ -39,7 +39,7 @@ def compatible(bets: DataFrame, max_legs: int = MAX_LEGS) -> DataFrame:
     cut = staked.withColumn("_r", F.row_number().over(per_set)).filter(F.col("_r") <= max_legs)
     legs = cut.groupBy("scope", "contest").agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("stake")).alias("order"), "bet_id", F.coalesce("outcome_keys", F.array().cast("array<string>")).alias("keys")))).alias("legs"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("array<string>").alias("open"))
+    start = F.struct(F.array().cast(f"array<{dict(bets.dtypes)['bet_id']}>").alias("kept"), F.lit(None).cast("array<string>").alias("open"))
 
     def step(acc: Column, leg: Column) -> Column:
         free = F.size(leg["keys"]) == 0

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from contestlake.functions import probability as prob
 from contestlake.functions.plan import durable
-from contestlake.operators import folds, totals
+from contestlake.operators import folds, order, totals
 
 MIN_TRAIN, MIN_VAL, MIN_CALIB = 100, 10, 50
+# fixed values: sizes below which a class fold is left out (rows before and in the fold; fitted and calibrating rows of
+# the classes), and the share of the earlier rows that the forest is fitted on
+CLASS_ROWS, CLASS_FITTED, CLASS_SHARE = (200, 10), (100, 30), 0.85
 
 
 def prepare(rows: DataFrame, numeric: list[str], categories: list[str]) -> tuple[DataFrame, list, list[str]]:
@@ -97,6 +100,21 @@ def stacked(oof: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def final(rows: DataFrame, numeric: list[str], categories: list[str], oof: DataFrame, rounds: int = 10):
+    """The model to score with: boosted on all rows, with the curve of all out-of-fold raw probabilities.
+
+    Returns a function that adds ``raw`` and ``p`` to prepared-like rows with the same inputs.
+    """
+    data, stages, _ = prepare(rows, numeric, categories)
+    model = booster(_weights(data), stages, rounds=rounds)
+    curve = fit_isotonic(oof, "raw", "label")
+
+    def score(coming: DataFrame) -> DataFrame:
+        return calibrate(curve, raw_probability(model, prepare(coming, numeric, categories)[0]), "raw", "p")
+
+    return score
+
+
 def calibration_table(stacked_rows: DataFrame) -> DataFrame:
     return stacked_rows.groupBy("fold").agg(
         F.count("*").alias("n"), F.avg(prob.log_loss(F.col("label"), F.col("p"))).alias("per_fold"),
@@ -109,8 +127,8 @@ def importances(models: list[PipelineModel], inputs: list[str], spark) -> DataFr
     return spark.createDataFrame(rows, "feature string, gain double").groupBy("feature").agg(F.avg("gain").alias("gain"))
 
 
-def bagged(train: DataFrame, score: DataFrame, stages: list, bags: int = 20, rounds: int = 10) -> DataFrame:
-    """Mean and deviation over bootstrap bags.
+def bagged(train: DataFrame, score: DataFrame, stages: list, bags: int = 20, rounds: int = 10, curve=None) -> DataFrame:
+    """Mean and deviation over bootstrap bags, each calibrated by ``curve`` if one is given.
 
     A bag draws Poisson(1) copies of a row as its weight; the draw is a hash of the
     row and the bag, so a recomputed task draws the same.
@@ -124,6 +142,8 @@ def bagged(train: DataFrame, score: DataFrame, stages: list, bags: int = 20, rou
         drawn = train.withColumn("bag_weight", copies * F.col("weight")).filter("bag_weight > 0")
         out = raw_probability(booster(drawn, stages, rounds=rounds, weight="bag_weight"), out, f"bag_{b}")
         out = out.drop(*[s.getOutputCol() for s in stages if isinstance(s, StringIndexer)])
+        if curve is not None:
+            out = calibrate(curve, out, f"bag_{b}", "_bag").withColumn(f"bag_{b}", F.col("_bag")).drop("_bag")
     bag = F.array(*[F.col(f"bag_{b}") for b in range(bags)])
     mean = F.aggregate(bag, F.lit(0.0), lambda a, x: a + x) / bags
     out = out.withColumn("mean", mean)
@@ -160,12 +180,25 @@ def class_model(train: DataFrame, calib: DataFrame, score: DataFrame, classes: l
 
 
 def class_walk_forward(rows: DataFrame, numeric: list[str], categories: list[str], classes: list[str], truth: str, first: int, trees: int = 20) -> DataFrame:
-    """Class probabilities of every fold year from earlier years only."""
-    data, stages, _ = prepare(rows.filter(F.col(truth).isin(classes)), numeric, categories)
-    data = durable(data)
-    parts = [class_model(data.filter(F.col("yr") < y - 1), data.filter(F.col("yr") == y - 1), data.filter(F.col("yr") == y), classes, truth, stages, trees)
-             .withColumn("fold", F.lit(y)) for y in years_from(data, first)]
-    return reduce(DataFrame.unionByName, parts)
+    """Class probabilities of every row of each fold year, from earlier rows only.
+
+    In the order (dt, contest_id) the first CLASS_SHARE of the earlier rows fit the forest and the others calibrate it;
+    rows of no class take part in neither.  Folds with too few rows are left out.
+    """
+    data, stages, _ = prepare(rows, numeric, categories)
+    data = durable(order.position(data, "contest_id"))
+    sizes, known = _sizes(data), data.filter(F.col(truth).isin(classes))
+    parts = []
+    for y in years_from(data, first):
+        before = sum(n for k, n in sizes.items() if k < y)
+        cut = int(before * CLASS_SHARE)
+        fitted, held = known.filter(F.col("pos") < cut), known.filter((F.col("pos") >= cut) & (F.col("pos") < before))
+        if before < CLASS_ROWS[0] or sizes[y] < CLASS_ROWS[1] or fitted.count() < CLASS_FITTED[0] or held.count() < CLASS_FITTED[1]:
+            continue
+        parts.append(class_model(fitted, held, data.filter(F.col("yr") == y), classes, truth, stages, trees).withColumn("fold", F.lit(y)))
+    if not parts:
+        raise ValueError("no fold has enough rows")
+    return reduce(DataFrame.unionByName, parts).drop("pos", "total")
 
 
 def quantile_forest(train: DataFrame, score: DataFrame, target: str, stages: list, key: str = "contest_id", trees: int = 10, depth: int = 5) -> DataFrame:

@@ -25,9 +25,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def files(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A stream of Parquet files with one name pattern in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def files(spark: SparkSession, folder: str, name: str, schema: StructType, per_batch: int = 64) -> DataFrame:
+    """A stream of Parquet files with one name pattern in a folder, at most ``per_batch`` files at a time."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
 def _fresh(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -75,9 +75,9 @@ def dedup_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
 
 
 def windowed_prices(quotes: DataFrame, time: str, keys: list[str], price: str, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Latest price, approximate median and count per key and tumbling window."""
+    """Latest price, exact median and count per key and tumbling window."""
     return (quotes.withWatermark(time, delay).groupBy(F.window(time, size).alias("w"), *keys).agg(
-        F.max_by(price, time).alias("latest"), F.percentile_approx(price, 0.5, 10_000).alias("median"), F.count("*").alias("n"))
+        F.max_by(price, time).alias("latest"), F.median(price).alias("median"), F.count("*").alias("n"))
         .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "latest", "median", "n"))
 
 
@@ -100,19 +100,21 @@ def graded(open_rows: DataFrame, results: DataFrame, key: str, delay: str, span:
 class RatingState(StatefulProcessor):
     """Ratings of one pool: a map from entity to its state, updated contest by contest."""
 
+    def __init__(self, id_type: str) -> None:
+        self.id_type = id_type
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.states = handle.getMapState("ratings", "entity_id bigint", "elo double, n bigint, mu double, phi double, sigma double")
+        self.states = handle.getMapState("ratings", f"entity_id {self.id_type}", "elo double, n bigint, mu double, phi double, sigma double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # a micro-batch, bounded by the source's admission limit, is ordered before it is folded
+        # one pool's part of a micro-batch is ordered before it is folded; the source's files per batch bound it
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["dt", "contest_id"])
         known = {}
-        for e in pd.unique(batch[["a_id", "b_id"]].to_numpy().ravel()):
-            e = int(e)
+        for e in {*batch["a_id"].tolist(), *batch["b_id"].tolist()}:
             if self.states.containsKey((e,)):
                 s = self.states.getValue((e,))
                 known[e] = (s[0], int(s[1]), s[2], s[3], s[4])
-        ids = [(int(c), int(a), int(b), float(y)) for c, a, b, y in batch[["contest_id", "a_id", "b_id", "label"]].itertuples(index=False)]
+        ids = list(zip(*(batch[c].tolist() for c in ("contest_id", "a_id", "b_id")), batch["label"].astype(float).tolist()))
         rated = ratings.fold(ids, known)
         for e, s in known.items():
             self.states.updateValue((e,), (float(s[0]), int(s[1]), float(s[2]), float(s[3]), float(s[4])))
@@ -125,10 +127,14 @@ class RatingState(StatefulProcessor):
 
 
 def rating_stream(contests: DataFrame) -> DataFrame:
-    """Pre-contest ratings of a stream of contests (contest_id, dt, pool, a_id, b_id, label) in day order."""
+    """Pre-contest ratings of a stream of contests (contest_id, dt, pool, a_id, b_id, label) in day order.
+
+    Ids are whole numbers or text.
+    """
     contests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    schema = "pool string, contest_id bigint, " + ", ".join(f"{c} double" for c in ratings.RATINGS)
-    return contests.groupBy("pool").transformWithStateInPandas(RatingState(), schema, "Append", "None")
+    kinds = dict(contests.dtypes)
+    schema = f"pool string, contest_id {kinds['contest_id']}, " + ", ".join(f"{c} double" for c in ratings.RATINGS)
+    return contests.groupBy("pool").transformWithStateInPandas(RatingState(kinds["a_id"]), schema, "Append", "None")
 
 
 def snapshots(rows: DataFrame, stamp: str, name: str) -> DataFrame:

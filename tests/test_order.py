@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from contestlake.operators import calibrate, metrics, order, resolve
+from contestlake.operators import calibrate, cards, metrics, order, resolve
 
 
 def test_position_with_a_hot_day(spark):
@@ -18,6 +18,18 @@ def test_position_with_a_hot_day(spark):
     assert {r["contest_id"]: r["pos"] for r in got} == want and got[0]["total"] == 900
 
 
+def test_position_of_text_ids(spark):
+    rng = random.Random(2)
+    rows = [(f"contest-é{i:x}", dt.date(2001, 1, 1) + dt.timedelta(days=0 if i % 3 else rng.randint(0, 9))) for i in rng.sample(range(100_000), 300)]
+    df = spark.createDataFrame(rows, "contest_id string, dt date")
+    got = order.position(df, "contest_id").collect()
+    want = {c: k for k, (c, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0].encode())))}
+    assert {r["contest_id"]: r["pos"] for r in got} == want
+    assert order.by_day(df, "contest_id").select("id_bin").distinct().count() > 1
+    pages = cards.nested(df, "dt", [], size=50).collect()
+    assert sum(p["n"] for p in pages) == 300 and max(p["n"] for p in pages) == 50
+
+
 def test_conformal_levels_match_numpy(spark):
     rng = np.random.default_rng(5)
     y, p, g = rng.integers(0, 2, 700), rng.random(700), rng.integers(0, 3, 700)

@@ -51,17 +51,28 @@ query("feature_gains", "feature:s gain:d")(_importance)
 
 
 def _bagged(t):
-    data, stages, _ = weighted(training_rows(t))
-    return training.bagged(data.filter("yr < 2001"), data.filter("yr = 2001"), stages, bags=3)
+    rows = training_rows(t)
+    data, stages, _ = weighted(rows)
+    curve = training.fit_isotonic(training.walk_forward(rows, NUMERIC, ["pool"], 1998), "raw", "label")
+    return training.bagged(data.filter("yr < 2001"), data.filter("yr = 2001"), stages, bags=3, curve=curve)
 
 
 query("bagged_predictions", "contest_id mean:d spread:d")(_bagged)
 
 
+def _final(t):
+    rows = training_rows(t)
+    return training.final(rows, NUMERIC, ["pool"], durable(training.walk_forward(rows, NUMERIC, ["pool"], 1998)))(rows)
+
+
+query("final_predictions", "contest_id label raw:d p:d")(_final)
+
+
 def _blend(t):
     rows = training_rows(t)
     rated, _ = ratings.rate(rows)
-    return training.blend(rows.withColumn("p", 0.1 + 0.8 * C("share")).join(rated.select("contest_id", "elo_a", "elo_b"), "contest_id"))
+    oof = training.walk_forward(rows, NUMERIC, ["pool"], 1998).select("contest_id", "label", "p")
+    return training.blend(oof.join(rated.select("contest_id", "elo_a", "elo_b"), "contest_id"))
 
 
 query("blended_predictions", "contest_id p:d blended:d used_blend final:d")(_blend)
