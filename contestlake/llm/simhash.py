@@ -362,15 +362,15 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wit
 
     Near-duplicates have fingerprints within ``within`` bits or, if a ``similarity`` is given, long fingerprints that
     differ no more than those of texts of this similarity.  A null text counts as empty; rows without id come last.
-    Rows of equal fingerprint are reduced to one in every task before they are shuffled.
+    Texts are read once for their fingerprints; only the rows that stay are shuffled whole.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).alias("packed"),
-                         F.col(text).alias("text"))
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = durable(with_fingerprint(slim, "text", "fingerprint_bits", ["doc_id"], width) if similarity is None else with_words(slim, "text", ["doc_id"], width))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(row).alias("mark"), F.col(f"`{text}`").alias("text"), row.alias("row"))
+    slim = keyed.select("doc_id", "mark", "text")
+    prints = durable(with_fingerprint(slim, "text", "fingerprint_bits", ["doc_id", "mark"], width) if similarity is None else with_words(slim, "text", ["doc_id", "mark"], width))
     found = classes_of(prints, within=within, similarity=similarity)
-    stays = found.groupBy("component_bits").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "bits")).alias("best")).select(F.col("best.bits").alias("bits"))
-    rows = with_fingerprint(packed, "text", "fingerprint_bits", ["packed"], width)
-    single = rows.groupBy(F.col("fingerprint_bits").alias("bits")).agg(F.min("packed").alias("packed"))
-    return single.join(stays, "bits", "left_semi").select("packed.row.*")
+    stays = found.groupBy("component_bits").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "bits")).alias("best")).select(F.col("best.bits").alias("fingerprint_bits"))
+    # the row of smallest id of each class that stays; rows are told apart by a hash of all they hold, the id included
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    chosen = prints.join(stays, "fingerprint_bits", "left_semi").groupBy("fingerprint_bits").agg(first.alias("first")).select(F.col("first.mark").alias("mark"))
+    return keyed.join(chosen, "mark", "left_semi").groupBy("mark", "doc_id").agg(F.min("row").alias("row")).select("row.*")
