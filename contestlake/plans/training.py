@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from contestlake.functions import probability as prob
 from contestlake.functions.plan import durable
@@ -50,13 +50,13 @@ def raw_probability(model: PipelineModel, rows: DataFrame, out: str = "raw") ->
 
 def fit_isotonic(rows: DataFrame, p: str, label: str):
     """Monotone calibration curve; rows of equal probability are merged first, which does not change it."""
-    points = rows.groupBy(F.col(p).alias("x")).agg(F.avg(label).alias("label"), F.count("*").cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(points)
+    points = rows.groupBy(F.col(p).alias("_x")).agg(F.avg(label).alias("label"), F.count("*").cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="_x", labelCol="label", weightCol="weight").fit(points)
 
 
 def calibrate(model, rows: DataFrame, p: str, out: str) -> DataFrame:
     """Apply a curve; probabilities outside its range take the end values."""
-    return model.transform(rows.withColumn("x", F.col(p))).withColumnRenamed("prediction", out).drop("x")
+    return model.transform(rows.withColumn("_x", F.col(p))).withColumnRenamed("prediction", out).drop("_x")
 
 
 def _weights(rows: DataFrame) -> DataFrame:
@@ -204,21 +204,24 @@ def class_walk_forward(rows: DataFrame, numeric: list[str], categories: list[str
 def quantile_forest(train: DataFrame, score: DataFrame, target: str, stages: list, key: str = "contest_id", trees: int = 10, depth: int = 5) -> DataFrame:
     """Five conditional quantiles of a count per scored row.
 
-    A forest groups training rows into leaves; the target's distribution per leaf
-    is a table no larger than trees x leaves x distinct counts, and a scored row
-    averages the distributions of its leaves.
+    A forest groups training rows into leaves.  A leaf's distribution is one row of a table of trees x leaves rows,
+    as an array no longer than the target's distinct counts; a scored row meets one array per tree and adds them up.
     """
     forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, leafCol="leaf", seed=42)
     model = Pipeline(stages=[*stages, forest]).fit(train)
     leaves = lambda df, *keep: model.transform(df).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
-    counts = leaves(train, F.col(target).alias("y")).groupBy("tree", "leaf", "y").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("tree", "leaf").agg(F.sum("c").alias("s"))
-    shares = counts.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "y", (F.col("c") / F.col("s") / trees).alias("w"))
-    spread = leaves(score, key).join(shares, ["tree", "leaf"]).groupBy(key, "y").agg(F.sum("w").alias("w"))
-    below = F.sum("w").over(Window.partitionBy(key).orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    placed = spread.withColumn("cum", below)
-    rows = placed.groupBy(key).agg(*[F.min(F.when(F.col("cum") >= level - 1e-9, F.col("y"))).cast("double").alias(q) for q, level in totals.LEVELS.items()])
-    return totals.monotone(rows)
+    counts = leaves(train, F.col(target).cast("double").alias("y")).groupBy("tree", "leaf", "y").agg(F.count("*").alias("c"))
+    shares = counts.groupBy("tree", "leaf").agg(F.sum("c").alias("s"), F.collect_list(F.struct("y", "c")).alias("ys")).select(
+        "tree", "leaf", F.transform("ys", lambda x: F.struct(x["y"].alias("y"), (x["c"] / F.col("s") / trees).alias("w"))).alias("ws"))
+    spread = leaves(score, key).join(shares, ["tree", "leaf"]).groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("ws"))).alias("ws"))
+
+    def reached(level):
+        """The first count up to which the shares add up to the level."""
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("y"))
+        return F.aggregate("ws", start, lambda acc, x: F.struct(
+            (acc["sum"] + x["w"]).alias("sum"), F.coalesce(acc["y"], F.when(acc["sum"] + x["w"] >= level - 1e-9, x["y"])).alias("y")), lambda acc: acc["y"])
+
+    return totals.monotone(spread.select(key, *[reached(level).alias(q) for q, level in totals.LEVELS.items()]))
 
 
 def quantile_walk_forward(rows: DataFrame, targets: list[str], numeric: list[str], categories: list[str], first: int, trees: int = 10) -> DataFrame:

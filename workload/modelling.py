@@ -86,8 +86,10 @@ query("round_class_predictions", "contest_id fold round_true:s c_R1:d c_R2:d c_R
 
 def _totals(t):
     from contestlake.operators import resolve
-    counts = resolve.side_totals(t.oof, t.totals, ["sig_l", "td_l"]).selectExpr("contest_id", "both_sig_l AS total_sig_strikes_combined", "both_td_l AS total_takedowns_combined")
-    return training.quantile_walk_forward(training_rows(t).join(counts, "contest_id"), ["total_sig_strikes_combined", "total_takedowns_combined"], NUMERIC, ["pool"], 2001)
+    names = {f"{side}_{counter}": f"total_{name}_{'combined' if side == 'both' else side}" for counter, name in (("sig_l", "sig_strikes"), ("td_l", "takedowns"), ("kd", "knockdowns"))
+             for side in ("both", "a", "b") if counter != "kd" or side == "both"}
+    counts = resolve.side_totals(t.oof, t.totals, ["sig_l", "td_l", "kd"]).select("contest_id", *[C(c).alias(n) for c, n in names.items()])
+    return training.quantile_walk_forward(training_rows(t).join(counts, "contest_id"), list(names.values()), NUMERIC, ["pool"], 2001)
 
 
 query("totals_quantiles", "contest_id fold target:s q10:d q25:d q50:d q75:d q90:d estimate:d actual:d")(_totals)
