@@ -24,11 +24,14 @@ SPLIT_BITS = 5
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 13
 #: Similarity: words of 64 bits of a long fingerprint, and how many of them decide.  Two texts are compared if they are
-#: within KEY_BUDGET bits on a key of KEY_BITS; the keys start at KEY_STARTS of each word.  They are similar if the deciding
+#: within KEY_BUDGET bits on a key of KEY_BITS; the keys start at KEY_STARTS of each word.  They are candidates if the deciding
 #: words differ in at most as many bits as texts of the wanted similarity do on average, plus MARGIN standard deviations.
-WORDS, DECIDING, KEY_BITS, KEY_BUDGET, KEY_STARTS, MARGIN = 8, 4, 24, 1, (0, 20, 40), 1.25
+WORDS, DECIDING, KEY_BITS, KEY_BUDGET, KEY_STARTS, MARGIN = 6, 3, 24, 3, (0, 32), 4.0
 #: The same bounds as above for units of keys; KEY_SPLIT divides what a band leaves of a key.
-KEY_UNIT_ROWS, KEY_SPLIT = 16_000, 6
+KEY_UNIT_ROWS, KEY_SPLIT = 16_000, 3
+#: Shingles up to which sets also meet by their first shingles, as their fingerprints say too little; candidates of a class
+#: in a task beyond which only its links to the nearest and the first one are tried at first; pairs held before they are thinned.
+FEW_SHINGLES, BUSY, HELD_PAIRS = 40, 32, 2_000_000
 
 
 def fingerprints(text: str | None, width: int = 3, words: int = 1) -> list[int]:
@@ -51,6 +54,28 @@ def fingerprints(text: str | None, width: int = 3, words: int = 1) -> list[int]:
     return np.packbits(total * 2 > len(stops)).view(">u8").tolist()
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending; the shingles are those of ``fingerprints``."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    width, digest = min(width, len(parts)), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(parts[k:k + width]), 42) for k in range(len(parts) - width + 1)] if parts else [], np.uint64))
+
+
+def set_words(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The long fingerprint of a set of shingles, each counted once."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at:at + CHUNK]
+        total += ones(np.concatenate([part[:, None], mixed(part, words - 1)], axis=1))
+    return np.packbits(total * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def leading(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """So many first hashes of a small set that two sets of the similarity or more have one of theirs in common."""
+    n = len(hashes)
+    return hashes[:n - math.ceil(similarity * n - 1e-9) + 1] if 0 < n <= FEW_SHINGLES / similarity else hashes[:0]
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The first 64 bits of the fingerprint."""
     return fingerprints(text, width)[0]
@@ -87,13 +112,23 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     return common.append(docs, [text], f"{out} long", make, keep)
 
 
-def with_words(docs: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
-    """The kept columns, the fingerprint and the long fingerprint that starts with it."""
+def with_sets(docs: DataFrame, text: str, keep: list[str], width: int, similarity: float) -> DataFrame:
+    """The kept columns, a hash of the set of shingles, its long fingerprint, the set's first hashes if it is small."""
     def make(batch):
-        found = [[signed(w) for w in fingerprints(t, width, WORDS)] for t in batch.column(0).to_pylist()]
-        return [pa.array([f[0] for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+        sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
+        lists = pa.list_(pa.int64())
+        return [pa.array([signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets], pa.int64()), pa.array([set_words(s, WORDS).view(np.int64) for s in sets], lists),
+                pa.array([leading(s, similarity).view(np.int64) for s in sets], lists)]
 
-    return common.append(docs, [text], "fingerprint_bits long, words array<long>", make, keep)
+    return common.append(docs, [text], "fingerprint_bits long, words array<long>, leading array<long>", make, keep)
+
+
+def with_shingles(docs: DataFrame, text: str, keep: list[str], width: int) -> DataFrame:
+    """The kept columns and the set of shingles."""
+    def make(batch):
+        return [pa.array([shingles(t, width).view(np.int64) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))]
+
+    return common.append(docs, [text], "shingles array<long>", make, keep)
 
 
 def close_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, within: int, depth: int = 8):
@@ -260,17 +295,14 @@ def most_differing(similarity: float) -> int:
     return math.floor(n * share + MARGIN * math.sqrt(n * share * (1 - share)))
 
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b), a > b, whose components are those of the pairs of classes found similar.
+def _dealt(classes: DataFrame) -> DataFrame:
+    """Units of the classes by their keys and first shingles, dealt to tasks.
 
-    ``classes`` has distinct ``bits`` and ``words``, the long fingerprint that starts with them.  Texts of a lower
-    similarity differ in more bits than a trie of whole fingerprints can allow for.  So the tries hold short keys from
-    many places of the long fingerprint; two texts within the budget of any key meet and are decided by what they
-    differ in on the deciding words.  Keys of a band in common are a unit, as in ``links``; a unit of too many rows is
-    split down the key and then down the bits that follow it, where any difference may occur.
+    Keys of a band in common are a unit, as in ``links``; a unit of too many rows is split down the key and then down the
+    bits that follow it, where any difference may occur.
     """
     half = KEY_BITS // (KEY_BUDGET + 1)
-    limit, names = most_differing(similarity), [f"w{k}" for k in range(DECIDING)]
+    names = [f"w{k}" for k in range(DECIDING)]
     top = F.lit(signed(((1 << KEY_BITS) - 1) << (64 - KEY_BITS)))
 
     def rolled(value, by):
@@ -284,8 +316,15 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         return F.struct(F.xxhash64(F.lit(k), F.lit(start), F.lit(i), F.shiftrightunsigned(led, 64 - half)).alias("unit"), led.bitwiseOR(rest).alias("turned"))
 
     bands = [band(k, start, i) for k in range(WORDS) for start in KEY_STARTS for i in range(KEY_BUDGET + 1)]
-    rows = classes.select(*[F.get("words", F.lit(k)).alias(n) for k, n in enumerate(names)], F.inline(F.array(*bands)))
-    units = rows.withColumns({"used": F.lit(half), "side": F.lit(0), "crossing": F.lit(False), "budget": F.lit(KEY_BUDGET)})
+    held = ["node", *(["root"] if "root" in classes.columns else []), *names]
+    rows = classes.select(F.col("bits").alias("node"), *held[1:-DECIDING],
+                          *[F.get("words", F.lit(k)).alias(n) for k, n in enumerate(names)], F.array(*bands).alias("bands"), *(["leading"] if "leading" in classes.columns else []))
+    units = rows.select(*held, F.inline("bands")).withColumn("used", F.lit(half))
+    if "leading" in classes.columns:
+        # the whole unit is one leaf, which no split would divide
+        by_shingle = F.struct(F.xxhash64(F.lit("shingle"), F.col("shingle")).alias("unit"), F.lit(0).cast("long").alias("turned"), F.lit(64).alias("used"))
+        units = units.unionByName(rows.select(*held, F.explode("leading").alias("shingle")).select(*held, by_shingle.alias("u")).select(*held, "u.*"))
+    units = units.withColumns({"side": F.lit(0), "crossing": F.lit(False), "budget": F.lit(KEY_BUDGET)})
     ready, n_rows = None, 0
     while True:
         size = durable(units.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("n0"), F.max("crossing").alias("x"), F.max("used").alias("u"))
@@ -300,43 +339,123 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         if not more:
             break
         free = F.when(F.col("used") >= KEY_BITS, 64).otherwise(F.col("budget"))
-        units = durable(split(units.join(large, "unit").withColumn("budget", free), KEY_SPLIT, names))
+        units = durable(split(units.join(large, "unit").withColumn("budget", free), KEY_SPLIT, held))
     n_tasks = max(1, math.ceil(n_rows / KEY_UNIT_ROWS))
-    dealt = ready.select("unit", "side", "turned", *names).withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(n_tasks)))
+    return ready.select("unit", "side", "turned", (F.col("used") >= 64).alias("whole"), *held).withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(n_tasks)))
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(names[0], kind="stable", ignore_index=True)
-        node = frame[names[0]].to_numpy()
-        words = frame[names].to_numpy().view(np.uint64)
-        _, unit = np.unique(frame["unit"].to_numpy(), return_inverse=True)
 
-        def similar():
-            for i, j in close_pairs(unit, frame["side"].to_numpy(), frame["turned"].to_numpy().view(np.uint64), KEY_BUDGET, KEY_BITS // 8):
-                fine = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= limit
-                yield i[fine], j[fine]
+def _met(frame: pd.DataFrame, code: np.ndarray, limit: int):
+    """Arrays (a, b, bits that differ) of codes of different classes that meet in a unit and may be similar."""
+    words = frame[[f"w{k}" for k in range(DECIDING)]].to_numpy().view(np.uint64)
+    root, whole = frame["root" if "root" in frame else "node"].to_numpy(), frame["whole"].to_numpy()
+    _, unit = np.unique(frame["unit"].to_numpy(), return_inverse=True)
+    for i, j in close_pairs(unit, frame["side"].to_numpy(), frame["turned"].to_numpy().view(np.uint64), KEY_BUDGET, KEY_BITS // 8):
+        i, j = (x[root[i] != root[j]] for x in (i, j))
+        differ = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
+        fine = whole[i] | (differ <= limit)
+        yield code[i[fine]], code[j[fine]], differ[fine].astype(np.int64)
+
+
+def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), a > b, whose components are those of the candidate pairs of classes.
 
-        low = smallest_reach(len(node), similar())
+    ``classes`` has distinct ``bits`` and ``words``, a long fingerprint each.  Texts of a lower similarity differ in more
+    bits than a trie of whole fingerprints can allow for.  So the tries hold short keys from many places of the long
+    fingerprint; two texts within the budget of any key meet and are candidates by what they differ in on the deciding words.
+    """
+    limit = most_differing(similarity)
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        node, code = np.unique(frame["node"].to_numpy(), return_inverse=True)
+        low = smallest_reach(len(node), ((a, b) for a, b, _ in _met(frame, code, limit)))
         out = pd.DataFrame({"a": node, "b": node[low]})
-        return out[out["a"] != out["b"]].drop_duplicates()
+        return out[out["a"] != out["b"]]
 
-    return dealt.groupBy("task").applyInPandas(join, "a long, b long")
+    return _dealt(classes).groupBy("task").applyInPandas(join, "a long, b long")
+
+
+def candidates(classes: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """Candidate pairs (a, b), a > b, of classes of different ``root``, and (a, a, open) of classes that may lack pairs.
+
+    A pair is held back if both of its classes have more than ``most`` candidates in a task; of each class the pairs with
+    the nearest candidate and with the first one always appear.
+    """
+    limit = most_differing(similarity)
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        node, code = np.unique(frame["node"].to_numpy(), return_inverse=True)
+        n = len(node)
+        degree, near, first = np.zeros(n, np.int64), np.full(n, 1 << 62), np.arange(n)
+        kept, fresh, size = np.zeros(0, np.int64), [], 0
+
+        def thinned():
+            pairs = np.unique(np.concatenate([kept, *fresh]))
+            a, b = pairs // n, pairs % n
+            return pairs if most is None else pairs[(degree[a] <= most) | (degree[b] <= most)]
+
+        for a, b, differ in _met(frame, code, limit):
+            a, b = np.maximum(a, b), np.minimum(a, b)
+            degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+            np.minimum.at(near, a, differ * n + b)
+            np.minimum.at(near, b, differ * n + a)
+            np.minimum.at(first, a, b)
+            fresh.append(a * n + b)
+            size += len(a)
+            if size > HELD_PAIRS:
+                kept, fresh, size = thinned(), [], 0
+        kept = thinned()
+        one = np.arange(n)
+        nearest = np.where(near < 1 << 62, near % n, one)
+        pairs = np.unique(np.concatenate([kept, *[np.maximum(one, x) * n + np.minimum(one, x) for x in (nearest, first)]]))
+        a, b = pairs // n, pairs % n
+        a, b = a[a != b], b[a != b]
+        busy = one[:0] if most is None else one[degree > most]
+        ends = [np.concatenate([node[x], node[busy]]) for x in (a, b)]
+        return pd.DataFrame({"a": ends[0], "b": ends[1], "open": np.arange(len(ends[0])) >= len(a)})
+
+    return _dealt(classes).groupBy("task").applyInPandas(join, "a long, b long, open boolean")
+
+
+def exact_links(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links (a, b) of classes whose sets have this Jaccard similarity or more; their components are those of all such pairs.
+
+    ``classes`` has ``bits``, ``words`` and ``leading``; ``sets_of`` gives the ``shingles`` of ``bits``.  Every candidate pair is
+    compared shingle by shingle, but for pairs of classes of many candidates that links found before put into one component.
+    """
+    found = durable(candidates(classes, similarity, BUSY))
+    sets = durable(sets_of(found.select(F.explode(F.array("a", "b")).alias("bits")).distinct()))
 
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("a", "b").distinct()
+        side = lambda k: sets.select(F.col("bits").alias(k), F.col("shingles").alias(f"of_{k}"))
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b")
 
-def classes_of(prints: DataFrame, bits: str = "fingerprint_bits", doc_id: str = "doc_id", within: int = 2, similarity: float | None = None) -> DataFrame:
+    links = durable(similar(found.filter("NOT open")))
+    busy = durable(found.filter("open").select(F.col("a").alias("bits")).distinct())
+    if not busy.take(1):
+        return links
+    roots = components.smallest_member(links).withColumnRenamed("node", "bits")
+    left = classes.join(busy, "bits", "left_semi").join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    return links.unionByName(durable(similar(candidates(durable(left), similarity, None))))
+
+
+def classes_of(prints: DataFrame, bits: str = "fingerprint_bits", doc_id: str = "doc_id", within: int = 2, similarity: float | None = None, sets=None) -> DataFrame:
     """One row per distinct fingerprint: bits, rep (smallest id that has it), component_id (smallest id reachable).
 
     Ids may repeat or be missing; a fingerprint without any id has neither rep nor component unless it is linked
-    to one that has.  With a ``similarity`` the links are those of ``similar_links``, and ``prints`` has ``words``:
-    of equal fingerprints the long one of the smallest id counts.
+    to one that has.  With a ``similarity`` the links are those of ``exact_links``, and ``prints`` is that of ``with_sets``
+    with a ``mark`` that tells rows apart; equal sets are one class.  ``sets`` gives the ``shingles`` of (bits, mark).
     """
     # links run between fingerprints: unlike ids, they cannot repeat or be missing
     if similarity is None:
         found = durable(prints.groupBy(F.col(bits).alias("bits")).agg(F.min(doc_id).alias("rep")))
         pairs = links(found.select("bits", F.col("bits").alias("node")), "bits", "node", within)
     else:
-        lowest = F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("rep"), "words"))
-        found = durable(prints.groupBy(F.col(bits).alias("bits")).agg(lowest.alias("low")).select("bits", "low.rep", "low.words"))
-        pairs = similar_links(found, similarity)
+        lowest = F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("rep"), "mark", "words", "leading"))
+        found = durable(prints.groupBy(F.col(bits).alias("bits")).agg(lowest.alias("low")).select("bits", "low.rep", "low.mark", "low.words", "low.leading"))
+        # one row of each class brings its set
+        pairs = exact_links(found.select("bits", "words", "leading"), lambda nodes: sets(found.join(nodes, "bits").select("bits", "mark")), similarity)
     roots = components.smallest_member(pairs)
     rooted = found.join(roots.withColumnsRenamed({"node": "bits", "root": "r"}), "bits", "left").withColumn("r", F.coalesce("r", "bits"))
     low = rooted.groupBy("r").agg(F.min("rep").alias("component_id"))
@@ -360,15 +479,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", within: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
     """One whole row of each group of near-duplicates, with the columns of ``docs``: the row of smallest id.
 
-    Near-duplicates have fingerprints within ``within`` bits or, if a ``similarity`` is given, long fingerprints that
-    differ no more than those of texts of this similarity.  A null text counts as empty; rows without id come last.
+    Near-duplicates have fingerprints within ``within`` bits or, if a ``similarity`` is given, sets of shingles of this
+    Jaccard similarity or more.  A null text counts as empty; rows without id come last.
     Texts are read once for their fingerprints; only the rows that stay are shuffled whole.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(row).alias("mark"), F.col(f"`{text}`").alias("text"), row.alias("row"))
     slim = keyed.select("doc_id", "mark", "text")
-    prints = durable(with_fingerprint(slim, "text", "fingerprint_bits", ["doc_id", "mark"], width) if similarity is None else with_words(slim, "text", ["doc_id", "mark"], width))
-    found = classes_of(prints, within=within, similarity=similarity)
+    prints = durable(with_fingerprint(slim, "text", "fingerprint_bits", ["doc_id", "mark"], width) if similarity is None else with_sets(slim, "text", ["doc_id", "mark"], width, similarity))
+
+    def sets(marks):
+        # marks repeat only where whole rows do
+        return with_shingles(slim.join(marks, "mark"), "text", ["bits"], width).dropDuplicates(["bits"])
+
+    found = classes_of(prints, within=within, similarity=similarity, sets=sets)
+    prints = prints.select("doc_id", "mark", "fingerprint_bits")
     stays = found.groupBy("component_bits").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "bits")).alias("best")).select(F.col("best.bits").alias("fingerprint_bits"))
     # the row of smallest id of each class that stays; rows are told apart by a hash of all they hold, the id included
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))

@@ -193,6 +193,39 @@ def test_similar_texts_go_and_others_stay(spark):
     assert len(wanted) > 50 and sum(a not in stays or b not in stays for a, b in wanted) >= 0.97 * len(wanted)
 
 
+@pytest.mark.parametrize("busy, few", [(32, 40), (1, 0)])
+def test_similar_texts_are_exactly_those(spark, monkeypatch, busy, few):
+    """Texts of similarities from 0.6 to 0.9 and groups of near copies: one of each group of exact Jaccard 0.8 or more stays."""
+    monkeypatch.setattr(simhash, "BUSY", busy)
+    monkeypatch.setattr(simhash, "FEW_SHINGLES", few)
+    rng, texts = random.Random(21), []
+    for size in [*[8] * 10, *[60] * 20, *[200] * 40] if few else [200] * 40:
+        base = [f"w{rng.getrandbits(40)}" for _ in range(size)]
+        texts.append(base)
+        for cut in (0.02, 0.05, 0.1, 0.12, 0.14, 0.18, 0.22):  # a run of new words at the end
+            n = max(1, round(size * cut))
+            texts.append([*base[:-n], *[f"v{rng.getrandbits(40)}" for _ in range(n)]])
+    base = [f"w{rng.getrandbits(40)}" for _ in range(150)]
+    texts += [[f"c{k}" if at == k else w for at, w in enumerate(base)] for k in range(100)]
+    texts += [["again", "and"] * 300 + [f"u{rng.getrandbits(40)}" for _ in range(60)] for _ in range(2)]  # alike by words, not by sets
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.one_of_each(rows, width=5, similarity=0.8).collect()}
+    assert got == {k for k in range(len(texts)) if root[k] == k}
+
+
 def test_similar_texts_of_odd_rows(docs):
     out = simhash.one_of_each(docs, width=3, similarity=0.8)
     assert out.columns == docs.columns
