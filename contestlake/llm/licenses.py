@@ -15,16 +15,32 @@ from contestlake.llm import common
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Notices and opening paragraphs of public licenses.
+_GNU_HEADER = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, "
+               "either version {1} of the License, or (at your option) any later version.")
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_GNU = {"gpl": "General Public License", "lgpl": "Lesser General Public License", "agpl": "Affero General Public License"}
+_GNU_VERSIONS = [("gpl", "2", "2.0"), ("gpl", "3", "3.0"), ("lgpl", "2.1", "2.1"), ("lgpl", "3", "3.0"), ("agpl", "3", "3.0")]
+_CC = [f"{kind} {version}" for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for version in ("3.0", "4.0")]
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "all-rights-reserved": "All rights reserved.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd": _BSD,
+    **{f"cc-{x.lower().replace(' ', '-')}": f"Licensed under CC {x}." for x in _CC},
+    "cc0-1.0": "Licensed under CC0 1.0.",
+    **{f"{kind}-{of}": f"This work is licensed under the GNU {_GNU[kind]}, version {n}." for kind, n, of in _GNU_VERSIONS},
+    **{f"{kind}-{of}-header": _GNU_HEADER.format(_GNU[kind], n) for kind, n, of in _GNU_VERSIONS},
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+#: Phrases that tell a template from its siblings: each must be in the place, with nothing inserted.
+PHRASES = {
+    "apache-2.0": ["Apache License, Version 2.0"], "mit": ["MIT License"], "cc0-1.0": ["CC0 1.0"], "mpl-2.0": ["Mozilla Public License, v. 2.0"],
+    **{f"cc-{x.lower().replace(' ', '-')}": [f"CC {x}"] for x in _CC},
+    **{f"{kind}-{of}": [f"GNU {_GNU[kind]}, version {n}"] for kind, n, of in _GNU_VERSIONS},
+    **{f"{kind}-{of}-header": [f"GNU {_GNU[kind]}", f"version {n} of the License"] for kind, n, of in _GNU_VERSIONS},
 }
 #: Share of a template's words that must be aligned; words around an anchor that may belong to it, per template word.
 COVERED, SPREAD = 0.8, 2
@@ -85,15 +101,18 @@ def ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], covered: float = COVERED):
+    def __init__(self, templates: dict[str, str], covered: float = COVERED, phrases: dict[str, list[str]] | None = None):
         self.covered = covered
+        self.phrases = {name: [plain(p).split() for p in found] for name, found in (phrases or {}).items()}
         self.templates = {name: plain(text).split() for name, text in sorted(templates.items())}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of every place, in code points, by start.
 
         An alignment that covers the wanted share leaves out few template words, so of one more than these at least
-        one is aligned: the rarest ones of the text are tried at each of their occurrences.
+        one is aligned: the rarest ones of the text are tried at each of their occurrences.  A place must have the phrases
+        of its template; of templates whose places overlap the one with the most aligned words stays, then the one of
+        the largest coverage.
         """
         if not text:
             return []
@@ -124,10 +143,27 @@ class Scanner:
                 if (len(left) + 1 + len(right)) >= n - spare:
                     first = lo + left[0][0] if left else x
                     last = x + 1 + right[-1][0] if right else x
+                    if not all(self._within(words, first, last, p) for p in self.phrases.get(name, ())):
+                        continue
                     best.append(((len(left) + 1 + len(right)) / n, first, last))
                     taken = last
             out += [(name, c, first, last) for c, first, last in best]
-        return self._placed(text, line, out) if out else []
+        return self._placed(text, line, self._winners(out)) if out else []
+
+    @staticmethod
+    def _within(words: list, first: int, last: int, phrase: list) -> bool:
+        """Whether the phrase, with nothing inserted, lies between two places."""
+        n = len(phrase)
+        return any(words[x:x + n] == phrase for x in range(first, last - n + 2))
+
+    def _winners(self, found: list) -> list:
+        """Places that overlap no better place of another template."""
+        aligned = lambda f: round(f[1] * len(self.templates[f[0]]))
+        kept: list = []
+        for f in sorted(found, key=lambda f: (-aligned(f), -f[1], f[2], f[0])):
+            if all(f[3] < k[2] or f[2] > k[3] for k in kept):
+                kept.append(f)
+        return kept
 
     @staticmethod
     def _towards(words: list, template: list) -> list[tuple[int, int]]:
@@ -162,7 +198,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
 
     def make(batch):
         if not cache:
-            cache.append(Scanner(given, covered))
+            cache.append(Scanner(given, covered, None if templates else PHRASES))
         rows = [cache[0].scan(t) for t in batch.column(0).to_pylist()]
         top = [max(r, key=lambda f: (f[1], -f[2], f[0])) if r else (None, 0.0) for r in rows]
         return [pa.array([t[0] for t in top], pa.string()), pa.array([float(t[1]) for t in top], pa.float64()), pa.array([len(r) for r in rows], pa.int64()),

@@ -453,3 +453,16 @@ def test_every_whole_notice_is_found(real):
     for k, r in by_id(licenses.scan(real)).items():
         for name in ("gpl-3.0", "mit", "cc-by-nc-4.0", "all-rights-reserved", "apache-2.0"):
             assert (licenses.TEMPLATES[name] in texts[k]) <= (f"{name}:" in r["places"])
+
+
+def test_siblings_of_a_license_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES, phrases=licenses.PHRASES)
+    start = "This work is licensed under the GNU "
+    for text, name in (("Lesser General Public License, version 3", "lgpl-3.0"), ("General Public License, version 2", "gpl-2.0"), ("General Public License, version 3", "gpl-3.0"),
+                       ("Affero General Public License, version 3", "agpl-3.0"), ("Lesser General Public License, version 2.1", "lgpl-2.1")):
+        assert [f[0] for f in scanner.scan(f"und so weiter. {start}{text}. Und so fort.")] == [name]
+    for text, name in (("BY 4.0", "cc-by-4.0"), ("BY-SA 4.0", "cc-by-sa-4.0"), ("BY-NC 4.0", "cc-by-nc-4.0"), ("BY-NC-SA 4.0", "cc-by-nc-sa-4.0"), ("BY 3.0", "cc-by-3.0")):
+        assert [f[0] for f in scanner.scan(f"Und so weiter. Licensed under CC {text}. Und so fort.")] == [name]
+    assert not scanner.scan("Licensed under the Apache License, Version 1.1.") and not scanner.scan(f"{start}General Public License, version 1.")
+    for name, text in licenses.TEMPLATES.items():
+        assert [f[:2] for f in scanner.scan(f"und so {text} weiter")] == [(name, 1.0)]
