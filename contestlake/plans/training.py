@@ -84,7 +84,7 @@ def walk_forward(rows: DataFrame, numeric: list[str], categories: list[str], fir
             continue
         model = booster(_weights(data.filter(F.col("yr") < y - 1)), stages, rounds=rounds)
         curve = fit_isotonic(raw_probability(model, data.filter(F.col("yr") == y - 1)), "raw", "label")
-        parts.append(calibrate(curve, raw_probability(model, data.filter(F.col("yr") == y)), "raw", "p").withColumn("fold", F.lit(y)))
+        parts.append(durable(calibrate(curve, raw_probability(model, data.filter(F.col("yr") == y)), "raw", "p").withColumn("fold", F.lit(y))))
     if not parts:
         raise ValueError("no fold has enough rows")
     return reduce(DataFrame.unionByName, parts)
@@ -144,6 +144,7 @@ def bagged(train: DataFrame, score: DataFrame, stages: list, bags: int = 20, rou
         out = out.drop(*[s.getOutputCol() for s in stages if isinstance(s, StringIndexer)])
         if curve is not None:
             out = calibrate(curve, out, f"bag_{b}", "_bag").withColumn(f"bag_{b}", F.col("_bag")).drop("_bag")
+        out = durable(out)
     bag = F.array(*[F.col(f"bag_{b}") for b in range(bags)])
     mean = F.aggregate(bag, F.lit(0.0), lambda a, x: a + x) / bags
     out = out.withColumn("mean", mean)
@@ -151,6 +152,26 @@ def bagged(train: DataFrame, score: DataFrame, stages: list, bags: int = 20, rou
     return out.withColumn("spread", spread).drop(*[f"bag_{b}" for b in range(bags)])
 
 
+def fold_years(data: DataFrame, first: int) -> list[int]:
+    """Fold years with enough rows to boost on, to calibrate on and to score."""
+    sizes = _sizes(data)
+    return [y for y in years_from(data, first) if sum(n for k, n in sizes.items() if k < y - 1) >= MIN_TRAIN and sizes.get(y - 1, 0) >= MIN_CALIB and sizes[y] >= MIN_VAL]
+
+
+def bagged_walk_forward(rows: DataFrame, numeric: list[str], categories: list[str], first: int, bags: int = 20, rounds: int = 10) -> DataFrame:
+    """``bagged`` on every fold year from earlier rows; the curve is that of ``walk_forward`` for the fold."""
+    data, stages, _ = prepare(rows, numeric, categories)
+    data = durable(data)
+    parts = []
+    for y in fold_years(data, first):
+        core = booster(_weights(data.filter(F.col("yr") < y - 1)), stages, rounds=rounds)
+        curve = fit_isotonic(raw_probability(core, data.filter(F.col("yr") == y - 1)), "raw", "label")
+        parts.append(bagged(_weights(data.filter(F.col("yr") < y)), data.filter(F.col("yr") == y), stages, bags, rounds, curve).withColumn("fold", F.lit(y)))
+    if not parts:
+        raise ValueError("no fold has enough rows")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def blend(oof: DataFrame) -> DataFrame:
     """Logistic blend of model and rating log-odds, used only if it lowers the log-loss."""
     rows = durable(oof.withColumns({"l_model": prob.logit(F.col("p")), "l_rating": prob.logit(prob.elo_expected(F.col("elo_a") - F.col("elo_b")))}))
@@ -195,7 +216,7 @@ def class_walk_forward(rows: DataFrame, numeric: list[str], categories: list[str
         fitted, held = known.filter(F.col("pos") < cut), known.filter((F.col("pos") >= cut) & (F.col("pos") < before))
         if before < CLASS_ROWS[0] or sizes[y] < CLASS_ROWS[1] or fitted.count() < CLASS_FITTED[0] or held.count() < CLASS_FITTED[1]:
             continue
-        parts.append(class_model(fitted, held, data.filter(F.col("yr") == y), classes, truth, stages, trees).withColumn("fold", F.lit(y)))
+        parts.append(durable(class_model(fitted, held, data.filter(F.col("yr") == y), classes, truth, stages, trees).withColumn("fold", F.lit(y))))
     if not parts:
         raise ValueError("no fold has enough rows")
     return reduce(DataFrame.unionByName, parts).drop("pos", "total")
@@ -225,13 +246,17 @@ def quantile_forest(train: DataFrame, score: DataFrame, target: str, stages: lis
 
 
 def quantile_walk_forward(rows: DataFrame, targets: list[str], numeric: list[str], categories: list[str], first: int, trees: int = 10) -> DataFrame:
-    """Quantiles and actual value per fold year and target."""
+    """Quantiles and actual value per fold year and target.  Folds with too few rows are left out."""
     data, stages, _ = prepare(rows, numeric, categories)
     data = durable(data)
-    parts = []
+    sizes, parts = _sizes(data), []
     for y in years_from(data, first):
+        if sum(n for k, n in sizes.items() if k < y) < MIN_TRAIN or sizes[y] < MIN_VAL:
+            continue
         for target in targets:
             got = quantile_forest(data.filter(F.col("yr") < y), data.filter(F.col("yr") == y), target, stages, trees=trees)
             actual = data.select("contest_id", F.col(target).cast("double").alias("actual"))
-            parts.append(got.join(actual, "contest_id").withColumns({"target": F.lit(target), "fold": F.lit(y)}))
+            parts.append(durable(got.join(actual, "contest_id").withColumns({"target": F.lit(target), "fold": F.lit(y)})))
+    if not parts:
+        raise ValueError("no fold has enough rows")
     return reduce(DataFrame.unionByName, parts)

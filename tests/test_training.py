@@ -33,3 +33,16 @@ def test_class_folds_use_earlier_rows_and_leave_out_small_ones(spark):
     assert all(abs(r["c_R1"] + r["c_R2"] - 1) < 1e-9 for r in got)
     high, low = ([r["c_R1"] for r in got if cond(r["x"])] for cond in (lambda x: x > 0.8, lambda x: x < 0.2))
     assert np.mean(high) > np.mean(low) + 0.3
+
+
+def test_queries_score_every_year_that_has_enough_before_it(spark):
+    import workload.modelling as modelling
+    from workload import load_all
+    from workload.registry import Tables
+
+    source = "/root/testdata/sf0.001"
+    rows = modelling.training_rows(Tables(spark, source))
+    years = training.fold_years(rows, 0)
+    got = load_all().queries["walk_forward_predictions"](spark, source)
+    assert sorted(r["fold"] for r in got.select("fold").distinct().collect()) == years
+    assert got.count() == rows.filter(rows["yr"].isin(years)).count()

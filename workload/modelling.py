@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from contestlake.functions import sql as sql_functions
 from contestlake.functions.plan import durable
@@ -37,9 +39,9 @@ query("training_matrix", "contest_id dt:s label a_is_red elo_a:d glicko_rd_b:d d
     lambda t: matrix.training_matrix(t.contest, t.totals, t.entity))
 
 
-query("walk_forward_predictions", "contest_id fold label raw:d p:d")(lambda t: training.walk_forward(training_rows(t), NUMERIC, ["pool"], 1998))
+query("walk_forward_predictions", "contest_id fold label raw:d p:d")(lambda t: training.walk_forward(training_rows(t), NUMERIC, ["pool"], 0))
 query("stacked_calibration", "fold n per_fold:d stacked:d")(
-    lambda t: training.calibration_table(training.stacked(training.walk_forward(training_rows(t), NUMERIC, ["pool"], 1999))))
+    lambda t: training.calibration_table(training.stacked(training.walk_forward(training_rows(t), NUMERIC, ["pool"], 0))))
 
 
 def _importance(t):
@@ -51,10 +53,7 @@ query("feature_gains", "feature:s gain:d")(_importance)
 
 
 def _bagged(t):
-    rows = training_rows(t)
-    data, stages, _ = weighted(rows)
-    curve = training.fit_isotonic(training.walk_forward(rows, NUMERIC, ["pool"], 1998), "raw", "label")
-    return training.bagged(data.filter("yr < 2001"), data.filter("yr = 2001"), stages, bags=3, curve=curve)
+    return training.bagged_walk_forward(training_rows(t), NUMERIC, ["pool"], 0)
 
 
 query("bagged_predictions", "contest_id mean:d spread:d")(_bagged)
@@ -62,7 +61,7 @@ query("bagged_predictions", "contest_id mean:d spread:d")(_bagged)
 
 def _final(t):
     rows = training_rows(t)
-    return training.final(rows, NUMERIC, ["pool"], durable(training.walk_forward(rows, NUMERIC, ["pool"], 1998)))(rows)
+    return training.final(rows, NUMERIC, ["pool"], durable(training.walk_forward(rows, NUMERIC, ["pool"], 0)))(rows)
 
 
 query("final_predictions", "contest_id label raw:d p:d")(_final)
@@ -71,7 +70,7 @@ query("final_predictions", "contest_id label raw:d p:d")(_final)
 def _blend(t):
     rows = training_rows(t)
     rated, _ = ratings.rate(rows)
-    oof = training.walk_forward(rows, NUMERIC, ["pool"], 1998).select("contest_id", "label", "p")
+    oof = training.walk_forward(rows, NUMERIC, ["pool"], 0).select("contest_id", "label", "p")
     return training.blend(oof.join(rated.select("contest_id", "elo_a", "elo_b"), "contest_id"))
 
 
@@ -79,9 +78,9 @@ query("blended_predictions", "contest_id p:d blended:d used_blend final:d")(_ble
 TRUE = "concat(CASE label WHEN 1 THEN 'A_' ELSE 'B_' END, CASE method WHEN 'KO/TKO' THEN 'KO_TKO' WHEN 'SUB' THEN 'SUB' ELSE 'DEC' END)"
 ROUND = "CASE WHEN method NOT LIKE 'Dec%' THEN concat('R', period_ended) END"
 query("method_class_predictions", "contest_id fold method_true:s " + " ".join(f"c_{c}:d" for c in CLASSES))(
-    lambda t: training.class_walk_forward(training_rows(t).withColumn("method_true", F.expr(TRUE)), NUMERIC, ["pool"], CLASSES, "method_true", 2000))
+    lambda t: training.class_walk_forward(training_rows(t).withColumn("method_true", F.expr(TRUE)), NUMERIC, ["pool"], CLASSES, "method_true", 0))
 query("round_class_predictions", "contest_id fold round_true:s c_R1:d c_R2:d c_R3:d c_R4:d c_R5:d")(
-    lambda t: training.class_walk_forward(training_rows(t).withColumn("round_true", F.expr(ROUND)), NUMERIC, ["pool"], [f"R{i}" for i in range(1, 6)], "round_true", 2000))
+    lambda t: training.class_walk_forward(training_rows(t).withColumn("round_true", F.expr(ROUND)), NUMERIC, ["pool"], [f"R{i}" for i in range(1, 6)], "round_true", 0))
 
 
 def _totals(t):
@@ -89,19 +88,23 @@ def _totals(t):
     names = {f"{side}_{counter}": f"total_{name}_{'combined' if side == 'both' else side}" for counter, name in (("sig_l", "sig_strikes"), ("td_l", "takedowns"), ("kd", "knockdowns"))
              for side in ("both", "a", "b") if counter != "kd" or side == "both"}
     counts = resolve.side_totals(t.oof, t.totals, ["sig_l", "td_l", "kd"]).select("contest_id", *[C(c).alias(n) for c, n in names.items()])
-    return training.quantile_walk_forward(training_rows(t).join(counts, "contest_id"), list(names.values()), NUMERIC, ["pool"], 2001)
+    return training.quantile_walk_forward(training_rows(t).join(counts, "contest_id"), list(names.values()), NUMERIC, ["pool"], 0)
 
 
 query("totals_quantiles", "contest_id fold target:s q10:d q25:d q50:d q75:d q90:d estimate:d actual:d")(_totals)
 
 
 def _score(t):
-    """Train before the last year, score it as the schedule, and price its quotes."""
-    rows = training_rows(t)
-    data, stages, _ = weighted(rows)
-    past, coming = data.filter("yr < 2001"), data.filter("yr = 2001")
-    model = training.booster(past.filter("yr < 2000"), stages)
-    held = durable(training.raw_probability(model, past.filter("yr = 2000")))
+    """Each year with enough years before it as the schedule: train and calibrate before it, score it, and price its quotes."""
+    data, stages, _ = training.prepare(training_rows(t), NUMERIC, ["pool"])
+    data = durable(data)
+    return reduce(DataFrame.unionByName, [durable(_score_year(t, data, stages, y)) for y in training.fold_years(data, 0)])
+
+
+def _score_year(t, data, stages, year):
+    past, coming = training.folds.decay_weights(data.filter(C("yr") < year)), data.filter(C("yr") == year)
+    model = training.booster(past.filter(C("yr") < year - 1), stages)
+    held = durable(training.raw_probability(model, past.filter(C("yr") == year - 1)))
     curve = training.fit_isotonic(held, "raw", "label")
     calibrated = training.calibrate(curve, held, "raw", "p")
     scored = training.calibrate(curve, training.raw_probability(model, coming), "raw", "p")
