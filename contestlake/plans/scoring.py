@@ -1,4 +1,4 @@
-"""Scoring of scheduled contests: features, ratings, bags, blend, interval, classes, bets."""
+"""Scoring of scheduled contests: intervals, classes from rates, bets."""
 
 from __future__ import annotations
 
