@@ -32,6 +32,8 @@ KEY_UNIT_ROWS, KEY_SPLIT = 16_000, 3
 #: Shingles up to which sets also meet by their first shingles, as their fingerprints say too little; candidates of a class
 #: in a task beyond which only its links to the nearest and the first one are tried at first; pairs held before they are thinned.
 FEW_SHINGLES, BUSY, HELD_PAIRS = 40, 32, 2_000_000
+#: Shingles in common, one after the other, that a unit of small sets is split by at most before it is cut into blocks.
+SHINGLE_LEVELS = 3
 
 
 def fingerprints(text: str | None, width: int = 3, words: int = 1) -> list[int]:
@@ -71,9 +73,8 @@ def set_words(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def leading(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """So many first hashes of a small set that two sets of the similarity or more have one of theirs in common."""
-    n = len(hashes)
-    return hashes[:n - math.ceil(similarity * n - 1e-9) + 1] if 0 < n <= FEW_SHINGLES / similarity else hashes[:0]
+    """The hashes of a small set, ascending, whose first ones are its units; none of a large set."""
+    return hashes if len(hashes) <= FEW_SHINGLES / similarity else hashes[:0]
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -113,7 +114,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
 
 
 def with_sets(docs: DataFrame, text: str, keep: list[str], width: int, similarity: float) -> DataFrame:
-    """The kept columns, a hash of the set of shingles, its long fingerprint, the set's first hashes if it is small."""
+    """The kept columns, a hash of the set of shingles, its long fingerprint, the set itself if it is small."""
     def make(batch):
         sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
         lists = pa.list_(pa.int64())
@@ -295,51 +296,124 @@ def most_differing(similarity: float) -> int:
     return math.floor(n * share + MARGIN * math.sqrt(n * share * (1 - share)))
 
 
-def _dealt(classes: DataFrame) -> DataFrame:
-    """Units of the classes by their keys and first shingles, dealt to tasks.
+def key_units(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of long fingerprints, the unit and the turned bits of every band of every key.
 
-    Keys of a band in common are a unit, as in ``links``; a unit of too many rows is split down the key and then down the
-    bits that follow it, where any difference may occur.
+    The band leads its key, and the bits behind the key follow it, so that a split always meets new bits.
+    """
+    half, bands = KEY_BITS // (KEY_BUDGET + 1), KEY_BUDGET + 1
+    top = np.uint64((1 << KEY_BITS) - 1) << np.uint64(64 - KEY_BITS)
+
+    def rolled(x, by, bits=64):
+        return x << np.uint64(by) | x >> np.uint64(bits - by) if by else x
+
+    unit, turned = [], []
+    for k, start in ((k, start) for k in range(WORDS) for start in KEY_STARTS):
+        word = rolled(words[:, k], start)
+        key, rest = word & top, word & ~top
+        for i in range(bands):
+            led = rolled(key, i * half, KEY_BITS) & top
+            value = led >> np.uint64(64 - half)
+            unit.append(((k * len(KEY_STARTS) + KEY_STARTS.index(start)) * bands + i << half) + value.astype(np.int64))
+            turned.append((led | rest).view(np.int64))
+    return np.stack(unit, 1), np.stack(turned, 1)
+
+
+def _held(classes: DataFrame) -> list[str]:
+    return ["node", *(["root"] if "root" in classes.columns else []), *[f"w{k}" for k in range(DECIDING)]]
+
+
+def with_key_units(classes: DataFrame) -> DataFrame:
+    """A row for every key band of every class, made by Arrow batch: what is held of the class, unit, turned."""
+    held = _held(classes)
+    source = classes.select(F.col("bits").alias("node"), *held[1:-DECIDING], "words")
+    n = len(held) - DECIDING
+
+    def run(batches):
+        for batch in common.slices(batches, 4096):
+            words = batch.column(n).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+            unit, turned = key_units(words)
+            times = unit.shape[1]
+            ids = [pa.array(np.repeat(c.to_numpy(zero_copy_only=False), times)) for c in batch.columns[:n]]
+            heads = [pa.array(np.repeat(words[:, k].view(np.int64), times)) for k in range(DECIDING)]
+            yield pa.RecordBatch.from_arrays([*ids, *heads, pa.array(unit.ravel()), pa.array(turned.ravel())], [*held, "unit", "turned"])
+
+    return source.mapInArrow(run, ", ".join(f"{c} long" for c in [*held, "unit", "turned"]))
+
+
+_UNIT = ["unit", "turned", "used", "side", "crossing", "budget"]
+
+
+def in_blocks(units: DataFrame, sizes: DataFrame, held: list[str]) -> DataFrame:
+    """Units that nothing divides, as units of two blocks of their rows each; every two rows still meet."""
+    n = F.ceil(F.col("n") / (KEY_UNIT_ROWS // 2)).cast("int")
+    dealt = units.join(sizes.select("unit", n.alias("blocks")), "unit").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("unit", F.least("block", "other"), F.greatest("block", "other"))
+    turned_over = ~F.col("crossing") & (F.col("block") > F.col("other"))
+    return met.select(*held, pair.alias("unit"), "turned", "used", F.when(turned_over, 1).otherwise(F.col("side")).alias("side"),
+                      (F.col("crossing") | (F.col("block") != F.col("other"))).alias("crossing"), "budget")
+
+
+def _fitting(units: DataFrame, held: list[str], divide, may_divide) -> tuple[DataFrame, int]:
+    """The units cut until none has more than KEY_UNIT_ROWS rows, and how many rows they have.
+
+    ``divide`` gives finer units of the large ones that ``may_divide`` (a condition on n and the largest ``used``); the
+    others are cut into pairs of blocks.
     """
-    half = KEY_BITS // (KEY_BUDGET + 1)
-    names = [f"w{k}" for k in range(DECIDING)]
-    top = F.lit(signed(((1 << KEY_BITS) - 1) << (64 - KEY_BITS)))
-
-    def rolled(value, by):
-        return F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, 64 - by)) if by else value
-
-    def band(k, start, i):
-        word = rolled(F.get("words", F.lit(k)), start)
-        key, rest, by = word.bitwiseAND(top), word.bitwiseAND(F.bitwise_not(top)), i * half
-        # the band leads its key, so that a split always meets new bits
-        led = F.shiftleft(key, by).bitwiseOR(F.shiftrightunsigned(key, KEY_BITS - by)).bitwiseAND(top) if by else key
-        return F.struct(F.xxhash64(F.lit(k), F.lit(start), F.lit(i), F.shiftrightunsigned(led, 64 - half)).alias("unit"), led.bitwiseOR(rest).alias("turned"))
-
-    bands = [band(k, start, i) for k in range(WORDS) for start in KEY_STARTS for i in range(KEY_BUDGET + 1)]
-    held = ["node", *(["root"] if "root" in classes.columns else []), *names]
-    rows = classes.select(F.col("bits").alias("node"), *held[1:-DECIDING],
-                          *[F.get("words", F.lit(k)).alias(n) for k, n in enumerate(names)], F.array(*bands).alias("bands"), *(["leading"] if "leading" in classes.columns else []))
-    units = rows.select(*held, F.inline("bands")).withColumn("used", F.lit(half))
-    if "leading" in classes.columns:
-        # the whole unit is one leaf, which no split would divide
-        by_shingle = F.struct(F.xxhash64(F.lit("shingle"), F.col("shingle")).alias("unit"), F.lit(0).cast("long").alias("turned"), F.lit(64).alias("used"))
-        units = units.unionByName(rows.select(*held, F.explode("leading").alias("shingle")).select(*held, by_shingle.alias("u")).select(*held, "u.*"))
-    units = units.withColumns({"side": F.lit(0), "crossing": F.lit(False), "budget": F.lit(KEY_BUDGET)})
     ready, n_rows = None, 0
     while True:
         size = durable(units.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("n0"), F.max("crossing").alias("x"), F.max("used").alias("u"))
                        .filter("IF(x, n0 > 0 AND n0 < n, n > 1)"))
-        too_large = (F.col("n") > KEY_UNIT_ROWS) & (F.col("u") + KEY_SPLIT <= 64)
-        large = size.filter(too_large).select("unit")
-        n_rows += size.filter(~too_large).agg(F.sum("n")).first()[0] or 0
-        more = bool(large.take(1))
+        over = F.col("n") > KEY_UNIT_ROWS
+        told = {r["kind"]: r["rows"] for r in size.groupBy(F.when(~over, 0).when(may_divide, 1).otherwise(2).alias("kind")).agg(F.sum("n").alias("rows")).collect()}
+        n_rows += sum(told.values())
         # units of one row do no harm; they are left out only where the units are joined anyway
-        fits = units.join(size.filter(~too_large).select("unit"), "unit") if more or ready is not None else units
-        ready = fits if ready is None else ready.unionByName(fits)
-        if not more:
-            break
+        fits = units.join(size.filter(~over).select("unit"), "unit") if ready is not None or len(told) > 1 or 0 not in told else units
+        parts = [fits.select(*held, *_UNIT)]
+        if 2 in told:
+            parts.append(in_blocks(units, size.filter(over & ~may_divide), held).select(*held, *_UNIT))
+        for part in parts:
+            ready = part if ready is None else ready.unionByName(part)
+        if 1 not in told:
+            return ready, n_rows
+        units = durable(divide(units.join(size.filter(over & may_divide).select("unit"), "unit")))
+
+
+def _dealt(classes: DataFrame, similarity: float) -> DataFrame:
+    """Units of the classes by their keys and first shingles, dealt to tasks.
+
+    Keys of a band in common are a unit, as in ``links``; a unit of too many rows is split down the key and then down the
+    bits that follow it, where any difference may occur.  A shingle among the first of small sets is a unit as well; one of
+    too many rows is split by the next shingle that two sets have in common: sets of the similarity or more have ``level``
+    of their first n - ceil(similarity * n) + level in common.
+    """
+    held = _held(classes)
+    keys = with_key_units(classes).withColumns({"used": F.lit(KEY_BITS // (KEY_BUDGET + 1)), "side": F.lit(0), "crossing": F.lit(False), "budget": F.lit(KEY_BUDGET)})
+
+    def deeper(units):
         free = F.when(F.col("used") >= KEY_BITS, 64).otherwise(F.col("budget"))
-        units = durable(split(units.join(large, "unit").withColumn("budget", free), KEY_SPLIT, held))
+        return split(units.withColumn("budget", free), KEY_SPLIT, held)
+
+    ready, n_rows = _fitting(keys, held, deeper, F.col("u") + KEY_SPLIT <= 64)
+    if "leading" in classes.columns:
+        whole = {"turned": F.lit(0).cast("long"), "side": F.lit(0), "crossing": F.lit(False), "budget": F.lit(KEY_BUDGET)}
+        small = classes.filter(F.size("leading") > 0)
+        spare = F.size("leading") - F.ceil(similarity * F.size("leading") - 1e-9).cast("int")
+        rows = small.select(F.col("bits").alias("node"), *held[1:-DECIDING], *[F.get("words", F.lit(k)).alias(f"w{k}") for k in range(DECIDING)],
+                            F.posexplode(F.slice("leading", 1, spare + 1)).alias("at", "shingle"))
+        first = rows.select(*held, F.xxhash64(F.lit("shingle"), "shingle").alias("unit"), "at").withColumns(whole)
+        # ``used`` counts the levels from 64 on, which marks the unit as one that is compared whole
+        first = first.withColumn("used", F.lit(65))
+
+        def next_shingle(units):
+            sets = small.select(F.col("bits").alias("node"), "leading", spare.alias("spare"))
+            level = F.col("used") - 64
+            found = units.join(sets, "node").select("*", F.posexplode(F.slice("leading", F.col("at") + 2, F.greatest(F.lit(0), F.col("spare") + level - F.col("at")))).alias("more", "shingle"))
+            return found.select(*held, F.xxhash64("unit", "shingle").alias("unit"), (F.col("at") + F.col("more") + 1).alias("at"), (F.col("used") + 1).alias("used")).withColumns(whole)
+
+        by_shingle, n_small = _fitting(first, [*held, "at"], next_shingle, F.col("u") < 64 + SHINGLE_LEVELS)
+        ready, n_rows = ready.unionByName(by_shingle.drop("at")), n_rows + n_small
     n_tasks = max(1, math.ceil(n_rows / KEY_UNIT_ROWS))
     return ready.select("unit", "side", "turned", (F.col("used") >= 64).alias("whole"), *held).withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(n_tasks)))
 
@@ -371,7 +445,7 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         out = pd.DataFrame({"a": node, "b": node[low]})
         return out[out["a"] != out["b"]]
 
-    return _dealt(classes).groupBy("task").applyInPandas(join, "a long, b long")
+    return _dealt(classes, similarity).groupBy("task").applyInPandas(join, "a long, b long")
 
 
 def candidates(classes: DataFrame, similarity: float, most: int | None) -> DataFrame:
@@ -413,7 +487,7 @@ def candidates(classes: DataFrame, similarity: float, most: int | None) -> DataF
         ends = [np.concatenate([node[x], node[busy]]) for x in (a, b)]
         return pd.DataFrame({"a": ends[0], "b": ends[1], "open": np.arange(len(ends[0])) >= len(a)})
 
-    return _dealt(classes).groupBy("task").applyInPandas(join, "a long, b long, open boolean")
+    return _dealt(classes, similarity).groupBy("task").applyInPandas(join, "a long, b long, open boolean")
 
 
 def exact_links(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
