@@ -84,19 +84,20 @@ def document_frequencies(texts: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, per_language: int, in_all: int) -> DataFrame:
-    """At most ``per_language`` rows of each language and ``in_all`` rows, by hash of the text.
+    """At most ``per_language`` different texts of each language and ``in_all`` in all, by hash of the text.
 
-    Rows are thinned by their hash before any is shuffled, then ranked exactly; a rank, unlike a share,
-    bounds what is collected whatever texts repeat.  The table of shares sent to every task has ``in_all``
-    rows at most.
+    Copies count once: shares are taken of the different texts of a language, so that neither a group of copies fills
+    its sample nor a language of few texts is thinned away.  Texts are thinned by their hash before any is shuffled,
+    then ranked exactly; a rank, unlike a share, bounds what is collected.  The table of shares sent to every task has
+    ``in_all`` rows at most.
     """
-    sizes = labelled.groupBy(F.col(lang).alias("lang_")).agg(F.count("*").alias("n_"))
+    keyed = labelled.select(F.col(text).alias("text_"), F.col(lang).alias("l_"), F.xxhash64(F.lit(17), F.col(text)).alias("hash_"))
+    sizes = keyed.select(F.col("l_").alias("lang_"), "hash_").distinct().groupBy("lang_").agg(F.count("*").alias("n_"))
     each = F.least(F.lit(per_language), F.greatest(F.lit(1), F.floor(F.lit(in_all) / F.count("*").over(Window.partitionBy(F.lit(0))))))
     sizes = sizes.orderBy(F.desc("n_"), "lang_").limit(in_all).withColumn("each_", each)
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thinned = labelled.select(F.col(text).alias("text_"), F.col(lang).alias("l_"), draw.alias("draw_")).join(F.broadcast(sizes), F.col("l_") == F.col("lang_"))
-    thinned = thinned.filter(F.col("draw_") < 3 * F.col("each_") / F.col("n_"))
-    order = Window.partitionBy("l_").orderBy("draw_", "text_")
+    thinned = keyed.withColumn("draw_", F.pmod("hash_", F.lit(1 << 30)) / F.lit(float(1 << 30))).join(F.broadcast(sizes), F.col("l_") == F.col("lang_"))
+    thinned = thinned.filter(F.col("draw_") < 3 * F.col("each_") / F.col("n_")).groupBy("l_", "hash_", "draw_", "each_").agg(F.min("text_").alias("text_"))
+    order = Window.partitionBy("l_").orderBy("draw_", "hash_")
     return thinned.withColumn("k_", F.row_number().over(order)).filter(F.col("k_") <= F.col("each_")).filter(F.col("k_") <= per_language)
 
 

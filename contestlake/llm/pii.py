@@ -48,18 +48,20 @@ _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
 def _located(text: Column, pattern: str, gate: Column | None = None) -> Column:
-    """Matches with their code point positions.  The patterns' matches do not depend on what precedes them, so a
-    match is where its characters first occur after the match before it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    found = found if gate is None else F.when(gate, found).otherwise(F.array().cast("array<string>"))
+    """Matches with their code point positions: each is found together with what lies between it and the match before
+    it, so that the lengths add up to its place, whatever the pattern looks at around it."""
+    seen = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    whole = F.lit(rf"(?s)\G(.*?)({pattern})")
+    pieces = F.when(seen, F.arrays_zip(F.regexp_extract_all(text, whole, F.lit(1)).alias("gap"), F.regexp_extract_all(text, whole, F.lit(2)).alias("value"))).otherwise(
+        F.array().cast("array<struct<gap:string,value:string>>"))
 
     def step(acc, m):
-        return F.transform(F.array(F.position(m, text, acc["at"])), lambda p: F.struct(
-            (p + F.length(m)).cast("int").alias("at"),
-            F.array_append(acc["out"], F.struct((p - 1).cast("int").alias("start"), (p - 1 + F.length(m)).cast("int").alias("end"), m.alias("value"))).alias("out")))[0]
+        start = acc["at"] + F.length(m["gap"])
+        return F.transform(F.array(start), lambda p: F.struct(
+            (p + F.length(m["value"])).cast("int").alias("at"),
+            F.array_append(acc["out"], F.struct(p.cast("int").alias("start"), (p + F.length(m["value"])).cast("int").alias("end"), m["value"].alias("value"))).alias("out")))[0]
 
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
 
 
 def _digits(value: Column) -> Column:

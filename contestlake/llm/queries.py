@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from contestlake.llm import ann, bpe, langid, licenses, mix, pii, quality, simhash, topk, urls
+from contestlake.llm import ann, bpe, filters, langid, licenses, mix, pii, quality, secrets, simhash, topk, urls, variants
 from contestlake.llm.common import table
 
 
@@ -55,7 +55,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_ann, op3_language, op4_topk, op5_simhash, op6_quality, op7_mix, op8_urls, op9_pii, op10_licenses)}
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return secrets.find(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ann, op3_language, op4_topk, op5_simhash, op6_quality, op7_mix, op8_urls, op9_pii, op10_licenses,
+                                 op11_variants, op12_filters, op13_secrets)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
@@ -67,4 +81,5 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op7_mix": mix.ORACLE,
+    "op12_filters": filters.ORACLE,
 }

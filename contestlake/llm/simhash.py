@@ -30,8 +30,10 @@ WORDS, DECIDING, KEY_BITS, KEY_BUDGET, KEY_STARTS, MARGIN = 6, 3, 24, 3, (0, 32)
 #: The same bounds as above for units of keys; KEY_SPLIT divides what a band leaves of a key.
 KEY_UNIT_ROWS, KEY_SPLIT = 16_000, 3
 #: Shingles up to which sets also meet by their first shingles, as their fingerprints say too little; candidates of a class
-#: in a task beyond which only its links to the nearest and the first one are tried at first; pairs held before they are thinned.
-FEW_SHINGLES, BUSY, HELD_PAIRS = 40, 32, 2_000_000
+#: in a task beyond which its pairs with classes of as many are compared group by group; pairs held before they are thinned.
+FEW_SHINGLES, BUSY, HELD_PAIRS = 40, 6, 2_000_000
+#: Shingles of a block of connected classes; a task compares two blocks.
+DENSE_SHINGLES = 1_000_000
 #: Shingles in common, one after the other, that a unit of small sets is split by at most before it is cut into blocks.
 SHINGLE_LEVELS = 3
 
@@ -449,69 +451,137 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def candidates(classes: DataFrame, similarity: float, most: int | None) -> DataFrame:
-    """Candidate pairs (a, b), a > b, of classes of different ``root``, and (a, a, open) of classes that may lack pairs.
+    """Candidate pairs (a, b, held), a > b, of classes.
 
-    A pair is held back if both of its classes have more than ``most`` candidates in a task; of each class the pairs with
-    the nearest candidate and with the first one always appear.
+    Pairs whose classes both have more than ``most`` candidates in a task are held back: of these only links (held) appear
+    that reach from each class to the smallest one that it reaches over them.
     """
     limit = most_differing(similarity)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         node, code = np.unique(frame["node"].to_numpy(), return_inverse=True)
         n = len(node)
-        degree, near, first = np.zeros(n, np.int64), np.full(n, 1 << 62), np.arange(n)
+        degree, low = np.zeros(n, np.int64), np.arange(n)
         kept, fresh, size = np.zeros(0, np.int64), [], 0
 
         def thinned():
+            """The pairs that stay; the others only leave what they connect."""
+            nonlocal low
             pairs = np.unique(np.concatenate([kept, *fresh]))
             a, b = pairs // n, pairs % n
-            return pairs if most is None else pairs[(degree[a] <= most) | (degree[b] <= most)]
+            held = np.zeros(len(a), bool) if most is None else (degree[a] > most) & (degree[b] > most)
+            low = smallest_reach(n, [(np.arange(n), low), (a[held], b[held])])
+            return pairs[~held]
 
-        for a, b, differ in _met(frame, code, limit):
+        for a, b, _ in _met(frame, code, limit):
             a, b = np.maximum(a, b), np.minimum(a, b)
             degree += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-            np.minimum.at(near, a, differ * n + b)
-            np.minimum.at(near, b, differ * n + a)
-            np.minimum.at(first, a, b)
             fresh.append(a * n + b)
             size += len(a)
             if size > HELD_PAIRS:
                 kept, fresh, size = thinned(), [], 0
         kept = thinned()
-        one = np.arange(n)
-        nearest = np.where(near < 1 << 62, near % n, one)
-        pairs = np.unique(np.concatenate([kept, *[np.maximum(one, x) * n + np.minimum(one, x) for x in (nearest, first)]]))
-        a, b = pairs // n, pairs % n
-        a, b = a[a != b], b[a != b]
-        busy = one[:0] if most is None else one[degree > most]
-        ends = [np.concatenate([node[x], node[busy]]) for x in (a, b)]
-        return pd.DataFrame({"a": ends[0], "b": ends[1], "open": np.arange(len(ends[0])) >= len(a)})
+        far = np.flatnonzero(low < np.arange(n))
+        ends = [np.concatenate([node[x], node[y]]) for x, y in ((kept // n, far), (kept % n, low[far]))]
+        return pd.DataFrame({"a": ends[0], "b": ends[1], "held": np.arange(len(ends[0])) >= len(kept)})
 
-    return _dealt(classes, similarity).groupBy("task").applyInPandas(join, "a long, b long, open boolean")
+    return _dealt(classes, similarity).groupBy("task").applyInPandas(join, "a long, b long, held boolean")
+
+
+class Overlaps:
+    """Jaccard similarities of one set with many, over the sets of a task."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.at = np.r_[0, np.cumsum(self.size)]
+        _, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(int(self.ids.max()) + 1 if len(self.ids) else 0, bool)
+
+    def of(self, i: int, others: np.ndarray, piece: int = 4_000_000) -> np.ndarray:
+        mine = self.ids[self.at[i]:self.at[i + 1]]
+        self.mark[mine] = True
+        both = np.zeros(len(others), np.int64)
+        ends = np.cumsum(self.size[others])
+        for first in np.unique(np.r_[0, np.searchsorted(ends, np.arange(piece, int(ends[-1]) if len(ends) else 0, piece))]).tolist():
+            last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + piece, "right"))
+            part = others[first:max(last, first + 1)]
+            size = self.size[part]
+            where = np.repeat(self.at[part] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            both[first:first + len(part)] = np.bincount(np.repeat(np.arange(len(part)), size), self.mark[self.ids[where]], len(part)).astype(np.int64)
+        self.mark[mine] = False
+        return both / np.maximum(1, self.size[i] + self.size[others] - both)
+
+
+def dense_links(side: np.ndarray, words: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose components are those of all candidate pairs of the similarity or more.
+
+    The same candidates as in ``candidates``, each compared exactly unless its rows are connected already.
+    """
+    n, limit, overlaps, label, out = len(sets), most_differing(similarity), Overlaps(sets), np.arange(len(sets)), []
+    keys = [(k, start) for k in range(WORDS) for start in KEY_STARTS]
+    turned = [words[:, k] << np.uint64(start) | words[:, k] >> np.uint64(64 - start) if start else words[:, k] for k, start in keys]
+    behind = np.uint64(64 - KEY_BITS)
+
+    def compare(i, j):
+        code = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
+        i, j = code // n, code % n
+        for x in np.unique(i).tolist():
+            others = j[np.searchsorted(i, x):np.searchsorted(i, x, "right")]
+            others = others[label[others] != label[x]]
+            for y in others[overlaps.of(x, others) >= similarity].tolist() if len(others) else ():
+                if label[y] != label[x]:
+                    out.append((x, y))
+                    label[(label == label[y]) | (label == label[x])] = min(label[x], label[y])
+
+    for at, bits in enumerate(turned):
+        for i, j in close_pairs(np.zeros(n, np.int64), side, bits, KEY_BUDGET, KEY_BITS // 8):
+            fine = (label[i] != label[j]) & (np.bitwise_count(words[i, :DECIDING] ^ words[j, :DECIDING]).sum(axis=1) <= limit)
+            i, j = i[fine], j[fine]
+            # a pair counts at the first key at which it meets
+            before = np.zeros(len(i), bool)
+            for other in turned[:at]:
+                before |= np.bitwise_count((other[i] ^ other[j]) >> behind) <= KEY_BUDGET
+            compare(i[~before], j[~before])
+    small = [(h, k) for k, x in enumerate(sets) if 0 < len(x) <= FEW_SHINGLES / similarity for h in x[:len(x) - math.ceil(similarity * len(x) - 1e-9) + 1].tolist()]
+    if small:
+        _, unit = np.unique(np.array([h for h, _ in small], np.uint64), return_inverse=True)
+        row = np.array([k for _, k in small])
+        for i, j in close_pairs(unit, side[row], np.zeros(len(row), np.uint64), 0, 0):
+            compare(row[i], row[j])
+    return tuple(np.array([x[k] for x in out], np.int64) for k in (0, 1))
 
 
 def exact_links(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
     """Links (a, b) of classes whose sets have this Jaccard similarity or more; their components are those of all such pairs.
 
-    ``classes`` has ``bits``, ``words`` and ``leading``; ``sets_of`` gives the ``shingles`` of ``bits``.  Every candidate pair is
-    compared shingle by shingle, but for pairs of classes of many candidates that links found before put into one component.
+    ``classes`` has ``bits``, ``words`` and ``leading``; ``sets_of`` gives the ``shingles`` of ``bits``.  Candidate pairs are
+    compared shingle by shingle.  Classes of many candidates are compared in tasks that hold the sets of the classes they are
+    connected with (or two blocks of these), which write links only.
     """
     found = durable(candidates(classes, similarity, BUSY))
     sets = durable(sets_of(found.select(F.explode(F.array("a", "b")).alias("bits")).distinct()))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("a", "b").distinct()
-        side = lambda k: sets.select(F.col("bits").alias(k), F.col("shingles").alias(f"of_{k}"))
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b")
-
-    links = durable(similar(found.filter("NOT open")))
-    busy = durable(found.filter("open").select(F.col("a").alias("bits")).distinct())
-    if not busy.take(1):
+    side = lambda k: sets.select(F.col("bits").alias(k), F.col("shingles").alias(f"of_{k}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    similar = both / (F.size("of_a") + F.size("of_b") - both) >= similarity
+    links = durable(found.filter("NOT held").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(similar).select("a", "b"))
+    held = found.filter("held").select("a", "b")
+    if not held.take(1):
         return links
-    roots = components.smallest_member(links).withColumnRenamed("node", "bits")
-    left = classes.join(busy, "bits", "left_semi").join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    return links.unionByName(durable(similar(candidates(durable(left), similarity, None))))
+    group = components.smallest_member(held)
+    group = group.unionByName(group.select(F.col("root").alias("node"), "root").distinct())
+    dense = group.join(sets.withColumnRenamed("bits", "node"), "node").join(classes.select(F.col("bits").alias("node"), "words"), "node")
+    blocks = group.join(sets.select(F.col("bits").alias("node"), (F.size("shingles") + WORDS).alias("n")), "node").groupBy("root").agg(F.ceil(F.sum("n") / DENSE_SHINGLES).cast("int").alias("blocks"))
+    dealt = dense.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "words", "shingles")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node", ignore_index=True)
+        words = np.stack(frame["words"].to_numpy()).astype(np.int64).view(np.uint64)
+        i, j = dense_links(frame["side"].to_numpy(), words, [np.asarray(x, np.int64).view(np.uint64) for x in frame["shingles"]], similarity)
+        node = frame["node"].to_numpy()
+        return pd.DataFrame({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+
+    return links.unionByName(durable(dealt.groupBy("root", "low", "high").applyInPandas(compare, "a long, b long")))
 
 
 def classes_of(prints: DataFrame, bits: str = "fingerprint_bits", doc_id: str = "doc_id", within: int = 2, similarity: float | None = None, sets=None) -> DataFrame:

@@ -203,7 +203,7 @@ def test_small_sets_meet_in_units_that_are_split(spark, monkeypatch):
     sets = [simhash.shingles(" ".join(t), 5) for t in texts]
     rows = [(k, [int(x) for x in simhash.set_words(s, simhash.WORDS).view("int64")], [int(x) for x in s.view("int64")]) for k, s in enumerate(sets)]
     found = simhash.candidates(spark.createDataFrame(rows, "bits long, words array<long>, leading array<long>"), 0.8, None)
-    got = {(r["a"], r["b"]) for r in found.filter("NOT open").collect()}
+    got = {(r["a"], r["b"]) for r in found.filter("NOT held").collect()}
     known = [set(s.tolist()) for s in sets]
     wanted = {(i, j) for i, a in enumerate(known) for j, b in enumerate(known[:i]) if len(a & b) / len(a | b) >= 0.8}
     assert len(wanted) > 700 and wanted <= got
@@ -216,11 +216,12 @@ def test_no_generated_code_is_too_large(spark):
     assert all(0 < codes.apply(i)._3().maxMethodCodeSize() < 65_535 and len(codes.apply(i)._2()) < 200_000 for i in range(codes.size()))
 
 
-@pytest.mark.parametrize("busy, few, unit_rows", [(32, 40, 16_000), (1, 0, 16_000), (32, 40, 60)])
-def test_similar_texts_are_exactly_those(spark, monkeypatch, busy, few, unit_rows):
+@pytest.mark.parametrize("busy, few, unit_rows, block", [(32, 40, 16_000, 1_000_000), (1, 0, 16_000, 4_000), (3, 40, 60, 1_000)])
+def test_similar_texts_are_exactly_those(spark, monkeypatch, busy, few, unit_rows, block):
     """Texts of similarities from 0.6 to 0.9 and groups of near copies: one of each group of exact Jaccard 0.8 or more stays."""
     monkeypatch.setattr(simhash, "BUSY", busy)
     monkeypatch.setattr(simhash, "KEY_UNIT_ROWS", unit_rows)
+    monkeypatch.setattr(simhash, "DENSE_SHINGLES", block)
     monkeypatch.setattr(simhash, "FEW_SHINGLES", few)
     rng, texts = random.Random(21), []
     for size in [*[8] * 10, *[60] * 20, *[200] * 40] if few else [200] * 40:
@@ -429,6 +430,20 @@ def test_masking(spark, docs):
     assert pii.masked(docs.limit(0)).count() == 0 and pii.find(docs.limit(0)).count() == 0 and pii.find(docs).count() == len(ROWS)
 
 
+def test_added_spans_are_at_their_match(spark):
+    """A pattern that looks at its surroundings is located by its match, not by its characters."""
+    texts = ["5-555-123-4567 then phone: call 555-123-4567 now", "+1-555-123-4567 and phone 555-123-4567", "é😀 phone 555-123-4567, phone 555-123-4567"]
+    found = pii.located(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", ["doc_id"])
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if not s["base"]] for r in found.collect()}
+    assert got == {0: [(32, 44)], 1: [(26, 38)], 2: [(9, 21), (29, 41)]}
+
+
+def test_language_sample_counts_copies_once(spark):
+    rows = [("same text", "en")] * 3000 + [(f"text {k}", "en") for k in range(50)] + [("ein text", "de")] * 4000 + [(f"text nummer {k}", "de") for k in range(3)]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 40, 80).collect()
+    assert len({r["text_"] for r in got}) == len(got) == 44 and sum(r["l_"] == "de" for r in got) == 4
+
+
 def test_em_trusts_the_reliable_labeler():
     patterns = [((1, 1, 1, 1, 1), 50.0), ((-1, -1, 0, 1, 1), 50.0), ((-1, 1, 1, 1, 1), 5.0)]
     chance = pii.estimate(patterns)
