@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from contestlake.functions import probability as prob
 from contestlake.functions.plan import durable
 from contestlake.operators import folds, order, totals
+from contestlake.plans import boosting
 
 MIN_TRAIN, MIN_VAL, MIN_CALIB = 100, 10, 50
 # fixed values: sizes below which a class fold is left out (rows before and in the fold; fitted and calibrating rows of
@@ -158,18 +159,18 @@ def fold_years(data: DataFrame, first: int) -> list[int]:
     return [y for y in years_from(data, first) if sum(n for k, n in sizes.items() if k < y - 1) >= MIN_TRAIN and sizes.get(y - 1, 0) >= MIN_CALIB and sizes[y] >= MIN_VAL]
 
 
-def bagged_walk_forward(rows: DataFrame, numeric: list[str], categories: list[str], first: int, bags: int = 20, rounds: int = 10) -> DataFrame:
-    """``bagged`` on every fold year from earlier rows; the curve is that of ``walk_forward`` for the fold."""
-    data, stages, _ = prepare(rows, numeric, categories)
-    data = durable(data)
-    parts = []
-    for y in fold_years(data, first):
-        core = booster(_weights(data.filter(F.col("yr") < y - 1)), stages, rounds=rounds)
-        curve = fit_isotonic(raw_probability(core, data.filter(F.col("yr") == y - 1)), "raw", "label")
-        parts.append(bagged(_weights(data.filter(F.col("yr") < y)), data.filter(F.col("yr") == y), stages, bags, rounds, curve).withColumn("fold", F.lit(y)))
-    if not parts:
+def bagged_walk_forward(rows: DataFrame, numeric: list[str], categories: list[str], first: int, bags: int = 20, rounds: int = 10, signs: dict[str, int] | None = None) -> DataFrame:
+    """Mean and deviation of calibrated bags on every fold year, from earlier rows only; all folds and bags are grown at once."""
+    data = durable(_weights(rows))
+    years = fold_years(data, first)
+    if not years:
         raise ValueError("no fold has enough rows")
-    return reduce(DataFrame.unionByName, parts)
+
+    def calibrated(held: DataFrame, scored: DataFrame) -> DataFrame:
+        parts = [calibrate(fit_isotonic(held.filter(F.col("fold") == y), "raw", "label"), scored.filter(F.col("fold") == y), "raw", "p") for y in years]
+        return reduce(DataFrame.unionByName, parts)
+
+    return boosting.bagged_folds(data, numeric, categories, years, calibrated, bags, rounds, signs=signs)
 
 
 def blend(oof: DataFrame) -> DataFrame:

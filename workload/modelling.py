@@ -19,6 +19,10 @@ C = F.col
 NUMERIC = ["diff_win_rate", "diff_slpm", "diff_sig_acc", "diff_td_def", "diff_ewma_win_rate", "diff_l5_win_rate", "diff_win_streak", "share"]
 
 
+#: The probability of the first side may only rise with these.
+SIGNS = {"share": 1, "diff_win_rate": 1, "diff_slpm": 1}
+
+
 def training_rows(t):
     """As-of differences and price share of every decided contest, written once."""
     diffs = with_sides(t).select("contest_id", *[cross.difference(c[5:]) for c in NUMERIC if c.startswith("diff_")],
@@ -53,7 +57,7 @@ query("feature_gains", "feature:s gain:d")(_importance)
 
 
 def _bagged(t):
-    return training.bagged_walk_forward(training_rows(t), NUMERIC, ["pool"], 0)
+    return training.bagged_walk_forward(training_rows(t), NUMERIC, ["pool"], 0, signs=SIGNS)
 
 
 query("bagged_predictions", "contest_id mean:d spread:d")(_bagged)
@@ -61,7 +65,8 @@ query("bagged_predictions", "contest_id mean:d spread:d")(_bagged)
 
 def _final(t):
     rows = training_rows(t)
-    return training.final(rows, NUMERIC, ["pool"], durable(training.walk_forward(rows, NUMERIC, ["pool"], 0)))(rows)
+    # the parts of the folds are stored already; a checkpoint of their union does not resolve
+    return training.final(rows, NUMERIC, ["pool"], training.walk_forward(rows, NUMERIC, ["pool"], 0))(rows)
 
 
 query("final_predictions", "contest_id label raw:d p:d")(_final)
