@@ -25,10 +25,12 @@ def replace(stored: DataFrame, fresh: DataFrame, keys: list[str], stamp: str) ->
 def upsert_schedule(stored: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
     """New contests are added; known ones only renew their time, cancel flag and flags that turn true.
 
-    Repeats inside the batch are combined first.
+    Repeats inside the batch are combined first.  The cancel flag of a known contest is that of the batch (false if the
+    batch has no such column); a new one is not cancelled.
     """
+    called_off = F.coalesce(F.bool_or("is_cancelled"), F.lit(False)) if "is_cancelled" in fresh.columns else F.lit(False)
     batch = fresh.groupBy("scheduled_id").agg(
-        F.min("event_name").alias("event_name"), F.bool_or("is_title").alias("is_title"), F.bool_or("is_long").alias("is_long"))
+        F.min("event_name").alias("event_name"), F.bool_or("is_title").alias("is_title"), F.bool_or("is_long").alias("is_long"), called_off.alias("called_off"))
     s = stored.select("scheduled_id", *[F.col(c).alias(f"_{c}") for c in ("event_name", "is_title", "is_long", "is_cancelled", "first_seen", "last_updated")])
     j = s.join(batch.withColumn("_hit", F.lit(True)), "scheduled_id", "full")
     hit = F.coalesce("_hit", F.lit(False))
@@ -36,7 +38,7 @@ def upsert_schedule(stored: DataFrame, fresh: DataFrame, now: Column) -> DataFra
     return j.select(
         "scheduled_id", F.coalesce("_event_name", "event_name").alias("event_name"),
         (F.coalesce("_is_title", no) | F.coalesce("is_title", no)).alias("is_title"), (F.coalesce("_is_long", no) | F.coalesce("is_long", no)).alias("is_long"),
-        F.when(hit, no).otherwise(F.col("_is_cancelled")).alias("is_cancelled"), F.coalesce("_first_seen", now).alias("first_seen"),
+        F.when(hit & F.col("_first_seen").isNotNull(), F.col("called_off")).when(hit, no).otherwise(F.col("_is_cancelled")).alias("is_cancelled"), F.coalesce("_first_seen", now).alias("first_seen"),
         F.when(hit, now).otherwise(F.col("_last_updated")).alias("last_updated"), F.col("_first_seen").isNull().alias("is_new"))
 
 
