@@ -32,7 +32,8 @@ def masked(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     bits = reduce(lambda a, b: a + b, [F.when(c, 1 << LETTERS.index(k)).otherwise(0) for k, c in alone.items()])
     slim = durable(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("part"), bits.alias("bits"),
                                F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)).alias("same")))
-    first = slim.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("same", "first")
+    # stored, so that the join's sides are both plain shuffles and a text with very many copies is split among tasks
+    first = durable(slim.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("same", "first"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good"), F.coalesce(F.max((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("toxic"))
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))

@@ -15,7 +15,7 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?:\G|(?<![0-9])(?<![0-9][\x20-]))[0-9](?:[\x20-]?[0-9]){15,}+",  # shorter runs fail whatever their digits
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Further candidates, by kind: spelled-out addresses, IPv6, cards of 15 digits, national numbers.
