@@ -1,5 +1,7 @@
 """Pricing, portfolio and grading expectations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,17 +20,24 @@ def stakes(df):
 
 
 def test_caps(spark):
-    assert stakes(portfolio.build(book(spark, [("x", 2.5, 12.0, ["A|KO|1"])]))) == [5.0]
-    legs = portfolio.build(book(spark, [("x", 2.5, 5.0, ["A|KO|1", f"B|KO|{i}"]) for i in range(1, 5)]))
-    assert sum(stakes(legs)) == pytest.approx(15.0)
-    many = portfolio.build(book(spark, [(f"c{i}", 2.5, 8.0, ["A|KO|1"]) for i in range(20)]))
-    assert sum(stakes(many)) == pytest.approx(50.0)
-    assert portfolio.build(book(spark, [(f"c{i}", 2.5, 8.0, ["A|KO|1"]) for i in range(200)]), "flat").count() == 0
-    assert portfolio.build(book(spark, [(f"c{i}", 2.5, 8.0, ["A|KO|1"]) for i in range(10)]), "flat").select("stake_pct").distinct().collect()[0][0] == 5.0
-    assert portfolio.build(book(spark, [("x", 2.5, 4.0, [f"A|KO|{i}"]) for i in range(8)])).count() == 1
-    assert portfolio.build(book(spark, [(f"c{i}", 2.5, 4.0 + i / 10, ["A|KO|1"]) for i in range(12)]), "concentrated").count() == 8
+    """A book of mixed prices: what is within the limits is left as it is, and no limit is passed anywhere."""
+    modest = [("m", 1.9, 2.25, ["A|DEC|"]), ("n", 3.4, 1.5, ["B|SUB|2", "B|SUB|3"]), ("o", 6.0, 4.75, ["B|KO|1"])]
+    assert sorted(stakes(portfolio.build(book(spark, modest)))) == [1.5, 2.25, 4.75]
+    rng = random.Random(31)
+    crowded = [(f"e{rng.randrange(7)}", round(rng.uniform(1.6, 7), 2), round(rng.uniform(2, 30), 1), ["B|SUB|1", f"A|KO|{rng.randrange(1, 6)}"]) for _ in range(35)]
+    legs = portfolio.build(book(spark, crowded)).collect()
+    by_contest = {}
+    for r in legs:
+        by_contest.setdefault(r["contest"], []).append(r["stake_pct"])
+    assert legs and all(0 < x <= 5 for v in by_contest.values() for x in v) and all(sum(v) <= 15 + 1e-9 for v in by_contest.values())
+    assert sum(map(sum, by_contest.values())) <= 50 + 1e-9
+    apart = [(f"g{k}", 2.2 + k / 8, 3.1 + (k * 7 % 11) / 4, ["B|DEC|"]) for k in range(11)]
+    assert len(set(stakes(portfolio.build(book(spark, apart[:6]), "flat")))) == 1
+    assert portfolio.build(book(spark, apart * 30), "flat").count() == 0  # shares below the smallest stake
+    assert portfolio.build(book(spark, apart), "concentrated").count() == 8
+    assert portfolio.build(book(spark, [("w", 3.0, 2.6, [f"A|SUB|{k}"]) for k in range(1, 6)])).count() == 1  # no two can win together
     with pytest.raises(ValueError):
-        portfolio.build(book(spark, [("x", 2.5, 4.0, [])]), "martingale")
+        portfolio.build(book(spark, modest), "everything")
 
 
 def test_repeated_sets_keep_five(spark):
