@@ -94,13 +94,33 @@ def by_sorted_pieces(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     return near.join(a, "_l").join(b, "_r").select("l", "r").distinct()
 
 
+def by_windows(short: DataFrame, long: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (l, r) in which l can reach ``threshold`` against a window of r, r being no shorter than l.
+
+    Windows are the substrings of r as long as l, and shorter ones at its two ends, as the partial score takes them.
+    Each distinct window is one text, however many names hold it, and meets l by its pieces.
+    """
+    t = threshold / 100.0
+    ends = t / (2.0 - t)                # least length of a cut window, as a share of l
+    l = short.select("l").distinct().filter("l <> ''")
+    sizes = l.select(F.length("l").alias("_n")).distinct()          # one row per length of a name
+    r = long.select("r").distinct().withColumn("_m", F.length("r")).filter("_m > 0")
+    r = r.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_m")))).join(F.broadcast(sizes), "_n")
+    least = F.ceil(F.col("_n") * ends - 1e-9).cast("int")
+    starts = F.sequence(least - F.col("_n"), F.col("_m") - least)   # windows may begin before r and end behind it
+    w = r.select("r", "_n", F.explode(F.transform(starts, lambda s: F.substr(
+        F.col("r"), F.greatest(s, F.lit(0)) + 1, F.least(s + F.col("_n"), F.col("_m")) - F.greatest(s, F.lit(0))))).alias("w")).distinct()
+    near = by_pieces(l, w.select(F.col("w").alias("r")), threshold).withColumnRenamed("r", "w")
+    near = near.withColumn("_n", F.length("l")).filter(similarity.ratio("l", "w") >= threshold)
+    return near.join(w, ["w", "_n"]).select("l", "r").distinct()
+
+
 def by_last_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (l, r) in which the last token of l can reach ``threshold`` against some token of r."""
+    """Distinct pairs (l, r) in which the last token of l can reach ``threshold`` against a window of r, or r against one of it."""
     a = left.select("l", F.element_at(F.split("l", " "), -1).alias("_l")).distinct()
-    b = right.select("r", F.explode(F.split("r", " ")).alias("_r")).distinct()
-    near = by_pieces(a.select(F.col("_l").alias("l")), b.select(F.col("_r").alias("r")), threshold).withColumnsRenamed({"l": "_l", "r": "_r"})
-    near = near.filter(similarity.ratio("_l", "_r") >= threshold)
-    return near.join(a, "_l").join(b, "_r").select("l", "r").distinct()
+    inside = by_windows(a.select(F.col("_l").alias("l")), right, threshold).withColumnRenamed("l", "_l")
+    around = by_windows(right.select(F.col("r").alias("l")), a.select(F.col("_l").alias("r")), threshold).select(F.col("r").alias("_l"), F.col("l").alias("r"))
+    return inside.unionByName(around).join(a, "_l").select("l", "r").distinct()
 
 
 def flipped(pairs: DataFrame) -> DataFrame:
@@ -113,8 +133,8 @@ def name_pairs(left: DataFrame, right: DataFrame, threshold: float, scorer: str)
     ``ratio`` and ``sort`` (token-sort) compare whole names; ``set`` is the best of token-set and of either
     last token against the other name, ``set_left`` leaves out the last token of the right name.  Blocks:
     pieces for whole names; for token sets, names without a common token score by their sorted tokens, so
-    common tokens and pieces of sorted tokens are complete.  A last token is looked for among whole tokens only:
-    a pair that reaches the threshold merely by a window across or inside other tokens is not found.
+    common tokens and pieces of sorted tokens are complete; a last token is looked for in all windows of the
+    other name.  No pair is lost.
     """
     if scorer in ("ratio", "sort"):
         near, score = (by_pieces, similarity.ratio("l", "r")) if scorer == "ratio" else (by_sorted_pieces, similarity.token_sort_ratio("l", "r"))
