@@ -110,9 +110,26 @@ def by_windows(short: DataFrame, long: DataFrame, threshold: float) -> DataFrame
     starts = F.sequence(least - F.col("_n"), F.col("_m") - least)   # windows may begin before r and end behind it
     w = r.select("r", "_n", F.explode(F.transform(starts, lambda s: F.substr(
         F.col("r"), F.greatest(s, F.lit(0)) + 1, F.least(s + F.col("_n"), F.col("_m")) - F.greatest(s, F.lit(0))))).alias("w")).distinct()
-    near = by_pieces(l, w.select(F.col("w").alias("r")), threshold).withColumnRenamed("r", "w")
-    near = near.withColumn("_n", F.length("l")).filter(similarity.ratio("l", "w") >= threshold)
-    return near.join(w, ["w", "_n"]).select("l", "r").distinct()
+
+    # both lengths are known, so the characters in common, the edits and the shift of a piece have exact bounds
+    def bounds(df):
+        df = df.withColumn("_c", F.ceil((F.col("_n") + F.col("_s")) * (t / 2.0) - 1e-9).cast("int"))
+        return df.withColumns({"_k": F.least(F.col("_n") + F.col("_s") - 2 * F.col("_c"), F.col("_s") - 1), "_d": F.greatest("_n", "_s") - F.col("_c")})
+
+    def cut(i):
+        return F.floor(i * F.col("_s") / (F.col("_k") + 1)).cast("int")
+
+    i = F.col("_i")
+    held = bounds(w.select("w", "_n", F.length("w").alias("_s")).distinct())
+    held = held.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k")))).select("w", "_n", "_s", "_i", F.substr(F.col("w"), cut(i) + 1, cut(i + 1) - cut(i)).alias("text"))
+    asked = l.withColumn("_n", F.length("l"))
+    asked = bounds(asked.withColumn("_s", F.explode(F.sequence(F.ceil(F.col("_n") * ends - 1e-9).cast("int"), F.col("_n")))).filter("_s > 0"))
+    asked = asked.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k")))).withColumns({"_at": cut(i), "_len": cut(i + 1) - cut(i)})
+    first, last = F.greatest(F.lit(0), F.col("_at") - F.col("_d")), F.least(F.col("_at") + F.col("_d"), F.col("_n") - F.col("_len"))
+    asked = asked.withColumns({"_first": first, "_last": last}).filter("_first <= _last").select("l", "_n", "_s", "_i", F.explode(F.transform(
+        F.sequence(F.col("_first"), F.col("_last")), lambda s: F.substr(F.col("l"), s + 1, F.col("_len")))).alias("text"))
+    near = asked.distinct().join(held, ["_n", "_s", "_i", "text"]).select("l", "w", "_n").distinct()
+    return near.filter(similarity.ratio("l", "w") >= threshold).join(w, ["w", "_n"]).select("l", "r").distinct()
 
 
 def by_last_tokens(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
