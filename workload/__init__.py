@@ -8,7 +8,7 @@ from workload.registry import REGISTRY
 
 FAMILIES = [
     "parsing", "windows", "features", "aggregates", "calibration", "market",
-    "pricing", "joins", "upserts", "quality", "modelling", "streams", "archive",
+    "pricing", "joins", "upserts", "quality", "modelling", "streams", "archive", "loading",
 ]
 
 
