@@ -33,8 +33,11 @@ def record(pages: DataFrame) -> DataFrame:
 
 
 def event_date(pages: DataFrame) -> DataFrame:
-    """Start date of the embedded linked-data block."""
-    return pages.select("page_id", F.try_to_date(_one(r'"startDate"\s*:\s*"(\d{4}-\d{2}-\d{2})'), "yyyy-MM-dd").alias("event_date"))
+    """Start date of the embedded linked-data block, else the first date written out in a title, heading or meta text."""
+    linked = F.try_to_date(_one(r'"startDate"\s*:\s*"(\d{4}-\d{2}-\d{2})'), "yyyy-MM-dd")
+    texts = F.regexp_extract_all("html", F.lit(r'(?is)<(?:title|h1|h2)\b[^>]*>.*?</(?:title|h1|h2)>|<meta\b[^>]*>'), 0)
+    written = F.transform(texts, lambda x: F.try_to_date(F.regexp_replace(F.regexp_extract(x, r"\b[A-Z][a-z]+\s+\d{1,2},\s+\d{4}\b", 0), r"\s+", " "), "MMMM d, yyyy"))
+    return pages.select("page_id", F.coalesce(linked, F.get(F.filter(written, lambda d: d.isNotNull()), F.lit(0))).alias("event_date"))
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
@@ -53,6 +56,35 @@ def price_cells(pages: DataFrame) -> DataFrame:
             .select("page_id", "pos", "x.*"))
 
 
+def side_rows(pages: DataFrame) -> DataFrame:
+    """Rows of a page's second table body that name an entity: its id, its matchup and side, the median price and number of books.
+
+    Rows with a class hold other markets.  A row's first priced cell gives its matchup and side; rows without
+    one, and pages with fewer than two table bodies, give nothing.
+    """
+    body = F.regexp_extract("html", r"(?is)<tbody\b[^>]*>.*?</tbody>.*?<tbody\b[^>]*>(.*?)</tbody>", 1)
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(body, F.lit(r"(?is)<tr(?![^>]*\bclass=)[^>]*>(.*?)</tr>"), 1)).alias("pos", "tr"))
+    cell = (r'(?is)<td(?=[^>]*\bclass="[^"]*\bbut-sg\b)[^>]*\bdata-li="\[(\d+),\s*(\d+),\s*(\d+)\]"[^>]*>'
+            r'(?:(?!</td>|<span[^>]*\bid="oID).)*<span[^>]*\bid="oID[^>]*>\s*([+\-−]?\d+)\s*</span>')
+    part = {n: F.regexp_extract_all("tr", F.lit(cell), i) for i, n in ((2, "side"), (3, "matchup"), (4, "price"))}
+    link = r'(?is)<a\b[^>]*href="(/fighters/[^"]*)"[^>]*>([^<]*)</a>'
+    rows = rows.select("page_id", "pos", F.regexp_extract("tr", link, 1).alias("href"), F.trim(F.regexp_extract("tr", link, 2)).alias("name"),
+                       *[F.get(part[n], F.lit(0)).cast("bigint").alias(n) for n in ("side", "matchup")],
+                       F.array_sort(F.transform(part["price"], lambda x: F.translate(x, "−", "-").cast("int"))).alias("prices"))
+    n = F.size("prices")
+    middle = (F.get("prices", F.floor((n - 1) / 2).cast("int")) + F.get("prices", F.floor(n / 2).cast("int"))) / 2.0
+    return rows.filter("href <> '' AND matchup IS NOT NULL").select(
+        "page_id", "pos", "matchup", "side", "name", F.nullif(F.regexp_extract("href", r"-(\d+)/?$", 1), F.lit("")).alias("source_id"), middle.alias("price"), n.alias("n_books"))
+
+
+def matchups(pages: DataFrame) -> DataFrame:
+    """Both sides of every matchup that has exactly two rows on its page, the lower side number first."""
+    rows = side_rows(pages)
+    fields, place = F.struct("name", "source_id", "price", "n_books"), F.struct("side", "pos")
+    both = rows.groupBy("page_id", "matchup").agg(F.count("*").alias("n"), F.min_by(fields, place).alias("a"), F.max_by(fields, place).alias("b")).filter("n = 2")
+    return both.select("page_id", "matchup", *[F.col(f"{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "a"), (2, "b")) for c in ("name", "source_id", "price", "n_books")])
+
+
 def pairs(rows: DataFrame, group: str) -> DataFrame:
     """Groups of a page that hold exactly two entries; anything else is not a matchup."""
     return (rows.groupBy("page_id", group).agg(F.count("*").alias("n"), F.min("target").alias("first_target"),

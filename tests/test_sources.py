@@ -52,6 +52,21 @@ def test_pages(spark):
     assert [(x["book"], x["side"], x["matchup"], x["price"]) for x in pages.price_cells(df).collect()] == [("5", "1", "77", "+150"), ("5", "2", "77", "-200")]
 
 
+def test_matchups(spark):
+    def row(side, matchup, *prices, who="a-b-7", more=""):
+        cells = "".join(f'<td class="but-sg" data-li="[{k},{side},{matchup}]"><span>9</span><span id="oID{k}">{p}</span></td>' for k, p in enumerate(prices))
+        return f'<tr{more}><a href="/fighters/{who}"> N{side} </a>{cells}</tr>'
+
+    first = "<tbody>" + row(1, 9, "+500") + row(2, 9, "+500") + "</tbody>"
+    body = (row(2, 1, "-200", "\u2212220") + row(1, 1, "+150", "+170", "+900", who="c-8/") + row(1, 2, "+100") + row(1, 3) + row(2, 3, "+100")
+            + row(1, 1, "+1", more=' class="pr"') + "".join(row(s, 4, "+110") for s in (1, 2, 2)) + row(1, 5, "even") + row(2, 5, "+120") + '<tr><td class="but-sg" data-li="[1,1,6]"></td></tr>')
+    head = "<h1>Night</h1><h2>On July\n 4, 2020, in Reno</h2>"
+    df = spark.createDataFrame([(1, f"{head}{first}<tbody>{body}</tbody>"), (2, first), (3, ""), (4, None), (5, f"<meta content='March 1, 2021'>{first}<tbody></tbody>")], "page_id int, html string")
+    assert [tuple(r) for r in pages.matchups(df).collect()] == [(1, 1, "N1", "8", 170.0, 3, "N2", "7", -210.0, 2)]
+    assert {r["page_id"]: r["event_date"] for r in pages.event_date(df).collect()} == {1: dt.date(2020, 7, 4), 2: None, 3: None, 4: None, 5: dt.date(2021, 3, 1)}
+    assert pages.matchups(df.limit(0)).count() == 0
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, stamp int")
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, stamp int")
