@@ -14,15 +14,14 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 @dataclass(frozen=True)
 class Settings:
-    """A path has ``depth`` levels at most; what lies deeper is one wildcard.  A branch stays apart if it holds
-    ``support`` labelled pages and its share of good ones is ``z`` standard errors from the median share of the
-    node's branches (weighted by labelled pages).
-    A template is rejected if its smoothed purity is below ``purity``; ``prior`` pages of the parent's share
-    are added to it."""
+    """Branches of a node with ``support`` labelled pages are put in order of their share of good ones, in bins
+    of ``step``, and neighbours are merged while a test of two proportions does not tell them apart by ``z``
+    standard errors.  A template is rejected if its smoothed purity is below ``purity``; ``prior`` pages of the
+    host's share are added to it."""
 
-    depth: int = 8
     support: int = 20
     z: float = 3.0
+    step: float = 0.005
     prior: float = 10.0
     purity: float = 0.5
 
@@ -52,38 +51,68 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def segments(path: Column, depth: int) -> Column:
+def segments(path: Column) -> Column:
     """Segments with their variable parts as wildcards: numbers {n}, long hexadecimal runs {x}."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    plain = F.transform(F.slice(parts, 1, depth), lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{8}[0-9a-fA-F-]*", "{x}"), "[0-9]+", "{n}"))
-    return F.when(F.size(parts) > depth, F.concat(plain, F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, "[0-9a-fA-F]{8}[0-9a-fA-F-]*", "{x}"), "[0-9]+", "{n}"))
+
+
+def _tell_apart(a: Column, b: Column, z: float) -> Column:
+    """Whether the good shares of two merged branches differ by more than ``z`` standard errors of their common share."""
+    together = F.least(F.greatest((a["good"] + b["good"]) / (a["seen"] + b["seen"]), F.lit(0.02)), F.lit(0.98))
+    error = F.sqrt(together * (1 - together) * (1 / a["seen"] + 1 / b["seen"]))
+    return F.abs(a["good"] / a["seen"] - b["good"] / b["seen"]) > z * error
+
+
+def merged(bins: Column, z: float) -> Column:
+    """Bins of branches in order of their shares, as groups of neighbours that no test tells apart."""
+    kind = "array<struct<top:int,seen:bigint,good:bigint,first:string,members:bigint>>"
+
+    def take(groups, new):
+        last = F.try_element_at(groups, F.lit(-1))
+        apart = last.isNull() | _tell_apart(last, new, z)
+        joined = F.struct(new["top"].alias("top"), (last["seen"] + new["seen"]).alias("seen"), (last["good"] + new["good"]).alias("good"),
+                          F.least(last["first"], new["first"]).alias("first"), (last["members"] + new["members"]).alias("members"))
+        before = F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0)))
+        return F.when(apart, F.concat(groups, F.array(new))).otherwise(F.concat(before, F.array(joined))).cast(kind)
+
+    return F.aggregate(bins.cast(kind), F.array().cast(kind), take)
 
 
 def grow(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """host, shape, template, purity: the template of each distinct path shape of each host.
 
     ``pages`` has host, path and label (1 good, 0 bad, null unknown).  Pages are totalled by host and shape
-    before anything else, so a host with a third of all pages is as many rows as it has shapes.  Then
-    level by level, from the root, the branches of a node that do not differ from its usual share become
-    one wildcard branch.
+    before anything else, so a host with a third of all pages is as many rows as it has shapes.  Then level
+    by level, from the root, similar branches of a node are merged.  The group with the most labelled pages
+    (ties: the lower share) and all branches of too few labelled pages are the node's wildcard ``*``; another
+    group of several branches is named ``{x|*}`` by its smallest name.  A group's state is one row per bin.
+    Levels end where no node holds enough labelled pages; what lies deeper is wildcards.
     """
-    shapes = pages.select("host", segments(F.col("path"), settings.depth).alias("shape"), "label").groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("label").alias("seen"), F.coalesce(F.sum("label"), F.lit(0)).alias("good"))
+    shapes = pages.select("host", segments(F.col("path")).alias("shape"), "label").groupBy("host", "shape").agg(
+        F.count("label").alias("seen"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("good"))
     state = durable(shapes.withColumn("node", F.lit("")))
-    levels = state.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(levels):
-        child = F.when(F.size("shape") > level, F.get("shape", F.lit(level)))
-        rows = state.withColumn("child", child)
-        deep = rows.filter("child IS NOT NULL")
-        children = durable(deep.groupBy("host", "node", "child").agg(F.sum("seen").alias("seen"), F.sum("good").alias("good")))
-        nodes = children.filter("seen > 0").groupBy("host", "node").agg(F.percentile(F.col("good") / F.col("seen"), 0.5, F.col("seen")).alias("usual"))
-        likely = F.least(F.greatest(F.col("usual"), F.lit(0.02)), F.lit(0.98))
-        differs = (F.col("seen") >= settings.support) & (F.abs(F.col("good") / F.col("seen") - F.col("usual")) > settings.z * F.sqrt(likely * (1 - likely) / F.col("seen")))
-        # only branches that stay apart are listed; all others become the wildcard
-        apart = children.join(nodes, ["host", "node"]).filter(differs).select("host", "node", "child", F.lit(True).alias("apart"))
+    level = 0
+    while True:
+        rows = state.withColumn("child", F.when(F.size("shape") > level, F.get("shape", F.lit(level))))
+        children = durable(rows.filter("child IS NOT NULL").groupBy("host", "node", "child").agg(F.sum("seen").alias("seen"), F.sum("good").alias("good")))
+        largest = children.groupBy("host", "node").agg(F.sum("seen").alias("seen")).agg(F.max("seen")).first()[0]
+        if (largest or 0) < settings.support:
+            break
+        known = children.filter(F.col("seen") >= max(settings.support, 1)).withColumn("top", F.floor(F.col("good") / F.col("seen") / settings.step).cast("int"))
+        bins = known.groupBy("host", "node", "top").agg(F.sum("seen").alias("seen"), F.sum("good").alias("good"), F.min("child").alias("first"), F.count("*").alias("members"))
+        listed = F.array_sort(F.collect_list(F.struct("top", "seen", "good", "first", "members")))
+        nodes = bins.groupBy("host", "node").agg(merged(listed, settings.z).alias("groups"))
+        usual = F.array_max(F.transform("groups", lambda g: F.struct(g["seen"], -g["top"]))).getItem("col2")
+        nodes = nodes.select("host", "node", "groups", (-usual).alias("usual"))
+        # only branches outside the wildcard are listed
+        own = F.get(F.filter("groups", lambda g: g["top"] >= F.col("top")), F.lit(0))
+        apart = known.select("host", "node", "child", "top").join(nodes, ["host", "node"]).withColumn("own", own).filter("own.top <> usual").select(
+            "host", "node", "child", F.when(F.col("own.members") > 1, F.concat(F.lit("{"), "own.first", F.lit("|*}"))).otherwise(F.col("child")).alias("name"))
         state = durable(rows.join(apart, ["host", "node", "child"], "left").withColumn(
-            "node", F.when(F.col("child").isNull(), F.col("node")).when(F.col("apart"), F.concat("node", F.lit("/"), "child")).otherwise(F.concat("node", F.lit("/*"))))
-            .drop("child", "apart"))
+            "node", F.when(F.col("child").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.coalesce("name", F.lit("*"))))).drop("child", "name"))
+        level += 1
+    state = state.withColumn("node", F.concat("node", F.repeat(F.lit("/*"), F.greatest(F.size("shape") - level, F.lit(0)))))
     total = state.agg(F.sum("seen").alias("seen"), F.sum("good").alias("good")).first()
     overall = ((total["good"] or 0) + 1) / ((total["seen"] or 0) + 2)
     by_host = state.groupBy("host").agg(((F.sum("good") + settings.prior * overall) / (F.sum("seen") + settings.prior)).alias("host_share"))
@@ -107,7 +136,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, settin
         worst = labels.filter("page_id IS NOT NULL AND label IS NOT NULL").groupBy("page_id").agg(F.min("label").alias("label"))
         known = parsed.join(worst, "page_id", "left")
     tree = grow(known, settings)
-    shaped = parsed.withColumns({"shape": segments(F.col("path"), settings.depth), "by_rule": rule_of(F.col("host"), F.col("path"), rules)})
+    shaped = parsed.withColumns({"shape": segments(F.col("path")), "by_rule": rule_of(F.col("host"), F.col("path"), rules)})
     return shaped.join(tree, ["host", "shape"]).select(
         "page_id", "host", "path", F.col("by_rule.rule").alias("rule"),
         F.coalesce("by_rule.verdict", F.when(F.col("purity") < settings.purity, "block").otherwise("allow")).alias("verdict"), "template", "purity")

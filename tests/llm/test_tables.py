@@ -121,6 +121,22 @@ def test_poor_templates_are_rejected(spark):
     assert all(got[k]["verdict"] == "allow" for k in range(400, 440))
 
 
+def test_similar_branches_meet(spark):
+    pages, labels = [], []
+    share = {"a": 9, "b": 9, "c": 9, "spam": 1, "junk": 1, "mid": 5, "rare": 0}
+    for k in range(2_100):
+        kind = list(share)[k % 7]
+        pages.append((k, f"http://h.example/{kind}" + f"/deep{k}" * 12))
+        if kind != "rare" or k < 70:
+            labels.append((k, int(k // 7 % 10 < share[kind])))
+    rows = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(rows, spark.createDataFrame(labels, "page_id long, label int")).collect()}
+    tops = {kind: {r["template"].split("/")[1] for k, r in got.items() if k % 7 == i} for i, kind in enumerate(share)}
+    assert tops == {"a": {"*"}, "b": {"*"}, "c": {"*"}, "spam": {"{junk|*}"}, "junk": {"{junk|*}"}, "mid": {"mid"}, "rare": {"*"}}
+    assert all((r["verdict"] == "block") == (k % 7 in (3, 4)) for k, r in got.items() if k % 7 != 5)
+    assert all(len(r["template"].split("/")) == 14 for r in got.values())
+
+
 def test_tree_matches_a_plain_walk(spark):
     pages = table(spark, SF, "pages").select("page_id", "url")
     marks = urls.document_labels(pages, table(spark, SF, "labels"))
@@ -136,20 +152,30 @@ def test_tree_matches_a_plain_walk(spark):
     def seen(some):
         return [x[4] for x in some if x[4] is not None]
 
+    def differ(a, b, z):
+        p = min(max((sum(a) + sum(b)) / (len(a) + len(b)), 0.02), 0.98)
+        return abs(sum(a) / len(a) - sum(b) / len(b)) > z * math.sqrt(p * (1 - p) * (1 / len(a) + 1 / len(b)))
+
     for level in range(max(len(x[2]) for x in rows)):
         moves = []
-        for x in rows:
-            if len(x[2]) <= level:
-                continue
-            node = [y for y in rows if y[1] == x[1] and y[3] == x[3] and len(y[2]) > level]
-            mine = seen([y for y in node if y[2][level] == x[2][level]])
-            shares = sorted(v for name in {y[2][level] for y in node} for s in [seen([y for y in node if y[2][level] == name])] for v in [sum(s) / max(len(s), 1)] * len(s))
-            apart = False
-            if len(mine) >= 2:
-                usual = (shares[(len(shares) - 1) // 2] + shares[len(shares) // 2]) / 2
-                likely = min(max(usual, 0.02), 0.98)
-                apart = abs(sum(mine) / len(mine) - usual) > 0.5 * math.sqrt(likely * (1 - likely) / len(mine))
-            moves.append((x, x[3] + "/" + (x[2][level] if apart else "*")))
+        for host, node in {(x[1], x[3]) for x in rows if len(x[2]) > level}:
+            here = [x for x in rows if (x[1], x[3]) == (host, node) and len(x[2]) > level]
+            bins = {}
+            for name in {x[2][level] for x in here}:
+                own = seen([x for x in here if x[2][level] == name])
+                if len(own) >= 2:
+                    bins.setdefault(math.floor(sum(own) / len(own) / 0.005), []).append((name, own))
+            groups = []
+            for top in sorted(bins):
+                names, votes = {n for n, _ in bins[top]}, [v for _, own in bins[top] for v in own]
+                if groups and not differ(groups[-1][1], votes, 0.5):
+                    groups[-1] = (groups[-1][0] | names, groups[-1][1] + votes)
+                else:
+                    groups.append((names, votes))
+            usual = max(groups, key=lambda g: len(g[1]), default=None)
+            for x in here:
+                group = next((g for g in groups if x[2][level] in g[0]), usual)
+                moves.append((x, node + "/" + ("*" if group is usual else x[2][level] if len(group[0]) == 1 else "{" + min(group[0]) + "|*}")))
         for x, node in moves:
             x[3] = node
     overall = (sum(seen(rows)) + 1) / (len(seen(rows)) + 2)
