@@ -17,7 +17,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BITS, ORDERS = 10, (2, 3)
 #: Bounds of the samples that the weights are fitted on.
 POSITIVES, UNLABELLED = 3_000, 6_000
-STEPS, RATE, DECAY, PRIOR_ITERATIONS = 400, 0.03, 1e-4, 200
+STEPS, RATE, DECAY = 400, 0.03, 1e-4
+#: Bins of the scores that the class prior is estimated from, with the slack and the doubt of the best bin.
+BINS, SLACK, DOUBT = 1_000, 0.01, 0.1
 N_STATISTICS = 12
 
 
@@ -73,6 +75,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -35, 35))))
 
 
+def half(doc_id: str, text: str) -> Column:
+    """Half of a document, for scores by a model that has not seen it."""
+    return F.pmod(F.xxhash64(F.lit(3), F.col(doc_id), F.col(text)), F.lit(2))
+
+
 def sample(rows: DataFrame, most: int, salt: int) -> DataFrame:
     """At most ``most`` rows by hash of the text, thinned by the hash before they are ranked."""
     n = rows.count()
@@ -81,14 +88,56 @@ def sample(rows: DataFrame, most: int, salt: int) -> DataFrame:
     return drawn.orderBy("draw", "doc_id").limit(most)
 
 
-def matrix(rows: DataFrame) -> np.ndarray:
-    """Packed features of a bounded sample."""
+def matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Packed features of a bounded sample, and the half of each row."""
     def make(batch):
         return [pa.array([features(t).astype("<f4").tobytes() for t in batch.column(0).to_pylist()], pa.binary())]
 
-    got = common.append(rows, ["text"], "packed binary", make, ["draw"]).collect()
+    got = common.append(rows.withColumn("half", half("doc_id", "text")), ["text"], "packed binary", make, ["draw", "half"]).collect()
     got.sort(key=lambda r: (r["draw"], bytes(r["packed"])))
-    return np.array([np.frombuffer(r["packed"], "<f4") for r in got], np.float64).reshape(len(got), N_STATISTICS + (1 << BITS))
+    return np.array([np.frombuffer(r["packed"], "<f4") for r in got], np.float64).reshape(len(got), N_STATISTICS + (1 << BITS)), np.array([r["half"] for r in got], np.int64)
+
+
+def best_bin(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from counts of both by ascending score bin.
+
+    Above a threshold that few negatives pass, the tail of the unlabelled is the prior times the tail of the
+    positives.  The threshold is the one with the least upper bound of that quotient.  Without rows: a half.
+    """
+    n_p, n_u = positives.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.5
+    tail_p, tail_u = positives[::-1].cumsum() / n_p, unlabelled[::-1].cumsum() / n_u
+    some = tail_p > 0
+    noise = np.sqrt(np.log(4 / DOUBT) / (2 * n_u)) + np.sqrt(np.log(4 / DOUBT) / (2 * n_p))
+    quotient = tail_u[some] / tail_p[some]
+    found = quotient[np.argmin(quotient + (1 + SLACK) * noise / tail_p[some])]
+    return float(np.clip(found, 1 / (n_u + 2), 1 - 1 / (n_u + 2)))
+
+
+def estimated_prior(trusted: DataFrame, base: DataFrame, pos: np.ndarray, unl: np.ndarray, half_p: np.ndarray, half_u: np.ndarray) -> float:
+    """Class prior of all rows of ``base``; ``trusted`` has the distinct ids of its positives.
+
+    Two models tell positives from unlabelled rows, each fitted on one half of the samples; every row of
+    ``base`` is scored by the model of the other half and only counts by score bin reach the driver.
+    """
+    parts = [(pos[half_p == k], unl[half_u == k]) for k in (0, 1)]
+    if any(not len(p) or not len(u) for p, u in parts):
+        return 0.5
+    models = base.sparkSession.sparkContext.broadcast([train(p, u, 0.5, separate) for p, u in parts])
+
+    def make(batch):
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        return [pa.array([min(int(models.value[1 - h].score(t) * BINS), BINS - 1) for t, h in rows], pa.int32())]
+
+    # ids and bins are joined, so that no text is shuffled
+    scored = common.append(base.withColumn("half", half("doc_id", "text")), ["text", "half"], "bin int", make, ["doc_id"])
+    known = scored.join(trusted.select("doc_id", F.lit(1).alias("positive")), "doc_id", "left")
+    counts = known.groupBy("bin").agg(F.count("*").alias("unlabelled"), F.count("positive").alias("positives")).collect()
+    by_bin = np.zeros((2, BINS))
+    for r in counts:
+        by_bin[:, r["bin"]] = r["positives"], r["unlabelled"]
+    return best_bin(*by_bin)
 
 
 def risk_gradient(w, b, pos, unl, prior):
@@ -107,14 +156,20 @@ def risk_gradient(w, b, pos, unl, prior):
     return prior * (pos.T @ dq) + dn_w, prior * dq.sum() + dn_b
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float) -> Model:
+def separate(w, b, pos, unl, prior):
+    """Gradient of the logistic loss of telling positives from unlabelled rows, both of weight one half."""
+    dp, du = -1 / (1 + np.exp(np.clip(pos @ w + b, -35, 35))) / len(pos), 1 / (1 + np.exp(-np.clip(unl @ w + b, -35, 35))) / len(unl)
+    return (pos.T @ dp + unl.T @ du) / 2, (dp.sum() + du.sum()) / 2
+
+
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, gradient=risk_gradient) -> Model:
     mean, scale = unl.mean(axis=0), 1 / (unl.std(axis=0) + 1e-3)
     p, u = (pos - mean) * scale, (unl - mean) * scale
     p, u = np.clip(p, -8, 8), np.clip(u, -8, 8)
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        gw, gb = risk_gradient(w, b, p, u, prior)
+        gw, gb = gradient(w, b, p, u, prior)
         gw = gw + DECAY * w
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -127,17 +182,18 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Trusted positives are labelled 1 and learnable; the unlabelled are learnable documents as they come.
 
-    The class prior is the smoothed share of ones among all learnable labels.  A document with several labels
-    counts as their smallest.  Without any positive or any document there is no model.
+    The class prior is estimated from the scores of both; labels other than 1 are not used.  A document with
+    several labels counts as their smallest.  Without any positive or any document there is no model; where a
+    half of the documents has none, the prior is a half.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(learn)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(learn)
-    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = marks.agg(F.sum("quality").alias("ones"), F.count("*").alias("n")).first()
-    prior = ((share["ones"] or 0) + 1) / (share["n"] + 2)
-    trusted = base.join(marks.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    pos, unl = matrix(sample(trusted, positives, 1)), matrix(sample(base, unlabelled, 2))
-    return train(pos, unl, prior) if len(pos) and len(unl) else None
+    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    trusted = base.join(marks, "doc_id", "left_semi")
+    (pos, half_p), (unl, half_u) = matrix(sample(trusted, positives, 1)), matrix(sample(base, unlabelled, 2))
+    if not len(pos) or not len(unl):
+        return None
+    return train(pos, unl, estimated_prior(marks, base, pos, unl, half_p, half_u))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:

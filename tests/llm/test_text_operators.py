@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -308,6 +309,42 @@ def test_quality_of_held_out_documents(spark):
     assert all(r["predicted"] == (1 if r["score"] >= 0.7 else 0) for r in got)
 
 
+def test_class_prior_of_a_known_mixture():
+    rng = np.random.default_rng(5)
+    for prior in (0.1, 0.5, 0.9):
+        ones = np.histogram(rng.beta(5, 2, 20_000), 200, (0, 1))[0]
+        mixed = np.histogram(np.where(rng.random(20_000) < prior, rng.beta(5, 2, 20_000), rng.beta(2, 8, 20_000)), 200, (0, 1))[0]
+        assert abs(quality.best_bin(ones, mixed) - prior) < 0.04
+    assert quality.best_bin(ones, ones) > 0.99 and quality.best_bin(ones * 0, ones) == 0.5
+
+
+def test_class_prior_against_every_threshold():
+    rng = np.random.default_rng(6)
+    ones, mixed = rng.integers(0, 9, 40), rng.integers(0, 30, 40)
+    ones[-3:] = 0
+    doubt = math.sqrt(math.log(40) / 2 / ones.sum()) + math.sqrt(math.log(40) / 2 / mixed.sum())
+    tails = [(sum(mixed[k:]) / mixed.sum(), sum(ones[k:]) / ones.sum()) for k in range(37)]
+    u, p = min(tails, key=lambda t: t[0] / t[1] + 1.01 * doubt / t[1])
+    assert quality.best_bin(ones, mixed) == pytest.approx(min(max(u / p, 1 / (mixed.sum() + 2)), 1 - 1 / (mixed.sum() + 2)))
+
+
+def test_class_prior_without_negatives(spark):
+    """The estimate sees no label but 1, and comes near the share of ones among all labels."""
+    sf = "/root/testdata/sf0.01"
+    given, marks, found = table(spark, sf, "documents"), table(spark, sf, "labels"), []
+    original = quality.estimated_prior
+
+    def note(*args):
+        found.append(original(*args))
+        return found[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "estimated_prior", note)
+        quality.fit(given, marks.filter("quality = 1"), F.lit(True))
+    share = marks.agg(F.avg("quality")).first()[0]
+    assert abs(found[0] - share) < 0.1
+
+
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (2, 0, 0), (4, 1, 0), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, labels).collect()
