@@ -23,8 +23,8 @@ TREES, LEVELS, FITTED = 4, 6, 16_384
 #: Rows that the leaves opened for a query hold together over all trees (a row counts once per tree), as a share
 #: of all rows.  Vectors without clusters need this much for a recall of 0.9; clustered ones far less.
 OPENED = 1.0
-#: Rows of a leaf that one task scores at a time.
-BLOCK = 4_096
+#: Rows of a leaf that one task scores at a time, and queries that it scores them for.
+BLOCK, ASKED = 4_096, 16_384
 
 
 @dataclass
@@ -113,7 +113,8 @@ def nearest(table: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", emb
     ``is_query`` is a condition on ``vec_id``.  Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows without id; shorter vectors are filled up with zeros; repeated ids
     count once, with their best score.  The splits are fitted on a bounded sample, every row is indexed.
-    Leaves are cut into blocks, so a leaf with a third of all rows is scored by many tasks.
+    Leaves are cut into blocks and queries into chunks, so a leaf with a third of all rows, or one that all
+    queries open, is scored by many tasks.
     """
     rows, width, n = vectors.padded(vectors.usable(table, vec_id, embedding, zero=False))
     spark = table.sparkSession
@@ -150,14 +151,16 @@ def nearest(table: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", emb
                         cells.append(f"{t * n_leaves + leaf}:{block}")
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), batch.column(1).take(pa.array(ids, pa.int64())), pa.array(cells, pa.string())], ["query_id", "q", "cell"])
 
-    probes = placed.filter(is_query).select("vec_id", "v").mapInArrow(visit, "query_id long, q array<double>, cell string")
+    asked = placed.filter(is_query).select("vec_id", "v")
+    chunks = max(1, math.ceil(asked.count() / ASKED))
+    probes = asked.mapInArrow(visit, "query_id long, q array<double>, cell string").withColumn("chunk", vectors.chunk(chunks, "query_id", "q"))
     counts = F.array(*[F.lit(int(b)) for b in blocks.ravel()]) if blocks.max() > 1 else None
     leaf_rows = placed.select("vec_id", "v", F.explode("leaves").alias("leaf"))
     block = F.pmod(F.xxhash64("vec_id"), F.element_at(counts, F.col("leaf").cast("int") + 1)) if counts is not None else F.lit(0)
-    members = leaf_rows.select("vec_id", "v", F.concat_ws(":", "leaf", block).alias("cell"))
+    members = leaf_rows.select("vec_id", "v", F.concat_ws(":", "leaf", block).alias("cell"), vectors.each(chunks).alias("chunk"))
 
     def score(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return exact_best(vectors.stack(queries["q"], width), queries["query_id"].to_numpy(), vectors.stack(block["v"], width), block["vec_id"].to_numpy(), k)
 
-    found = probes.groupBy("cell").cogroup(members.groupBy("cell")).applyInPandas(score, "query_id long, vec_id long, score double")
+    found = probes.groupBy("cell", "chunk").cogroup(members.groupBy("cell", "chunk")).applyInPandas(score, "query_id long, vec_id long, score double")
     return vectors.best(found, k)

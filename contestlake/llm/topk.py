@@ -15,8 +15,8 @@ from contestlake.llm import vectors
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of a block of the index; queries that read it together; possible members at which reading stops.
-BLOCK, TOGETHER, POSSIBLE = 4_096, 128, 160
+#: Rows of a block of the index; queries that read it together; possible members at which reading stops; queries of a task.
+BLOCK, TOGETHER, POSSIBLE, ASKED = 4_096, 128, 160, 16_384
 SCALE = 64
 
 
@@ -90,17 +90,19 @@ def exact(table: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
 
     Components become floor(64 x).  Vectors that are null or hold null or non-finite components take no part, nor
     do rows without id; shorter vectors are filled up with zeros; zero vectors take part; repeated ids count once,
-    with their best score.  Scores must stay below 2^53.  Rows are dealt by hash into blocks of like size, each
-    indexed in one task; every query reads every block.
+    with their best score.  Scores must stay below 2^53.  Rows are dealt by hash into blocks of like size, and queries
+    into chunks; a task indexes one block for the queries of one chunk, and every chunk reads every block.
     """
     rows, width, n = vectors.padded(vectors.usable(table, vec_id, embedding, zero=True))
     whole = durable(rows.select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("v")))
     blocks = max(1, math.ceil(n / BLOCK))
-    members = whole.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    asked = whole.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    queries = whole.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    chunks = max(1, math.ceil(queries.count() / ASKED))
+    members = whole.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("chunk", vectors.each(chunks))
+    asked = queries.withColumn("chunk", vectors.chunk(chunks, "query_id", "q")).withColumn("block", vectors.each(blocks))
 
     def read(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return search_block(vectors.stack(queries["q"], width), queries["query_id"].to_numpy(), vectors.stack(block["v"], width), block["vec_id"].to_numpy(), k)
 
-    found = asked.groupBy("block").cogroup(members.groupBy("block")).applyInPandas(read, "query_id long, vec_id long, score long")
+    found = asked.groupBy("block", "chunk").cogroup(members.groupBy("block", "chunk")).applyInPandas(read, "query_id long, vec_id long, score long")
     return vectors.best(found, k)

@@ -6,7 +6,7 @@ import sys
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,6 +28,16 @@ def padded(rows: DataFrame) -> tuple[DataFrame, int, int]:
     return rows.withColumn("v", fill), d, n
 
 
+def chunk(chunks: int, *columns: str) -> Column:
+    """A query's chunk, by hash; repeated rows share one."""
+    return F.pmod(F.xxhash64(F.lit(11), *columns), F.lit(chunks)).cast("int")
+
+
+def each(n: int) -> Column:
+    """One row for every number below n."""
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+
+
 def stack(column, width: int) -> np.ndarray:
     """Rows of a pandas or Arrow column of arrays as a matrix of doubles."""
     return np.array(list(column), np.float64).reshape(len(column), width)

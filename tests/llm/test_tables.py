@@ -66,9 +66,18 @@ def test_recall_of_the_forest(spark):
     assert all(s == pytest.approx(exact[i, j], abs=1e-12) for i, l in got.items() for j, s in l if (i, j) in exact)
 
 
-@pytest.mark.parametrize("block", [4_096, 64])
-def test_score_at_a_time_is_exact(spark, monkeypatch, block):
+def test_chunks_of_queries_change_nothing(spark, monkeypatch):
+    rows, asked = table(spark, SF, "embeddings"), F.col("vec_id") % 20 == 0
+    want = listed(ann.nearest(rows, asked))
+    monkeypatch.setattr(ann, "ASKED", 3)
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    assert listed(ann.nearest(rows, asked)) == want
+
+
+@pytest.mark.parametrize("block, asked", [(4_096, 16_384), (64, 16_384), (4_096, 3), (64, 3)])
+def test_score_at_a_time_is_exact(spark, monkeypatch, block, asked):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "ASKED", asked)
     rows = table(spark, SF, "embeddings")
     got = listed(topk.exact(rows, F.col("vec_id") % 20 == 0))
     assert got == brute([(r["vec_id"], [float(x) for x in r["embedding"]]) for r in rows.collect()], 20, 64)
