@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of a block of the index; queries that read it together; possible members at which reading stops; queries of a task.
 BLOCK, TOGETHER, POSSIBLE, ASKED = 4_096, 128, 160, 16_384
+#: Share of all components, as one in so many, from which the segments of an impact are read as a matrix.
+CROWDED = 64
 SCALE = 64
 
 
@@ -24,7 +26,8 @@ class Index:
     """Postings of a block of integer vectors, by component, in segments of descending quantised impact.
 
     The quantised impact of a component is the bit length of its magnitude; a segment (impact, component)
-    lists the rows and exact values.  ``rest`` holds, for each impact, the norm of what is left of each row
+    lists the rows and exact values.  Segments of one impact that hold over one in ``CROWDED`` of all components
+    lie in one matrix, with zeros between them, and are read as one product.  ``rest`` holds, for each impact, the norm of what is left of each row
     once the segments of that and higher impacts have been read.
     """
 
@@ -35,7 +38,10 @@ class Index:
         self.segments, self.rest = {}, {}
         for level in self.impacts:
             here = impact == level
-            self.segments[level] = [(d, at, rows[at, d][:, None]) for d in range(rows.shape[1]) if len(at := np.flatnonzero(here[:, d]))]
+            if here.sum() * CROWDED > here.size:
+                self.segments[level] = np.where(here, rows, 0.0)
+            else:
+                self.segments[level] = [(d, at, rows[at, d][:, None]) for d in range(rows.shape[1]) if len(at := np.flatnonzero(here[:, d]))]
             left = np.where(impact < level, rows, 0.0)
             self.rest[level] = np.sqrt((left * left).sum(axis=1))
 
@@ -52,8 +58,11 @@ class Index:
         active = np.arange(len(queries))
         weights = queries.T.copy()
         for level in self.impacts:
-            for d, at, value in self.segments[level]:
-                read[at] += value * weights[d]
+            if isinstance(self.segments[level], np.ndarray):
+                read += self.segments[level] @ weights
+            else:
+                for d, at, value in self.segments[level]:
+                    read[at] += value * weights[d]
             done = level == self.impacts[-1]
             slack = self.rest[level][:, None] * norm[active] * (1 + 1e-12) + (0 if done else 1e-6)
             if not done and np.median(slack) * 4 > np.median(norm) * SCALE:
