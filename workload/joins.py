@@ -114,24 +114,57 @@ FROM ({NAMED}) AS n JOIN entity r ON r.entity_id = n.red_id JOIN entity b ON b.e
 # Approximate matching: names with a dropped, doubled or swapped part.
 from contestlake.operators import fuzzy  # noqa: E402
 from contestlake.functions import similarity  # noqa: E402
+from workload import similar_sql as like  # noqa: E402
 
 NOISY = """SELECT c_custkey AS stub_id, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, 'stomer', 'somer') WHEN 2 THEN concat(c_name, 'x') WHEN 3 THEN upper(replace(c_name, '#', ' ')) ELSE concat('zz ', substr(c_name, 12)) END AS name,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE DATE '1970-01-01' + CAST(c_custkey % 900 AS INT) END AS dob FROM customer"""
 PEOPLE = "SELECT c_custkey AS entity_id, c_name AS full_name, DATE '1970-01-01' + CAST(c_custkey % 900 AS INT) AS dob, c_mktsegment AS pool FROM customer"
-query("stub_matches", "stub_id entity_id score:d")(lambda t: fuzzy.match_stubs(t.sql(NOISY), t.sql(PEOPLE))[0])
-query("resolved_names", "row_id entity_id stage score:d")(lambda t: fuzzy.resolve_names(
-    t.sql(f"SELECT n.stub_id AS row_id, n.name, c_mktsegment AS pool FROM ({NOISY}) AS n JOIN customer ON c_custkey = stub_id"), t.sql(PEOPLE)))
+query("stub_matches", "stub_id entity_id score:d", f"""
+WITH s AS (SELECT stub_id, dob AS s_dob, lower(name) AS low, {like.in_order(like.key('name'))} AS l FROM ({NOISY}) AS n), e AS (SELECT *, {like.in_order(like.key('full_name'))} AS r FROM ({PEOPLE}) AS p),
+rest AS (SELECT DISTINCT r FROM e WHERE r NOT IN (SELECT l FROM s)), near AS (SELECT DISTINCT l AS a, r AS b FROM s, rest WHERE 200.0E0 * least(length(l), length(r)) / (length(l) + length(r)) >= 90),
+found AS (SELECT a AS l, b AS r, score FROM ({like.base('near')}) AS x WHERE score >= 90 UNION ALL SELECT DISTINCT r, r, 100.0E0 FROM e WHERE r IN (SELECT l FROM s)),
+top AS (SELECT r, low, score FROM (SELECT r, low, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, low) AS k FROM found JOIN (SELECT DISTINCT l, low FROM s) AS d USING (l)) AS q WHERE k = 1)
+SELECT min(stub_id) AS stub_id, entity_id, max(score) AS score FROM e JOIN top USING (r) JOIN s USING (low) WHERE dob IS NULL OR abs(date_diff('day', dob, s_dob)) <= 1 GROUP BY entity_id HAVING count(*) = 1
+""")(lambda t: fuzzy.match_stubs(t.sql(NOISY), t.sql(PEOPLE))[0])
+ASKED = f"SELECT n.stub_id AS row_id, n.name, c_mktsegment AS pool FROM ({NOISY}) AS n JOIN customer ON c_custkey = stub_id"
+query("resolved_names", "row_id entity_id stage score:d", f"""
+WITH e AS (SELECT entity_id, pool, lower(full_name) AS low, {like.key('full_name')} AS k FROM ({PEOPLE}) AS p), r AS (SELECT row_id, pool, lower(name) AS low, {like.key('name')} AS k FROM ({ASKED}) AS q),
+exact AS (SELECT row_id, pool, k, (SELECT min(entity_id) FROM e WHERE e.low = r.low) AS one, (SELECT min(entity_id) FROM e WHERE e.k = r.k) AS two FROM r),
+pairs AS (SELECT DISTINCT exact.k AS x, e.k AS y FROM exact JOIN e USING (pool) WHERE one IS NULL AND two IS NULL), {like.scores('pairs', ('token_set',))},
+best AS (SELECT row_id, entity_id, token_set, row_number() OVER (PARTITION BY row_id ORDER BY token_set DESC, entity_id) AS n FROM exact JOIN e USING (pool) JOIN scored ON x = exact.k AND y = e.k
+  WHERE one IS NULL AND two IS NULL AND token_set >= 88)
+SELECT row_id, coalesce(one, two) AS entity_id, CASE WHEN one IS NOT NULL THEN 1 ELSE 2 END AS stage, 100.0E0 AS score FROM exact WHERE coalesce(one, two) IS NOT NULL
+UNION ALL SELECT row_id, entity_id, 3, token_set FROM best WHERE n = 1
+""")(lambda t: fuzzy.resolve_names(t.sql(ASKED), t.sql(PEOPLE)))
 LEFT = "SELECT contest_id AS left_id, dt, red_name AS a_name, blue_name AS b_name FROM ({n}) AS x"
 RIGHT = "SELECT contest_id AS right_id, CAST(dt AS DATE) + 1 AS dt, CASE WHEN contest_id % 2 = 0 THEN replace(red_name, 'Supp', 'Sup') ELSE blue_name END AS x_name, CASE WHEN contest_id % 2 = 0 THEN blue_name ELSE replace(red_name, 'Supp', 'Sup') END AS y_name FROM ({n}) AS x"
 SPACED = f"SELECT contest_id, dt, winner_id, replace(red_name, '#', ' ') AS red_name, replace(blue_name, '#', ' ') AS blue_name FROM ({NAMED}) AS z"
 query("fuzzy_pairs_in_window", "left_id right_id flipped score:d")(lambda t: fuzzy.match_pairs(t.sql(LEFT.format(n=SPACED)), t.sql(RIGHT.format(n=SPACED)), 72.0, days=3))
-query("best_price_key", "row_id key:s price:d score:d")(lambda t: fuzzy.best_key(t.sql(
-    "SELECT s_suppkey AS row_id, s_name AS target, map(concat('the ', lower(s_name)), 1.5D, 'Nobody', 2.0D, concat(s_name, ' jr'), 3.0D) AS prices FROM supplier")))
-query("label_sides", "contest_id side:s")(lambda t: t.sql(SPACED).select("contest_id", fuzzy.side_of(
+PRICED = "SELECT s_suppkey AS row_id, s_name AS target, map(concat('the ', lower(s_name)), 1.5D, 'Nobody', 2.0D, concat(s_name, ' jr'), 3.0D) AS prices FROM supplier"
+query("best_price_key", "row_id key:s price:d score:d", f"""
+WITH long AS (SELECT s_suppkey AS row_id, {like.key('s_name')} AS a, v.key, v.price, {like.key('v.key')} AS b FROM (SELECT s_suppkey, s_name, unnest([{{'key': concat('the ', lower(s_name)), 'price': 1.5E0}}, {{'key': 'Nobody', 'price': 2.0E0}}, {{'key': concat(s_name, ' jr'), 'price': 3.0E0}}]) AS v FROM supplier) AS q),
+pairs AS (SELECT a AS x, b AS y FROM long UNION SELECT {like.last('a')}, b FROM long UNION SELECT a, {like.last('b')} FROM long), {like.scores('pairs', ('partial', 'token_set'))},
+best AS (SELECT row_id, key, price, greatest(w.token_set, f.partial, g.partial) AS score FROM long JOIN scored w ON w.x = a AND w.y = b JOIN scored f ON f.x = {like.last('a')} AND f.y = b JOIN scored g ON g.x = a AND g.y = {like.last('b')})
+SELECT row_id, key, price, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, key) AS n FROM best WHERE score >= 60) AS z WHERE n = 1
+""")(lambda t: fuzzy.best_key(t.sql(PRICED)))
+query("label_sides", "contest_id side:s", f"""
+WITH q AS (SELECT contest_id, {like.key("CASE WHEN contest_id % 2 = 0 THEN concat(red_name, ' by KO') ELSE concat(blue_name, ' wins') END")} AS t, {like.key('red_name')} AS a, {like.key('blue_name')} AS b FROM ({SPACED}) AS s),
+pairs AS (SELECT a AS x, t AS y FROM q UNION SELECT b, t FROM q UNION SELECT {like.last('a')}, t FROM q UNION SELECT {like.last('b')}, t FROM q), {like.scores('pairs', ('partial', 'token_set'))},
+sides AS (SELECT contest_id, greatest(aw.token_set, al.partial) AS sa, greatest(bw.token_set, bl.partial) AS sb FROM q JOIN scored aw ON aw.x = a AND aw.y = t JOIN scored bw ON bw.x = b AND bw.y = t
+  JOIN scored al ON al.x = {like.last('a')} AND al.y = t JOIN scored bl ON bl.x = {like.last('b')} AND bl.y = t)
+SELECT contest_id, CASE WHEN sa >= 65 AND sa > sb THEN 'A' WHEN sb >= 65 AND sb > sa THEN 'B' END AS side FROM sides
+""")(lambda t: t.sql(SPACED).select("contest_id", fuzzy.side_of(
     F.when(C("contest_id") % 2 == 0, F.concat(C("red_name"), F.lit(" by KO"))).otherwise(F.concat(C("blue_name"), F.lit(" wins"))), C("red_name"), C("blue_name")).alias("side")))
-query("schedule_with_predictions", "contest_id scheduled_id a_name:s b_name:s")(lambda t: fuzzy.merge_schedule(
+query("schedule_with_predictions", "contest_id scheduled_id a_name:s b_name:s", f"""
+WITH p AS (SELECT contest_id, red_name, blue_name, {like.key('red_name')} AS a, {like.key('blue_name')} AS b FROM ({SPACED}) AS s)
+SELECT contest_id, NULL AS scheduled_id, red_name AS a_name, blue_name AS b_name FROM p
+UNION ALL SELECT NULL, contest_id, blue_name, red_name FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS q WHERE least(p.a, p.b) = least(q.a, q.b) AND greatest(p.a, p.b) = greatest(q.a, q.b))
+""")(lambda t: fuzzy.merge_schedule(
     t.sql(f"SELECT contest_id AS scheduled_id, blue_name AS a_name, red_name AS b_name FROM ({SPACED}) AS q"),
     t.sql(f"SELECT contest_id, red_name AS a_name, blue_name AS b_name FROM ({SPACED}) AS q")))
-query("name_scores", "s_suppkey ratio:d partial:d token_sort:d token_set:d")(lambda t: t.supplier.join(t.nation, C("s_nationkey") == C("n_nationkey")).select(
+query("name_scores", "s_suppkey ratio:d partial:d token_sort:d token_set:d", f"""
+WITH pairs AS (SELECT s_suppkey, s_name AS x, n_name AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey), {like.scores('pairs')}
+SELECT s_suppkey, ratio, partial, token_sort, token_set FROM pairs JOIN scored USING (x, y)
+""")(lambda t: t.supplier.join(t.nation, C("s_nationkey") == C("n_nationkey")).select(
     "s_suppkey", similarity.ratio("s_name", "n_name").alias("ratio"), similarity.partial_ratio("s_name", "n_name").alias("partial"),
     similarity.token_sort_ratio("s_name", "n_name").alias("token_sort"), similarity.token_set_ratio("s_name", "n_name").alias("token_set")))
