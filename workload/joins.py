@@ -139,7 +139,17 @@ UNION ALL SELECT row_id, entity_id, 3, token_set FROM best WHERE n = 1
 LEFT = "SELECT contest_id AS left_id, dt, red_name AS a_name, blue_name AS b_name FROM ({n}) AS x"
 RIGHT = "SELECT contest_id AS right_id, CAST(dt AS DATE) + 1 AS dt, CASE WHEN contest_id % 2 = 0 THEN replace(red_name, 'Supp', 'Sup') ELSE blue_name END AS x_name, CASE WHEN contest_id % 2 = 0 THEN blue_name ELSE replace(red_name, 'Supp', 'Sup') END AS y_name FROM ({n}) AS x"
 SPACED = f"SELECT contest_id, dt, winner_id, replace(red_name, '#', ' ') AS red_name, replace(blue_name, '#', ' ') AS blue_name FROM ({NAMED}) AS z"
-query("fuzzy_pairs_in_window", "left_id right_id flipped score:d")(lambda t: fuzzy.match_pairs(t.sql(LEFT.format(n=SPACED)), t.sql(RIGHT.format(n=SPACED)), 72.0, days=3))
+query("fuzzy_pairs_in_window", "left_id right_id flipped score:d", f"""
+WITH l AS (SELECT left_id, CAST(dt AS DATE) AS dt, {like.key('a_name')} AS a, {like.key('b_name')} AS b FROM ({LEFT.format(n=SPACED)}) AS q),
+r AS (SELECT right_id, CAST(dt AS DATE) AS dt, {like.key('x_name')} AS c, {like.key('y_name')} AS d FROM ({RIGHT.format(n=SPACED)}) AS q),
+named AS (SELECT u.k AS p, v.k AS q FROM (SELECT a AS k FROM l UNION SELECT b FROM l) AS u, (SELECT c AS k FROM r UNION SELECT d FROM r) AS v),
+pairs AS (SELECT p AS x, q AS y FROM named UNION SELECT {like.last('p')}, q FROM named UNION SELECT p, {like.last('q')} FROM named), {like.scores('pairs', ('partial', 'token_set'))},
+names AS (SELECT p, q, greatest(w.token_set, f.partial, g.partial) AS score FROM named JOIN scored w ON w.x = p AND w.y = q JOIN scored f ON f.x = {like.last('p')} AND f.y = q JOIN scored g ON g.x = p AND g.y = {like.last('q')}),
+near AS (SELECT left_id, right_id, 0 AS flipped, a, b, c, d FROM l JOIN r ON abs(date_diff('day', l.dt, r.dt)) <= 3 UNION ALL SELECT left_id, right_id, 1, a, b, d, c FROM l JOIN r ON abs(date_diff('day', l.dt, r.dt)) <= 3),
+best AS (SELECT left_id, right_id, flipped, least(one.score, two.score) AS score, row_number() OVER (PARTITION BY left_id ORDER BY least(one.score, two.score) DESC, right_id, flipped) AS n
+  FROM near JOIN names one ON one.p = a AND one.q = c JOIN names two ON two.p = b AND two.q = d WHERE one.score >= 72 AND two.score >= 72)
+SELECT left_id, right_id, flipped, score FROM best WHERE n = 1
+""")(lambda t: fuzzy.match_pairs(t.sql(LEFT.format(n=SPACED)), t.sql(RIGHT.format(n=SPACED)), 72.0, days=3))
 PRICED = "SELECT s_suppkey AS row_id, s_name AS target, map(concat('the ', lower(s_name)), 1.5D, 'Nobody', 2.0D, concat(s_name, ' jr'), 3.0D) AS prices FROM supplier"
 query("best_price_key", "row_id key:s price:d score:d", f"""
 WITH long AS (SELECT s_suppkey AS row_id, {like.key('s_name')} AS a, v.key, v.price, {like.key('v.key')} AS b FROM (SELECT s_suppkey, s_name, unnest([{{'key': concat('the ', lower(s_name)), 'price': 1.5E0}}, {{'key': 'Nobody', 'price': 2.0E0}}, {{'key': concat(s_name, ' jr'), 'price': 3.0E0}}]) AS v FROM supplier) AS q),
