@@ -11,7 +11,8 @@ from workload.views import TABLES
 
 SF = "/root/testdata/sf0.001"
 SPREAD = ["parse_stat_cells", "name_keys", "asof_career_rates", "asof_recent_form", "pool_means", "exact_auc", "chronological_split", "conformal_by_pool", "edge_buckets",
-          "bankroll_history", "over_probability", "compatible_legs", "prices_by_pair_and_window", "merged_duplicates", "upserted_schedule", "audit_totals_coverage"]
+          "bankroll_history", "over_probability", "compatible_legs", "prices_by_pair_and_window", "merged_duplicates", "upserted_schedule", "audit_totals_coverage",
+          "name_scores", "best_price_key", "label_sides", "keyword_rules", "document_selections"]
 
 
 def test_every_twin_has_a_query():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contestlake.operators import cards, upsert
+from contestlake.operators import cards, rulebook, upsert
 from contestlake.operators.history import sides
 from contestlake.sources import documents
 from workload.registry import query
@@ -85,3 +85,10 @@ query("document_method_rounds", "contest_id market:s side:s method:s rounds:s pr
 SELECT contest_id, 'method_round' AS market, 'A' AS side, 'KO' AS method, '2' AS rounds, 9.0 AS price FROM contest UNION ALL SELECT contest_id, 'method_round_neutral', NULL, 'SUB', '1', 12.0 FROM contest
 UNION ALL SELECT contest_id, 'method_round_range', 'B', 'KO', '1,2,3', 4.0 FROM contest
 """)(lambda t: documents.method_rounds(t.sql(DOC)).withColumn("rounds", F.array_join("rounds", ",")))
+
+RULES = "SELECT n_nationkey % 7 AS priority, lower(n_name) AS keyword, concat('region ', CAST(n_regionkey AS STRING)) AS label FROM nation UNION ALL SELECT 3, substr(lower(n_name), 2, 3), concat('part ', n_name) FROM nation UNION ALL SELECT 0, '', 'never' FROM nation"
+TEXTS = "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE lower(concat(c_name, ' from ', n_name, ' ', substr(n_name, 1 + CAST(c_custkey % 3 AS INT), 4), 'ia')) END AS words FROM customer JOIN nation ON n_nationkey = c_nationkey"
+query("keyword_rules", "c_custkey inline:s joined:s", f"""
+WITH r AS ({RULES}), t AS ({TEXTS}), hit AS (SELECT c_custkey, label, row_number() OVER (PARTITION BY c_custkey ORDER BY priority, label) AS n FROM t JOIN r ON keyword <> '' AND contains(words, keyword))
+SELECT c_custkey, coalesce(label, 'none') AS inline, coalesce(label, 'none') AS joined FROM t LEFT JOIN (SELECT * FROM hit WHERE n = 1) AS h USING (c_custkey)
+""")(lambda t: rulebook.label(rulebook.label(t.sql(TEXTS), C("words"), t.sql(RULES), "inline", "none"), C("words"), t.sql(RULES), "joined", "none", inline=0))
