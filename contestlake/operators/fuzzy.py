@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contestlake.functions import names, similarity
+from contestlake.functions.plan import durable
 from contestlake.operators import resolve
 
 
@@ -56,6 +57,72 @@ def by_tokens(left: DataFrame, right: DataFrame, gates: list[str] | None = None)
     return a.join(b, ["t", *gates]).select("l", "r", *gates).distinct()
 
 
+def by_containment(left: DataFrame, right: DataFrame, gates: list[str] | None = None) -> DataFrame:
+    """Distinct pairs (l, r) in which all tokens of one name are among those of the other (and equal gate columns).
+
+    The contained name meets the other one by its rarest token only, so a token that all names hold makes no pairs.
+    """
+    gates = gates or []
+
+    def tokens(df, name):
+        return df.select(name, *gates, F.explode(F.array_distinct(F.split(name, " "))).alias("t")).distinct()
+
+    def inside(a, b, small, large):
+        held = tokens(b, large)
+        often = held.groupBy("t", *gates).agg(F.count("*").alias("n"))
+        rarest = tokens(a, small).join(often, ["t", *gates], "left").groupBy(small, *gates).agg(F.min_by("t", F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t"))
+        return rarest.join(held, ["t", *gates]).filter(F.size(F.array_except(F.split(small, " "), F.split(large, " "))) == 0).select("l", "r", *gates)
+
+    return inside(left, right, "l", "r").unionByName(inside(right, left, "r", "l")).distinct()
+
+
+def shortened(text: Column, removed: int) -> Column:
+    """The texts that are left of ``text`` without ``removed`` characters."""
+    out = F.array(text)
+    for _ in range(removed):
+        out = F.array_distinct(F.flatten(F.transform(out, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.length(x))))))))
+    return out
+
+
+def by_edits(left: DataFrame, right: DataFrame, edits: int, gates: list[str] | None = None, l: str = "l", r: str = "r") -> DataFrame:
+    """Rows of both sides whose texts ``l`` and ``r`` are at most ``edits`` inserts and deletes apart (and equal gate columns).
+
+    They meet by a whole text that both can be cut to, so a beginning that all names share makes no pairs.
+    """
+    gates = gates or []
+    cuts = [(a, n - a) for n in {edits, max(edits - 1, 0)} for a in range(n + 1)]      # fewer edits of the same parity are among them
+
+    def forms(df, text, own):
+        def cut(c):
+            return F.transform(shortened(F.col(text), c[own]), lambda x: F.struct(F.lit(c[0]).alias("_cl"), F.lit(c[1]).alias("_cr"), x.alias("_text")))
+
+        return df.select("*", F.inline(F.flatten(F.array(*map(cut, cuts)))))
+
+    met = forms(left, l, 0).join(forms(right, r, 1), [*gates, "_cl", "_cr", "_text"])
+    return met.drop("_cl", "_cr", "_text").distinct()
+
+
+def by_few_edits_beside_common(left: DataFrame, right: DataFrame, gates: list[str]) -> DataFrame:
+    """Distinct pairs (l, r) whose tokens, the common ones put first, are at most one insert or delete apart.
+
+    One edit changes at most two tokens of a name, so it is enough to set apart every choice of up to two of them.
+    """
+    def split(df, name):
+        t = F.array_sort(F.array_distinct(F.split(name, " ")))
+        df = df.select(name, *gates, t.alias("_t")).distinct()
+        n = F.size("_t")
+        place = F.sequence(F.lit(0), n - 1)
+        pairs = F.flatten(F.transform(place, lambda i: F.transform(F.filter(place, lambda j: j >= i), lambda j: F.array(i, j))))
+        chosen = F.concat(F.array(F.array().cast("array<int>")), pairs)
+        df = df.select(name, *gates, "_t", F.explode(chosen).alias("_i"))
+        kept = F.filter("_t", lambda x, k: ~F.array_contains("_i", k))
+        rest = F.filter("_t", lambda x, k: F.array_contains("_i", k))
+        return df.select(name, *gates, F.array_join(kept, " ").alias("_head"), F.array_join(rest, " ").alias(f"_{name}"))
+
+    return by_edits(split(left, "l"), split(right, "r"), 1, [*gates, "_head"], "_l", "_r").select("l", "r", *gates).distinct()
+
+
 def _keys(df: DataFrame, column: str, out: str, shape=lambda k: k) -> DataFrame:
     return df.select(shape(names.name_key(F.col(column))).alias(out)).filter(F.col(out) != "").distinct()
 
@@ -70,14 +137,22 @@ def match_stubs(stubs: DataFrame, entities: DataFrame, threshold: float = 90.0)
 
     An entity's known birth day must agree within a day with exactly one of them; without one the name must
     belong to a single stub.  Several entities may take one stub.  An equal name scores 100 and cannot be
-    beaten, so only the others are blocked and scored.  Returns matches and the entities left for review.
+    beaten.  Others are looked for within one edit, then two, and those left in blocks of pieces: where k (k + 1)
+    is below a name's length, no name further away scores as much as one within k edits.  Returns matches and the
+    entities left for review.
     """
     s = stubs.select("stub_id", F.col("dob").alias("s_dob"), F.lower("name").alias("low"), sorted_tokens(names.name_key(F.col("name"))).alias("l"))
     e = entities.withColumn("r", sorted_tokens(names.name_key(F.col("full_name"))))
     known, asked = s.filter("l <> ''").select("l").distinct(), e.filter("r <> ''").select("r").distinct()
     equal = asked.join(known, F.col("l") == F.col("r")).withColumn("score", F.lit(100.0))
     rest = asked.join(known, F.col("l") == F.col("r"), "left_anti")
-    near = by_pieces(known, rest, threshold).withColumn("score", similarity.ratio("l", "r")).filter(F.col("score") >= threshold)
+    found, rest = [], durable(rest)
+    for k in (1, 2):
+        asked = rest.filter(F.length("r") > k * (k + 1))
+        found.append(durable(by_edits(known, asked, k)))
+        rest = durable(rest.join(found[-1].select("r"), "r", "left_anti"))
+    pairs = found[0].unionByName(found[1]).unionByName(by_pieces(known, rest, threshold))
+    near = pairs.withColumn("score", similarity.ratio("l", "r")).filter(F.col("score") >= threshold)
     top = _best(equal.unionByName(near).join(s.select("l", "low").distinct(), "l"), ["r"], "low").select("r", "low", "score")
     found = e.join(top, "r").join(s.select("stub_id", "s_dob", "low"), "low")
     ok = F.when(F.col("dob").isNotNull(), F.coalesce(F.abs(F.date_diff("dob", "s_dob")) <= 1, F.lit(False))).otherwise(True)
@@ -156,7 +231,9 @@ def name_pairs(left: DataFrame, right: DataFrame, threshold: float, scorer: str)
     if scorer in ("ratio", "sort"):
         near, score = (by_pieces, similarity.ratio("l", "r")) if scorer == "ratio" else (by_sorted_pieces, similarity.token_sort_ratio("l", "r"))
         return near(left, right, threshold).withColumn("score", score).filter(F.col("score") >= threshold)
-    near = by_tokens(left, right).unionByName(by_sorted_pieces(left, right, threshold)).unionByName(by_last_tokens(left, right, threshold))
+    # token sets score 100 where one holds the other
+    sets = by_containment(left, right) if threshold >= 100 else by_tokens(left, right).unionByName(by_sorted_pieces(left, right, threshold))
+    near = sets.unionByName(by_last_tokens(left, right, threshold))
     terms = [similarity.token_set_ratio("l", "r"), similarity.partial_ratio(names.last_token(F.col("l")), F.col("r"))]
     if scorer == "set":
         turned = by_last_tokens(right.withColumnRenamed("r", "l"), left.withColumnRenamed("l", "r"), threshold)
@@ -166,7 +243,12 @@ def name_pairs(left: DataFrame, right: DataFrame, threshold: float, scorer: str)
 
 
 def resolve_names(rows: DataFrame, entities: DataFrame, threshold: float = 88.0) -> DataFrame:
-    """Cascade: same text ignoring case, same key, then token-set score within the same pool."""
+    """Cascade: same text ignoring case, same key, then token-set score within the same pool.
+
+    A name of length n whose tokens are contained in another name's, hold them, or are one edit from them beside
+    the common tokens, scores more than 1 - 1 / (n + 1) with it if n > 2, and with no other name; only names without such a
+    partner meet all names with a common token.
+    """
     e = entities.select("entity_id", "pool", F.lower("full_name").alias("_low"), names.name_key(F.col("full_name")).alias("_key"))
     r = rows.withColumns({"_low": F.lower("name"), "_key": names.name_key(F.col("name"))})
     one = e.groupBy("_low").agg(F.min("entity_id").alias("_e1"))
@@ -175,10 +257,15 @@ def resolve_names(rows: DataFrame, entities: DataFrame, threshold: float = 88.0)
     done = exact.filter("entity_id IS NOT NULL").select("row_id", "entity_id", F.when(F.col("_e1").isNotNull(), 1).otherwise(2).alias("stage"), F.lit(100.0).alias("score"))
     rest = exact.filter("entity_id IS NULL").select("row_id", "pool", F.col("_key").alias("l"))
     dims = e.select("entity_id", "pool", F.col("_key").alias("r"))
+    asked, known = durable(rest.filter("l <> ''").select("l", "pool").distinct()), durable(dims.filter("r <> ''").select("r", "pool").distinct())
+    close = by_containment(asked, known, ["pool"]).unionByName(by_few_edits_beside_common(asked, known, ["pool"])).distinct()
+    close = durable(close.withColumn("score", similarity.token_set_ratio("l", "r")))
+    size = F.length(F.array_join(F.array_distinct(F.split("l", " ")), " "))
+    asked = durable(asked.join(close.filter(F.col("score") > 100.0 * (1.0 - 1.0 / (size + 1.0)) + 1e-9).select("l", "pool"), ["l", "pool"], "left_anti"))
     # names without a common token score by their sorted tokens, so the two blocks lose no pair
-    pieces = by_sorted_pieces(rest.filter("l <> ''"), dims.filter("r <> ''"), threshold).join(rest.select("l", "pool").distinct(), "l").join(dims.select("r", "pool").distinct(), ["r", "pool"])
-    pairs = by_tokens(rest, dims, ["pool"]).unionByName(pieces.select("l", "r", "pool")).distinct()
-    pairs = pairs.withColumn("score", similarity.token_set_ratio("l", "r")).filter(F.col("score") >= threshold)
+    pieces = by_sorted_pieces(asked, known, threshold).join(asked, "l").join(known, ["r", "pool"])
+    pairs = by_tokens(asked, known, ["pool"]).unionByName(pieces.select("l", "r", "pool")).distinct()
+    pairs = pairs.withColumn("score", similarity.token_set_ratio("l", "r")).unionByName(close.join(asked, ["l", "pool"], "left_anti")).filter(F.col("score") >= threshold)
     fuzzy = _best(rest.join(pairs, ["l", "pool"]).join(dims, ["r", "pool"]), ["row_id"], "entity_id")
     return done.unionByName(fuzzy.select("row_id", "entity_id", F.lit(3).alias("stage"), "score"))
 
@@ -187,8 +274,24 @@ def match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int |
     """Best right contest per left contest: max(min(straight), min(crossed)) of the two name scores.
 
     ``scorer`` as in ``name_pairs``; blocks are its blocks over distinct names, and the day window when given.
-    Left needs left_id, a_name, b_name (, dt); right needs right_id, x_name, y_name (, dt).
+    Left needs left_id, a_name, b_name (, dt); right needs right_id, x_name, y_name (, dt).  A score of 100
+    cannot be beaten: only rows without one are compared at ``threshold``, and with the days near them.
     """
+    if threshold >= 100:
+        return _match_pairs(left, right, threshold, days, scorer)
+    first = durable(_match_pairs(left, right, 100.0, days, scorer))
+    rest = left.join(first.select("left_id"), "left_id", "left_anti")
+    if days is not None:
+        rest = rest.join(resolve.days_around(right, days), "dt", "left_semi")
+    rest = durable(rest)
+    if rest.isEmpty():
+        return first
+    if days is not None:
+        right = right.join(resolve.days_around(rest, days), "dt", "left_semi")
+    return first.unionByName(_match_pairs(rest, right, threshold, days, scorer))
+
+
+def _match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int | None, scorer: str) -> DataFrame:
     l = left.withColumns({"_a": names.name_key(F.col("a_name")), "_b": names.name_key(F.col("b_name"))})
     r = right.withColumns({"_x": names.name_key(F.col("x_name")), "_y": names.name_key(F.col("y_name"))})
     ln = l.select(F.explode(F.array("_a", "_b")).alias("l")).filter("l <> ''").distinct()

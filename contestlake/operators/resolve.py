@@ -51,6 +51,12 @@ def near_days(left: DataFrame, right: DataFrame, keys: list[str], days: int, lef
     return l.join(r, on).drop("_bucket").withColumn("gap", gap).filter(F.col("gap") <= days)
 
 
+def days_around(rows: DataFrame, days: int) -> DataFrame:
+    """Every day at most ``days`` from the day of a row, once."""
+    own = rows.select("dt").distinct().filter("dt IS NOT NULL")
+    return own.select(F.explode(F.sequence(F.date_sub("dt", days), F.date_add("dt", days))).alias("dt")).distinct()
+
+
 def nearest(pairs: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Closest right row per left row, the smallest key on ties; limited in every task."""
     w = Window.partitionBy(left_key).orderBy("gap", right_key)
