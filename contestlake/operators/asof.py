@@ -4,7 +4,9 @@ The history is first reduced to one row per (entity, day).  Every frame then
 runs over days, so an entity that owns a large share of all contests still
 contributes at most one row per calendar day to its window, and "strictly
 before" is simply "earlier day rows".  All frames share the entity partitioning:
-one shuffle to (entity, day), one to entity.
+one shuffle to (entity, day), one to entity.  A task holds its rows once for each
+order that its frames ask for, so frames by day share one order, and the frames of a
+decay pass another.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ EWMA = {"win_rate": "won", "finish_rate": "finish", "slpm": "slpm", "kd_per_cont
 # measures whose values are present together share one prefix pass
 PASSES = [["win_rate", "finish_rate"], ["slpm"], ["kd_per_contest"]]
 _RECENT = ["won", "finish", "kd", "td_l", "td_a", "sig_l", "sec"]
-_PAST = "OVER (PARTITION BY entity_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_THRU = "OVER (PARTITION BY entity_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_PAST = "OVER (PARTITION BY entity_id ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_THRU = "OVER (PARTITION BY entity_id ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
 def daily(history: DataFrame) -> DataFrame:
@@ -49,11 +51,12 @@ def entity_asof(history: DataFrame, requests: DataFrame) -> DataFrame:
     days = daily(history).join(want, ["entity_id", "dt"], "full")
     ewma = [f"e_{k}" for k in EWMA]
     days = days.selectExpr(
-        "entity_id", "dt", "unix_date(dt) AS day", "wanted", "tail", "loss_rn", "win_rn", *ewma,
+        "entity_id", "dt", "wanted", "tail", "loss_rn", "win_rn", *ewma,
         *[f"coalesce({c}, 0) AS {c}" for c in ["n", *SUMS]])
     days = days.selectExpr("*", f"sum(n) {_THRU} AS thru", f"coalesce(sum(int(n > 0)) {_PAST}, 0) AS act")
     prior = days.selectExpr(
-        "entity_id", "dt", "day", "wanted", "n", "tail", *ewma,
+        "entity_id", "dt", "wanted", "n", "tail", *ewma,
+        *[f"sum(coalesce(e_{group[0]}.k, 0)) {_THRU} AS _thru_{group[0]}" for group in PASSES],
         # active day k sits at 2k+1 and a request without contests at 2k, so that a
         # RANGE frame over the position always covers the last five active days
         "CASE WHEN n > 0 THEN act * 2 + 1 ELSE act * 2 END AS pos",
@@ -81,19 +84,19 @@ def _decay_pass(days: DataFrame, group: list[str]) -> DataFrame:
     earlier day, not at all otherwise, as it is then below double precision.  Numerator and denominator share
     the scale, so it cancels.  A day steps by its true number of contests, however many blocks that spans.
     """
-    keep = days.columns
-    days = days.selectExpr("*", f"sum(coalesce(e_{group[0]}.k, 0)) {_THRU} AS _thru")
-    days = days.selectExpr("*", f"floor(_thru / {BLOCK}) AS _blk")
+    keep = [c for c in days.columns if c != f"_thru_{group[0]}" and c not in [f"e_{k}" for k in group]]
+    days = days.selectExpr("*", f"_thru_{group[0]} AS _thru", f"floor(_thru_{group[0]} / {BLOCK}) AS _blk")
     days = days.selectExpr("*", *[
         f"coalesce(e_{k}.{p} * pow(2D, (_thru - _blk * {BLOCK}) / {HALF_LIFE}D), 0D) AS _{p}_{k}"
         for k in group for p in "st"])
     parts = [f"_{p}_{k}" for k in group for p in "st"]
+    # the frames by day come first: their order serves those by block
+    days = days.selectExpr("*", *[f"coalesce(sum({c}) OVER (PARTITION BY entity_id, _blk ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS _i{c}" for c in parts])
     days = days.selectExpr("*", *[f"sum({c}) OVER (PARTITION BY entity_id, _blk) AS _b{c}" for c in parts])
     back = repr(2.0 ** (-BLOCK / HALF_LIFE)) + "D"
     days = days.selectExpr(
         "*", f"last(struct(_blk AS blk, {', '.join(f'_b{c} AS {c}' for c in parts)})) OVER (PARTITION BY entity_id ORDER BY _blk "
-        "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _old",
-        *[f"coalesce(sum({c}) OVER (PARTITION BY entity_id, _blk ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS _i{c}" for c in parts])
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _old")
 
     def weighted(p, k):
         scale = f"CASE WHEN _i_t_{k} = 0 THEN 1D WHEN _blk - _old.blk = 1 THEN {back} ELSE 0D END"

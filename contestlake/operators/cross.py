@@ -129,19 +129,15 @@ def shrink(features: DataFrame, means: DataFrame) -> DataFrame:
 def attach_sides(contests: DataFrame, features: DataFrame) -> DataFrame:
     """Join per-entity features to both sides of a contest as structs ``fa`` and ``fb``.
 
-    Contests become side rows first, so the join runs once on (entity, day); the
-    two rows of a contest are then folded back by the contest key.
+    ``features`` has one row per key.  Joins, unlike a fold of side rows, carry only the fields that are read later.
     """
+    keys = ["dt", "pool"] if "pool" in features.columns else ["dt"]
     feats = [c for c in features.columns if c not in ("entity_id", "dt", "pool")]
-    rows = contests.select("contest_id", "dt", "pool", F.inline(F.array(
-        F.struct(F.lit("a").alias("_side"), F.col("a_id").alias("entity_id")),
-        F.struct(F.lit("b").alias("_side"), F.col("b_id").alias("entity_id")))))
-    keys = ["entity_id", "dt", "pool"] if "pool" in features.columns else ["entity_id", "dt"]
-    packed = rows.join(features.select(*keys, F.struct(*feats).alias("_f")), keys, "left")
-    folded = packed.groupBy("contest_id").agg(
-        F.max(F.when(F.col("_side") == "a", F.col("_f"))).alias("fa"),
-        F.max(F.when(F.col("_side") == "b", F.col("_f"))).alias("fb"))
-    return contests.join(folded, "contest_id")
+    out = contests
+    for s in "ab":
+        side = features.select(F.col("entity_id").alias(f"{s}_id"), *keys, F.struct(*feats).alias(f"f{s}"))
+        out = out.join(side, [f"{s}_id", *keys], "left")
+    return out.select(*contests.columns, "fa", "fb")
 
 
 def difference(c: str) -> Column:

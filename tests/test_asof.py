@@ -102,3 +102,12 @@ def test_mirror_twice_is_identity(spark):
     assert sorted(map(tuple, again.collect())) == sorted(list(map(tuple, both.collect())) * 2)
     other = both.filter("label = 0").first()
     assert (other["a_id"], other["a_slpm"], other["diff_x"], other["a_orthodox_vs_b_southpaw"], other["expected_a_td_landed"], other["elo_a"]) == (20, 2.0, -0.5, 1, 4.0, 1490.0)
+
+
+def test_frames_share_few_orders(spark):
+    """A task keeps its rows once for each order, so a decay pass asks for one only, and its inputs are dropped after it."""
+    cols = ", ".join(f"{c} bigint" for c in ["kd", "sig_l", "sig_a", "td_l", "td_a", "sub_att", "ctrl", "opp_td_l", "opp_td_a", "opp_sig_l", "opp_sig_a", "won", "ko", "finish", "sub_win", "ko_loss", "sub_loss", "finish_loss", "sec"])
+    rows = spark.createDataFrame([], f"contest_id bigint, entity_id bigint, dt date, pool string, {cols}")
+    plan = asof.entity_asof(rows, rows.select("entity_id", "dt"))._jdf.queryExecution().executedPlan().toString()
+    orders = [line for line in plan.splitlines() if "Sort [entity_id" in line and "_blk" in line]
+    assert len(orders) == len(asof.PASSES)
