@@ -294,8 +294,8 @@ def match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int |
 def _match_pairs(left: DataFrame, right: DataFrame, threshold: float, days: int | None, scorer: str) -> DataFrame:
     l = left.withColumns({"_a": names.name_key(F.col("a_name")), "_b": names.name_key(F.col("b_name"))})
     r = right.withColumns({"_x": names.name_key(F.col("x_name")), "_y": names.name_key(F.col("y_name"))})
-    ln = l.select(F.explode(F.array("_a", "_b")).alias("l")).filter("l <> ''").distinct()
-    rn = r.select(F.explode(F.array("_x", "_y")).alias("r")).filter("r <> ''").distinct()
+    ln = durable(l.select(F.explode(F.array("_a", "_b")).alias("l")).filter("l <> ''").distinct())
+    rn = durable(r.select(F.explode(F.array("_x", "_y")).alias("r")).filter("r <> ''").distinct())
     # names are scored once; both members of a match must reach the threshold
     score = name_pairs(ln, rn, threshold, scorer)
     cols = ["right_id", "_x", "_y"] + (["dt"] if days is not None else [])

@@ -27,13 +27,26 @@ def match(predictions: DataFrame, contests: DataFrame, threshold: float = 70.0,
     latest contest wins, then the smallest contest_id.  Side A is red when its name scores at least as well
     against red as against blue.  ``predictions`` needs prediction_id, dt, a_name, b_name; ``contests``
     contest_id, dt, red_name, blue_name.  Rows without a day or with an empty name match nothing; repeated
-    predictions are matched each on their own.
+    predictions are matched each on their own.  A score of 100 cannot be beaten: only predictions without one are
+    compared at ``threshold``, and with the contests of the days near them.
     """
     key = lambda c: names.name_key(F.col(c))
     p = predictions.select("prediction_id", "dt", key("a_name").alias("_a"), key("b_name").alias("_b")).filter("_a <> '' AND _b <> '' AND dt IS NOT NULL").distinct()
     c = contests.select("contest_id", "dt", key("red_name").alias("_x"), key("blue_name").alias("_y")).filter("_x <> '' AND _y <> '' AND dt IS NOT NULL")
-    asked = p.select(F.explode(F.array("_a", "_b")).alias("l")).distinct()
-    known = c.select(F.explode(F.array("_x", "_y")).alias("r")).distinct()
+    p, c = durable(p), durable(c)       # dozens of branches of the search read them
+    if threshold >= 100:
+        return _match(p, c, threshold, days, scorer)
+    key = ["prediction_id", "dt", "_a", "_b"]
+    first = durable(_match(p, c, 100.0, days, scorer))
+    rest = durable(p.join(first.select(*key), key, "left_anti").join(resolve.days_around(c, days), "dt", "left_semi"))
+    if rest.isEmpty():
+        return first
+    return first.unionByName(_match(rest, c.join(resolve.days_around(rest, days), "dt", "left_semi"), threshold, days, scorer))
+
+
+def _match(p: DataFrame, c: DataFrame, threshold: float, days: int, scorer: str) -> DataFrame:
+    asked = durable(p.select(F.explode(F.array("_a", "_b")).alias("l")).distinct())
+    known = durable(c.select(F.explode(F.array("_x", "_y")).alias("r")).distinct())
     # four joins read the scores, which are Python work
     score = durable(fuzzy.name_pairs(asked, known, threshold, scorer))
 

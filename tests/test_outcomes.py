@@ -72,3 +72,14 @@ def test_decided_and_past(spark):
     assert per_day[DAY] == (3, 3, 100.0) and per_day[None] == (0, 0, None)
     none = outcomes.past(rows.limit(0), fought, totals, ["sig"])
     assert none.count() == 0 and outcomes.past(rows, fought.limit(0), totals, ["sig"]).filter("contest_id IS NOT NULL").count() == 0
+
+
+def test_equal_names_need_no_approximate_search(spark, monkeypatch):
+    """A score of 100 ends the search; a prediction without a contest near its day is not looked for."""
+    day = dt.date(2020, 5, 2)
+    contests = spark.createDataFrame([(7, day, "Ann Lee", "Bo Roe")], "contest_id bigint, dt date, red_name string, blue_name string")
+    asked = spark.createDataFrame([(1, day, "Roe, Bo", "ann lee jr"), (2, dt.date(2021, 1, 1), "Cy Doe", "Di Poe")], "prediction_id bigint, dt date, a_name string, b_name string")
+    used, search = [], outcomes.fuzzy.name_pairs
+    monkeypatch.setattr(outcomes.fuzzy, "name_pairs", lambda l, r, threshold, scorer: used.append(threshold) or search(l, r, threshold, scorer))
+    found = outcomes.match(asked, contests).select("prediction_id", "contest_id", "score", "a_is_red").collect()
+    assert [tuple(r) for r in found] == [(1, 7, 100.0, False)] and used == [100.0]
