@@ -32,7 +32,9 @@ def name_slug(name: Column) -> Column:
 
 
 def last_token(name: Column) -> Column:
-    return F.element_at(F.split(name_key(name), " "), -1)
+    """Last word of the key; names of plain letters, digits and blanks need no patterns for it."""
+    plain = F.substring_index(F.trim(F.lower(name)), " ", -1)
+    return F.when(name.rlike(r"^[A-Za-z0-9 ]*\z"), plain).otherwise(F.element_at(F.split(name_key(name), " "), -1))
 
 
 def surname_initial(name: Column) -> Column:

@@ -90,13 +90,18 @@ def quantiles(df: DataFrame, groups: list[str], value: str, level: Column, bins:
     return picked.select(*groups, "n", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("q"))
 
 
-def carry_last(df: DataFrame, groups: list[str], seq: str, value: str, out: str, size: int = 1000) -> DataFrame:
+def carry_last(df: DataFrame, groups: list[str], seq: str, value: str, out: str, size: int = 1000, positions: DataFrame | None = None) -> DataFrame:
     """Newest non-NULL value before each row of the group, by its position ``seq`` in the group.
 
     A group is cut into runs of ``size`` positions; only the newest value of each run
-    crosses over to the next ones.
+    crosses over to the next ones.  ``positions`` are the same rows before costly columns were
+    added: a pass over them finds out whether any row lies outside the first run, and if none does, ``df`` is read once.
     """
-    binned = df.withColumn("_bin", F.floor(F.col(seq) / size))
+    run = F.floor(F.col(seq) / size)
+    if positions is not None and positions.select(run.alias("_bin")).filter("_bin <> 0 OR _bin IS NULL").isEmpty():
+        before = Window.partitionBy(*groups).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.last(value, True).over(before))
+    binned = df.withColumn("_bin", run)
     tops = binned.filter(F.col(value).isNotNull()).groupBy(*groups, "_bin").agg(F.max_by(value, seq).alias("_top"))
     # every later run must see it, so runs without any value are listed too
     runs = binned.select(*groups, "_bin").distinct().join(tops, [*groups, "_bin"], "left")

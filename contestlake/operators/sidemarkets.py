@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contestlake.functions import names, odds
 from contestlake.functions.plan import once
@@ -22,7 +22,9 @@ def classify(quotes: DataFrame) -> DataFrame:
 
     'Any other result' is the opposite of the contest's previous known label.
     """
-    q = once(quotes, {"_l": F.lower(F.trim("label")), "_red": names.last_token(F.col("red_name")), "_blue": names.last_token(F.col("blue_name"))})
+    q = once(quotes, {"_l": F.lower(F.trim("label"))})
+    named = F.col("_l").contains(" wins ") | F.col("_l").endswith(" inside distance")
+    q = once(q, {f"_{c}": F.when(named, names.last_token(F.col(f"{c}_name"))) for c in ("red", "blue")})
 
     def who(part: Column) -> Column:
         return F.when((F.col("_red") != "") & part.contains(F.col("_red")), "r").when((F.col("_blue") != "") & part.contains(F.col("_blue")), "b")
@@ -45,7 +47,7 @@ def classify(quotes: DataFrame) -> DataFrame:
     negated = l.startswith("not ") | l.contains("doesn't") | l.contains("won't")
     side = F.when(is_total, F.substring_index(l, " ", 1)).when(negated, "no").otherwise("yes")
     q = once(q, {"_m": market, "_s": side})
-    q = order.carry_last(q, ["contest_id"], "seq", "_m", "_before")
+    q = order.carry_last(q, ["contest_id"], "seq", "_m", "_before", positions=quotes.select("seq"))
     other = F.col("_l") == "any other result"
     return q.withColumns({"market": F.when(other, F.col("_before")).otherwise(F.col("_m")),
                           "side": F.when(other & F.col("_before").isNotNull(), "no").when(F.col("_m").isNotNull(), F.col("_s"))}).drop("_l", "_m", "_s", "_before", "_red", "_blue")
@@ -65,10 +67,12 @@ def line_round(line: Column, compat: bool = True) -> Column:
 
 def _parts(df: DataFrame, compat: bool) -> DataFrame:
     """Market class, its number, the method word and whether the red or blue letter means A."""
-    number = F.element_at(F.split("market", "_"), -1).try_cast("double")
+    # a failed cast costs an exception: only these classes have a number
+    numbered = market_class(F.col("market")).isin("total_rounds", "starts_round", "ends_round", "wins_round")
+    number = F.when(numbered, F.substring_index("market", "_", -1).try_cast("double"))
     is_a = (F.substring("market", 1, 1) == "r") == (F.col("a_is_red") == 1)
     return once(df, {"market_class": market_class(F.col("market")), "_num": number, "_under": line_round(number, compat),
-                     "_word": F.element_at(F.split("market", "_method_"), -1), "_a": is_a})
+                     "_word": F.substring_index("market", "_method_", -1), "_a": is_a})
 
 
 def _pick(a: Column, b: Column) -> Column:
@@ -124,8 +128,9 @@ def price(quotes: DataFrame, classes: DataFrame, compat: bool = True, rounds_giv
 def edges(priced: DataFrame) -> DataFrame:
     """Vig-free probability from the pair of a market, edge and unit P&L; lone quotes keep their raw price."""
     q = priced.filter("market IS NOT NULL").withColumn("_i", odds.american_to_implied(F.col("american")))
-    pair = q.groupBy("contest_id", "market").agg(F.count("*").alias("_n"), F.sum("_i").alias("_s"))
-    q = q.join(pair, ["contest_id", "market"]).filter("our_prob IS NOT NULL AND won IS NOT NULL")
+    # a window, as a join with the sums would price every quote twice
+    pair = Window.partitionBy("contest_id", "market")
+    q = q.withColumns({"_n": F.count("*").over(pair), "_s": F.sum("_i").over(pair)}).filter("contest_id IS NOT NULL AND our_prob IS NOT NULL AND won IS NOT NULL")
     q = q.withColumns({"price": odds.american_to_decimal(F.col("american")),
                        "fair": F.when(F.col("_n") >= 2, F.col("_i") / F.col("_s"))})
     return once(q, {"edge": F.col("our_prob") - F.coalesce("fair", "_i"), "single": (F.col("_n") < 2).cast("int"),
