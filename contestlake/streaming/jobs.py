@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A row of the drift state: time in microseconds, id, loss.
 ROW = np.dtype([("at", "i8"), ("id", "i8"), ("loss", "f8")])
+#: So many contests are rated and returned at a time.
+SLICE = 100_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -297,13 +299,15 @@ class RatingState(StatefulProcessor):
             if self.states.containsKey((e,)):
                 s = self.states.getValue((e,))
                 known[e] = (s[0], int(s[1]), s[2], s[3], s[4])
-        ids = list(zip(*(batch[c].tolist() for c in ("contest_id", "a_id", "b_id")), batch["label"].astype(float).tolist()))
-        rated = ratings.fold(ids, known)
+        # contests leave Python's lists and the task slice by slice
+        for start in range(0, len(batch), SLICE):
+            part = batch.iloc[start:start + SLICE]
+            ids = zip(*(part[c].tolist() for c in ("contest_id", "a_id", "b_id")), part["label"].astype(float).tolist())
+            out = pd.DataFrame(ratings.fold(ids, known), columns=["contest_id", *ratings.RATINGS])
+            out.insert(0, "pool", key[0])
+            yield out
         for e, s in known.items():
             self.states.updateValue((e,), (float(s[0]), int(s[1]), float(s[2]), float(s[3]), float(s[4])))
-        out = pd.DataFrame(rated, columns=["contest_id", *ratings.RATINGS])
-        out.insert(0, "pool", key[0])
-        yield out
 
     def close(self) -> None:
         pass
