@@ -111,3 +111,20 @@ def test_frames_share_few_orders(spark):
     plan = asof.entity_asof(rows, rows.select("entity_id", "dt"))._jdf.queryExecution().executedPlan().toString()
     orders = [line for line in plan.splitlines() if "Sort [entity_id" in line and "_blk" in line]
     assert len(orders) == len(asof.PASSES)
+
+
+def test_sides_compute_only_what_is_read(spark, capsys):
+    """Features that nobody reads cost no frame, and rows are dealt by entity whatever the session's partitions are."""
+    rows = spark.createDataFrame(history(random.Random(8), 4, 10, 2), SCHEMA)
+    contests = rows.selectExpr("contest_id", "dt", "pool", "entity_id AS a_id", "(entity_id + 1) % 4 AS b_id")
+    feats = asof.entity_asof(rows, contests.selectExpr("dt", "explode(array(a_id, b_id)) AS entity_id"))
+    got = cross.attach_sides(contests, feats).select("contest_id", cross.difference("win_rate"), "fa.slpm", "fb.n_contests")
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "_blk" not in plan and "collect_list" not in plan
+    assert "hashpartitioning(entity_id" in plan and "2000)" in plan
+    seen = {r["contest_id"]: (r["diff_win_rate"], r["n_contests"]) for r in got.collect()}
+    for r in contests.collect():
+        a, b = (expected([x for x in map(tuple, rows.collect())], e, r["dt"]) for e in (r["a_id"], r["b_id"]))
+        diff = None if a["win_rate"] is None or b["win_rate"] is None else pytest.approx(a["win_rate"] - b["win_rate"])
+        assert seen[r["contest_id"]] == (diff, b["n_contests"])
