@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -16,6 +20,8 @@ from contestlake.functions.plan import durable
 from contestlake.operators import folds, order, totals
 from contestlake.plans import boosting
 
+#: Models that are fitted at the same time.
+AT_ONCE = 4
 MIN_TRAIN, MIN_VAL, MIN_CALIB = 100, 10, 50
 # fixed values: sizes below which a class fold is left out (rows before and in the fold; fitted and calibrating rows of
 # the classes), and the share of the earlier rows that the forest is fitted on
@@ -223,27 +229,39 @@ def class_walk_forward(rows: DataFrame, numeric: list[str], categories: list[str
     return reduce(DataFrame.unionByName, parts).drop("pos", "total")
 
 
-def quantile_forest(train: DataFrame, score: DataFrame, target: str, stages: list, key: str = "contest_id", trees: int = 10, depth: int = 5) -> DataFrame:
-    """Five conditional quantiles of a count per scored row.
+def quantile_forest(train: DataFrame, score: DataFrame, target: str, stages: list, key: str = "contest_id", trees: int = 10, depth: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Five conditional quantiles of a count per scored row, beside the columns in ``keep``.
 
-    A forest groups training rows into leaves.  A leaf's distribution is one row of a table of trees x leaves rows,
-    as an array no longer than the target's distinct counts; a scored row meets one array per tree and adds them up.
+    A forest groups training rows into leaves.  What it learned is the number of rows of each (tree, leaf, count), a table
+    bounded by trees x leaves x distinct counts; it is broadcast, and each scored row adds the shares of its own leaves up.
     """
     forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, leafCol="leaf", seed=42)
     model = Pipeline(stages=[*stages, forest]).fit(train)
-    leaves = lambda df, *keep: model.transform(df).select(*keep, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
-    counts = leaves(train, F.col(target).cast("double").alias("y")).groupBy("tree", "leaf", "y").agg(F.count("*").alias("c"))
-    shares = counts.groupBy("tree", "leaf").agg(F.sum("c").alias("s"), F.collect_list(F.struct("y", "c")).alias("ys")).select(
-        "tree", "leaf", F.transform("ys", lambda x: F.struct(x["y"].alias("y"), (x["c"] / F.col("s") / trees).alias("w"))).alias("ws"))
-    spread = leaves(score, key).join(shares, ["tree", "leaf"]).groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("ws"))).alias("ws"))
-
-    def reached(level):
-        """The first count up to which the shares add up to the level."""
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("y"))
-        return F.aggregate("ws", start, lambda acc, x: F.struct(
-            (acc["sum"] + x["w"]).alias("sum"), F.coalesce(acc["y"], F.when(acc["sum"] + x["w"] >= level - 1e-9, x["y"])).alias("y")), lambda acc: acc["y"])
-
-    return totals.monotone(spread.select(key, *[reached(level).alias(q) for q, level in totals.LEVELS.items()]))
+    leaves = lambda df, *cols: model.transform(df).select(*cols, vector_to_array("leaf").alias("leaf"))
+    counts = leaves(train, F.col(target).cast("double").alias("y")).select("y", F.posexplode("leaf").alias("tree", "leaf")).groupBy("tree", "leaf", "y").agg(F.count("*").alias("c")).collect()
+    ys = np.array(sorted({r["y"] for r in counts}))
+    shares = np.zeros((trees, 1 + int(max(r["leaf"] for r in counts)), len(ys)))
+    for r in counts:
+        shares[r["tree"], int(r["leaf"]), np.searchsorted(ys, r["y"])] = r["c"]
+    shares /= np.maximum(shares.sum(2, keepdims=True), 1) * trees
+    shared = train.sparkSession.sparkContext.broadcast((ys, np.cumsum(shares, 2)))
+    levels, names, n = list(totals.LEVELS.values()), [key, *keep], 1 + len(keep)
+    step = max(1, 4_000_000 // len(ys))
+    rows = leaves(score, *names)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:n])
+
+    def reached(batches):
+        """The first count up to which the shares add up to each level."""
+        ys, below = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                leaf = part.column(n).flatten().to_numpy(zero_copy_only=False).reshape(-1, trees).astype(np.int64)
+                total = sum(below[t, leaf[:, t]] for t in range(trees))
+                found = [pa.array(ys[(total >= level - 1e-9).argmax(1)]) for level in levels]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *found], [*names, *totals.LEVELS])
+
+    return totals.monotone(rows.mapInArrow(reached, kinds + "".join(f", {q} double" for q in totals.LEVELS)))
 
 
 def quantile_walk_forward(rows: DataFrame, targets: list[str], numeric: list[str], categories: list[str], first: int, trees: int = 10) -> DataFrame:
@@ -254,10 +272,18 @@ def quantile_walk_forward(rows: DataFrame, targets: list[str], numeric: list[str
     for y in years_from(data, first):
         if sum(n for k, n in sizes.items() if k < y) < MIN_TRAIN or sizes[y] < MIN_VAL:
             continue
-        for target in targets:
-            got = quantile_forest(data.filter(F.col("yr") < y), data.filter(F.col("yr") == y), target, stages, trees=trees)
-            actual = data.select("contest_id", F.col(target).cast("double").alias("actual"))
-            parts.append(durable(got.join(actual, "contest_id").withColumns({"target": F.lit(target), "fold": F.lit(y)})))
+        inputs = Pipeline(stages=stages).fit(data.filter(F.col("yr") < y))
+        ready = lambda rows: inputs.transform(rows).select("contest_id", "features", *targets)
+        past, coming = ready(data.filter(F.col("yr") < y)).persist(), ready(data.filter(F.col("yr") == y))
+
+        def one(target):
+            scored = coming.withColumn("actual", F.col(target).cast("double"))
+            return quantile_forest(past, scored, target, [], trees=trees, keep=("actual",)).withColumns({"target": F.lit(target), "fold": F.lit(y)})
+
+        # the targets do not wait for each other's jobs
+        with ThreadPool(AT_ONCE) as pool:
+            parts.append(durable(reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(one), targets))))
+        past.unpersist()
     if not parts:
         raise ValueError("no fold has enough rows")
     return reduce(DataFrame.unionByName, parts)

@@ -46,3 +46,15 @@ def test_queries_score_every_year_that_has_enough_before_it(spark):
     got = load_all().queries["walk_forward_predictions"](spark, source)
     assert sorted(r["fold"] for r in got.select("fold").distinct().collect()) == years
     assert got.count() == rows.filter(rows["yr"].isin(years)).count()
+
+
+def test_quantiles_of_each_leaf_without_shuffling_scored_rows(spark, capsys):
+    rng = random.Random(5)
+    rows = [(i, float(i % 2), int(rng.expovariate(0.1)) + 100 * (i % 2)) for i in range(600)]
+    train = spark.createDataFrame(rows, "contest_id bigint, x double, y int")
+    got = training.quantile_forest(train, train, "y", [VectorAssembler(inputCols=["x"], outputCol="features")], trees=3, keep=("y",))
+    got.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    want = {x: {f"q{int(100 * q)}": float(np.quantile([r[2] for r in rows if r[1] == x], q, method="inverted_cdf")) for q in (0.1, 0.25, 0.5, 0.75, 0.9)} for x in (0.0, 1.0)}
+    seen = {r["contest_id"]: r for r in got.collect()}
+    assert len(seen) == 600 and all(seen[i]["y"] == y and all(seen[i][q] == v for q, v in want[x].items()) for i, x, y in rows)
