@@ -27,8 +27,12 @@ CHUNK = 1 << 13
 #: within KEY_BUDGET bits on a key of KEY_BITS; the keys start at KEY_STARTS of each word.  They are candidates if the deciding
 #: words differ in at most as many bits as texts of the wanted similarity do on average, plus MARGIN standard deviations.
 WORDS, DECIDING, KEY_BITS, KEY_BUDGET, KEY_STARTS, MARGIN = 6, 3, 24, 3, (0, 32), 4.0
-#: The same bounds as above for units of keys; KEY_SPLIT divides what a band leaves of a key.
-KEY_UNIT_ROWS, KEY_SPLIT = 16_000, 3
+#: The same bounds as above for units of keys; KEY_SPLIT divides what a band leaves of a key.  A split writes a row once for
+#: each node that it meets, so a unit that its next CHILD_BITS deal out evenly is left whole: only a child of more than
+#: KEY_UNIT_ROWS rows makes it large.
+KEY_UNIT_ROWS, KEY_SPLIT, CHILD_BITS = 16_000, 3, 4
+#: Pairs of nodes that a step down the trie may make at most before it is taken in halves.
+STEP_PAIRS = 16_000_000
 #: Shingles up to which sets also meet by their first shingles, as their fingerprints say too little; candidates of a class
 #: in a task beyond which its pairs with classes of as many are compared group by group; pairs held before they are thinned.
 FEW_SHINGLES, BUSY, HELD_PAIRS = 40, 6, 2_000_000
@@ -166,7 +170,8 @@ def close_pairs(unit: np.ndarray, side: np.ndarray, bits: np.ndarray, within: in
             for i, j in crossed(a0, a1, b0, b1):
                 yield order[i], order[j]
             continue
-        if len(a0) > 50_000:
+        wide = np.minimum(a1 - a0, 256) * np.minimum(b1 - b0, 256)
+        if len(a0) > 50_000 or len(a0) > 1 and max(int(wide.sum()), int((a1 - a0 + b1 - b0).sum())) > STEP_PAIRS:
             half = len(a0) // 2
             pairs.append((a0[:half], a1[:half], b0[:half], b1[:half], left[:half], level))
             pairs.append((a0[half:], a1[half:], b0[half:], b1[half:], left[half:], level))
@@ -358,16 +363,18 @@ def in_blocks(units: DataFrame, sizes: DataFrame, held: list[str]) -> DataFrame:
 
 
 def _fitting(units: DataFrame, held: list[str], divide, may_divide) -> tuple[DataFrame, int]:
-    """The units cut until none has more than KEY_UNIT_ROWS rows, and how many rows they have.
+    """The units cut until none has a child of more than KEY_UNIT_ROWS rows, and how many rows they have.
 
-    ``divide`` gives finer units of the large ones that ``may_divide`` (a condition on n and the largest ``used``); the
+    A unit without bits to deal it out, as one of a shingle, is its only child.  ``divide`` gives finer units of the large ones that ``may_divide`` (a condition on n and the largest ``used``); the
     others are cut into pairs of blocks.
     """
     ready, n_rows = None, 0
     while True:
-        size = durable(units.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("n0"), F.max("crossing").alias("x"), F.max("used").alias("u"))
+        child = F.expr(f"shiftrightunsigned(turned, greatest(0, 64 - used - {CHILD_BITS})) & {(1 << CHILD_BITS) - 1}")
+        size = durable(units.groupBy("unit", child.alias("child")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("n0"), F.max("crossing").alias("x"), F.max("used").alias("u"))
+                       .groupBy("unit").agg(F.sum("n").alias("n"), F.sum("n0").alias("n0"), F.max("x").alias("x"), F.max("u").alias("u"), F.max("n").alias("most"))
                        .filter("IF(x, n0 > 0 AND n0 < n, n > 1)"))
-        over = F.col("n") > KEY_UNIT_ROWS
+        over = F.col("most") > KEY_UNIT_ROWS
         told = {r["kind"]: r["rows"] for r in size.groupBy(F.when(~over, 0).when(may_divide, 1).otherwise(2).alias("kind")).agg(F.sum("n").alias("rows")).collect()}
         n_rows += sum(told.values())
         # units of one row do no harm; they are left out only where the units are joined anyway
@@ -385,7 +392,7 @@ def _fitting(units: DataFrame, held: list[str], divide, may_divide) -> tuple[Dat
 def _dealt(classes: DataFrame, similarity: float) -> DataFrame:
     """Units of the classes by their keys and first shingles, dealt to tasks.
 
-    Keys of a band in common are a unit, as in ``links``; a unit of too many rows is split down the key and then down the
+    Keys of a band in common are a unit, as in ``links``; a unit with too many rows in one place is split down the key and then down the
     bits that follow it, where any difference may occur.  A shingle among the first of small sets is a unit as well; one of
     too many rows is split by the next shingle that two sets have in common: sets of the similarity or more have ``level``
     of their first n - ceil(similarity * n) + level in common.

@@ -169,6 +169,28 @@ def test_similarity_join_is_its_rule(spark, monkeypatch, unit_rows):
     assert got == linked and len(linked) > 20
 
 
+def test_units_that_their_bits_deal_out_are_left_whole(spark, monkeypatch):
+    """A split writes every row once for each node it meets: units over the bound whose children are small are not split."""
+    monkeypatch.setattr(simhash, "KEY_UNIT_ROWS", 20)
+    rng = random.Random(3)
+    rows = [(k, [simhash.signed(rng.getrandbits(64)) for _ in range(simhash.WORDS)]) for k in range(2_000)]
+    dealt = simhash._dealt(spark.createDataFrame(rows, "bits long, words array<long>"), 0.8)
+    bands = simhash.WORDS * len(simhash.KEY_STARTS) * (simhash.KEY_BUDGET + 1)
+    assert dealt.count() == bands * len(rows) and dealt.groupBy("unit").count().filter("count > 20").count() > 100
+
+
+@pytest.mark.parametrize("step", [16_000_000, 50])
+def test_trie_steps_in_halves_find_the_same_pairs(monkeypatch, step):
+    monkeypatch.setattr(simhash, "STEP_PAIRS", step)
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 1 << 10, 300).astype(np.uint64) << np.uint64(44)
+    unit, side = rng.integers(0, 3, 300), np.zeros(300, np.int64)
+    got = {(min(a, b), max(a, b)) for i, j in simhash.close_pairs(unit, side, bits, 2, 3) for a, b in zip(i.tolist(), j.tolist())}
+    near = lambda a, b: int(bits[a] ^ bits[b]).bit_count() <= 2
+    wanted = {(a, b) for a in range(300) for b in range(a + 1, 300) if unit[a] == unit[b] and near(a, b)}
+    assert got == wanted and len(wanted) > 100
+
+
 def test_similar_texts_go_and_others_stay(spark):
     """Whole documents against exact Jaccard similarities of five-word shingles."""
     rows = table(spark, "/root/testdata/sf0.01", "documents")
