@@ -41,16 +41,18 @@ def grade(bets: DataFrame, results: DataFrame, totals: DataFrame) -> DataFrame:
     is_total = (F.size("outcome_keys") > 0) & first.startswith("TOTAL|")
     b = bets.withColumns({"_total": is_total, "_parts": F.when(is_total, F.split(first, r"\|"))})
     b = b.withColumns({"_target": F.col("_parts")[1], "_dir": F.col("_parts")[2], "_line": F.col("_parts")[3].try_cast("double")})
-    t = totals.select(F.col("contest_id").alias("_tc"), F.col("market").alias("_tm"), "actual")
-    b = b.join(results.select("contest_id", "actual_key", "actual_side"), "contest_id", "left")
-    b = b.join(t, (F.col("contest_id") == F.col("_tc")) & (F.col("_target") == F.col("_tm")), "left")
+    # both meet the bets by contest, as the bets already lie: a key of (contest, market) would deal all bets out anew
+    t = totals.groupBy("contest_id").agg(F.collect_list(F.struct(F.col("market").alias("m"), "actual")).alias("_actuals"))
+    b = b.join(results.select("contest_id", "actual_key", "actual_side").hint("shuffle_hash"), "contest_id", "left").join(t.hint("shuffle_hash"), "contest_id", "left")
+    met = F.filter("_actuals", lambda x: x["m"] == F.col("_target"))
+    b = b.select(*[c for c in b.columns if c != "_actuals"], F.explode_outer(met).alias("_met")).withColumn("actual", F.col("_met.actual"))
     who = F.array_distinct(F.transform("outcome_keys", lambda k: F.substring(k, 1, 1)))
     total = F.when(F.col("_dir") == "over", F.col("actual") > F.col("_line")).when(F.col("_dir") == "under", F.col("actual") < F.col("_line"))
     one_side = F.when((F.size(who) == 1) & (who[0] == F.col("actual_side")), True).when(~F.array_contains(who, F.col("actual_side")), False)
     hit = (F.when(F.size("outcome_keys") == 0, F.lit(None).cast("boolean")).when(F.col("_total"), total)
            .when(F.col("actual_key").isNotNull(), F.array_contains("outcome_keys", F.col("actual_key")))
            .when(F.col("actual_side").isNotNull(), one_side))
-    return b.withColumn("result", F.when(hit, "won").when(~hit, "lost")).drop("_total", "_parts", "_target", "_dir", "_line", "_tc", "_tm", "actual")
+    return b.withColumn("result", F.when(hit, "won").when(~hit, "lost")).drop("_total", "_parts", "_target", "_dir", "_line", "_met", "actual")
 
 
 def ranked(graded: DataFrame, top: int = 5) -> DataFrame:

@@ -113,3 +113,50 @@ def test_joint_market_documents(spark):
     assert sorted(by["method_round"]) == [("A", "KO", (1,)), ("A", "SUB", (2,)), ("B", "KO", (3,))]
     assert len(by["method_round_neutral"]) == 2
     assert sorted(by["method_round_range"]) == [("A", "KO", (1, 2)), ("B", "KO", (2, 3, 4)), ("B", "SUB", (1, 2, 3))]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bets_are_graded_where_they_lie(spark):
+    """Bets dealt by contest are not dealt out again by market, and totals count for every row that they have."""
+    key = lambda m, line: [f"TOTAL|{m}|over|{line}"]
+    bets = spark.createDataFrame([(1, key("x", 3)), (1, key("y", 3)), (1, ["A|KO|1"]), (2, key("x", 3)), (None, key("x", 3)), (3, [])], "contest_id long, outcome_keys array<string>")
+    results = spark.createDataFrame([(1, "A|KO|1", "A")], "contest_id long, actual_key string, actual_side string")
+    totals = spark.createDataFrame([(1, "x", 5.0), (1, "x", 2.0), (2, "y", 9.0), (1, None, 9.0), (None, "x", 9.0)], "contest_id long, market string, actual double")
+    got = grade.grade(bets, results, totals)
+    assert sorted(map(str, ((r["contest_id"], *r["outcome_keys"], r["result"]) for r in got.collect()))) == sorted(map(str, [
+        (1, "TOTAL|x|over|3", "won"), (1, "TOTAL|x|over|3", "lost"), (1, "TOTAL|y|over|3", None), (1, "A|KO|1", "won"),
+        (2, "TOTAL|x|over|3", None), (None, "TOTAL|x|over|3", None), (3, None)]))
+    assert "_target" not in "".join(x for x in plan_text(got).splitlines() if "hashpartitioning" in x)
+
+
+def test_pricing_code_is_short_enough_to_be_compiled(spark):
+    """The virtual machine only interprets methods of more than 8,000 bytes."""
+    predictions = spark.createDataFrame([], "contest_id long, p double, is_long int, p_finish double, p_decision double, a_name string, b_name string, "
+                                        + ", ".join(f"p{s}_{m} double" for s in "ab" for m in ("ko", "sub", "dec")) + ", " + ", ".join(f"p_r{i} double" for i in range(1, 6)))
+    quotes = spark.createDataFrame([], "contest_id long, market string, selection string, side string, method string, rounds array<int>, price double")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        codes = pricing.price(quotes, predictions)._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+    assert sizes and all(0 < n < 8_000 for n in sizes)
+
+
+def test_contests_of_a_query_are_made_once(spark):
+    """Views read the stored contests; their rows are those of the view's text."""
+    from workload import views
+    from workload.registry import Tables
+
+    source = "/root/testdata/sf0.001"
+    t = Tables(spark, source)
+    for name in ("contest", "totals", "periods", "oof"):
+        got = getattr(t, name)
+        assert "lineitem" not in "".join(got.inputFiles())
+        want = spark.sql(views.spark_text(name, source))
+        assert got.dtypes == want.dtypes and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert any("supplier" in f for f in t.entity.inputFiles())
