@@ -147,6 +147,18 @@ def test_pricing_code_is_short_enough_to_be_compiled(spark):
     assert sizes and all(0 < n < 8_000 for n in sizes)
 
 
+def test_round_shares_are_plain_sums(spark):
+    """Shares of the scheduled rounds, without functions that Spark interprets element by element."""
+    rows = spark.createDataFrame([(1, 0, 0.6, 0.3, 0.1, 0.2, 0.4, 0.4), (2, 1, 0.5, 0.2, None, 0.1, -0.3, 0.2), (3, None, 0.6, 0.1, 0.1, 0.0, 0.4, 0.4), (4, 1, 0.0, 0.2, 0.2, 0.2, 0.2, 0.2), (5, 0, None, 0.2, 0.2, 0.2, 0.2, 0.2), (6, 0, 0.5, 0.0, 0.0, 0.0, 0.9, 0.0)],
+                                 "contest_id long, is_long int, p_finish double, " + ", ".join(f"p_r{i} double" for i in range(1, 6)))
+    made = pricing.with_round_shares(rows, "c")
+    got = {r["contest_id"]: r["c"] for r in made.collect()}
+    zero = [0.0] * 5
+    want = {1: [0.3 / 0.6, 0.1 / 0.6, 0.2 / 0.6, 0, 0], 2: [0.2 / 0.5, 0, 0.1 / 0.5, 0, 0.2 / 0.5], 3: [0.5, 0.5, 0, 0, 0], 4: zero, 5: zero, 6: zero}
+    assert made.columns == [*rows.columns, "c"] and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "lambda" not in plan_text(made)
+
+
 def test_contests_of_a_query_are_made_once(spark):
     """Views read the stored contests; their rows are those of the view's text."""
     from workload import views
